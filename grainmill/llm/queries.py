@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import bpe, vectors
+from grainmill.llm import bpe, neardup, vectors
 from grainmill.session import table
 
 
@@ -18,6 +18,18 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return vectors.neighbour_lists(vectors.current(table(spark, d, "nodes")))
 
 
+def _near(spark: SparkSession, d: str) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates(neardup.records(table(spark, d, "nodes")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).pairs()
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).groups()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
@@ -26,7 +38,7 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
     return bpe.decode(p7_ids(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_neighbours, p7_ids, p7_decoded)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_groups, p7_ids, p7_decoded)}
 
 _CURRENT = """cur AS (
   SELECT * FROM nodes WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1
@@ -39,5 +51,15 @@ v AS (
   WHERE len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND list_dot_product(e, e) > 0
 )
 SELECT a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON a.id < b.id AND list_dot_product(a.e, b.e) >= 0.9 * a.n * b.n - 1e-12""",
+    "p4_found": f"""WITH {_CURRENT},
+w AS (
+  SELECT id, regexp_extract_all(lower(concat_ws(' ', coalesce(title, ''), coalesce(summary, ''), coalesce(full_content, ''))), '[a-z0-9]+|[\\x{{4E00}}-\\x{{9FFF}}]') AS w FROM cur
+),
+sh AS (
+  SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 30)
+),
+n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 2 * c >= x.n + y.n - c""",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import bpe, neardup, vectors
+from grainmill.llm import bpe, language, neardup, packing, vectors
 from grainmill.session import table
 
 
@@ -38,7 +38,30 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
     return bpe.decode(p7_ids(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_groups, p7_ids, p7_decoded)}
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(table(spark, d, "documents"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p8_containers(spark, d))
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.segments(table(spark, d, "documents"), table(spark, d, "lang_samples"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.wrong_labels(p9_segments(spark, d))
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    return language.document_languages(p9_segments(spark, d))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (
+        p1_found, p1_neighbours, p4_found, p4_groups, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_segments, p9_documents)
+}
 
 _CURRENT = """cur AS (
   SELECT * FROM nodes WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1

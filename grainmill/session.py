@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -47,15 +48,36 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from the files, so that a lost executor costs nothing that came before."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared folder and go on from the files, so that a lost executor costs nothing that came before.
 
+    A written table is computed once and stored by column, where checkpoint() would compute the last stage twice and store rows. The
+    files are removed when the Python process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/grainmill-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not _written:
+        atexit.register(_remove)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _remove() -> None:
+    for spark, path in _written:
+        try:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # the session has ended; nothing depends on what is left
+            return
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """Broadcast df if it has at most so many rows, which is counted first; else leave the join to the planner."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -17,8 +17,12 @@ from grainmill.session import broadcast_if_small, cut
 #: A word is a run of these letters and digits or one character from U+4E00 to U+9FFF.
 WORD = re.compile("[a-z0-9]+|[一-鿿]")
 BITS = 512
-#: Most words whose counts are sent to every task; the rest count as rare, which moves work but no result.
-WORDS_SENT = 1 << 18
+#: Sets with more members than WIDE_FROM get a fingerprint of WIDE bits as well; folding it gives the short one.
+WIDE, WIDE_FROM = 2048, 200
+#: Most words, and most shingles, whose counts are sent to every task; the rest count as rare, which moves work but no result.
+SENT = 1 << 18
+#: Words that a task counts together, and records among them that make a shingle common enough to report.
+COUNTED_TOGETHER, OFTEN = 2_000_000, 4
 
 
 @dataclass(frozen=True)
@@ -79,8 +83,28 @@ def fold(shingles: np.ndarray) -> bytes:
 
     It is linear, so the Hamming distance of two fingerprints never exceeds the size of the sets' symmetric difference.
     """
-    bits = np.bincount((shingles >> np.uint64(17)).astype(np.int64) % BITS, minlength=BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    bits = WIDE if len(shingles) > WIDE_FROM else BITS
+    parity = np.bincount((shingles >> np.uint64(17)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8)).tobytes()
+
+
+class Prints:
+    """Short fingerprints of all rows, and the wide ones of those that have one."""
+
+    def __init__(self, column: list[bytes]):
+        has = np.array([len(x) > BITS // 8 for x in column], dtype=bool)
+        self.wide_at = np.where(has, np.cumsum(has) - 1, -1)
+        self.wide = np.frombuffer(b"".join(x for x, w in zip(column, has) if w), np.uint64).reshape(-1, WIDE // 64)
+        self.short = np.empty((len(column), BITS // 64), np.uint64)
+        self.short[~has] = np.frombuffer(b"".join(x for x, w in zip(column, has) if not w), np.uint64).reshape(-1, BITS // 64)
+        self.short[has] = np.bitwise_xor.reduce(self.wide.reshape(len(self.wide), WIDE // BITS, BITS // 64), axis=1)
+
+    def near(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Which pairs of rows may differ by at most so many members."""
+        ok = _popcount(self.short[a] ^ self.short[b]) <= most
+        i = np.flatnonzero(ok & (self.wide_at[a] >= 0) & (self.wide_at[b] >= 0))
+        ok[i] = _popcount(self.wide[self.wide_at[a[i]]] ^ self.wide[self.wide_at[b[i]]]) <= most[i]
+        return ok
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -157,27 +181,57 @@ def _groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
+def _look_up(known: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The log count of each member of x, 0 for those that aren't known."""
+    names, logs = known
+    if not len(names):
+        return np.zeros(len(x), np.float32)
+    i = np.minimum(np.searchsorted(names, x), len(names) - 1)
+    return np.where(names[i] == x, logs[i], np.float32(0))
+
+
 class Work:
-    """What tasks do with batches of records; counts is the broadcast (words, log counts) of the rarity order."""
+    """What tasks do with batches of records; counts is the broadcast of known words and shingles with their log counts."""
 
     def __init__(self, s: Settings, counts=None):
         self.s, self.counts = s, counts
 
     def survey(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """kind 2: a record that counts, with the key of its words; 1: one that doesn't; 0: a word and its records in this batch."""
+        """kind 2: a record that counts, with the key of its words; 1: one that doesn't; 0: a word and its records in these
+        batches; 3: a shingle that several records of these batches have, with their number."""
         sh = Shingler(self.s.span)
+        words: list[np.ndarray] = []
+        sets: list[np.ndarray] = []
+        held = 0
         for b in batches:
-            kinds, keys, parts = [], [], [np.zeros(0, np.uint64)]
+            kinds, keys = [], []
             for t in b.column("text").to_pylist():
                 w = sh.words(t or "")
-                kinds.append(2 if len(w) >= self.s.least_words else 1)
+                counts = len(w) >= self.s.least_words
+                kinds.append(2 if counts else 1)
                 keys.append(sh.key(w))
-                parts.append(np.unique(w))
-            w, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([np.array(kinds, np.int32), np.zeros(len(w), np.int32)])), pa.concat_arrays([b.column("id"), pa.nulls(len(w), pa.string())]),
-                pa.concat_arrays([b.column("version"), pa.nulls(len(w), pa.int32())]), pa.array(np.concatenate([np.array(keys, np.uint64), w]).view(np.int64)),
-                pa.array(np.concatenate([np.zeros(len(keys), np.int64), n]))], ["kind", "id", "version", "key", "n"])
+                if counts:
+                    words.append(np.unique(w))
+                    sets.append(sh.shingles(w)[0])
+                    held += len(w)
+                if held > COUNTED_TOGETHER:
+                    yield self._counts(words, sets)
+                    words, sets, held = [], [], 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(kinds, pa.int32()), b.column("id"), b.column("version"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.zeros(len(keys), np.int64))],
+                ["kind", "id", "version", "key", "n"])
+        yield self._counts(words, sets)
+
+    @staticmethod
+    def _counts(words: list[np.ndarray], sets: list[np.ndarray]) -> pa.RecordBatch:
+        none = np.zeros(0, np.uint64)
+        w, n = np.unique(np.concatenate([none, *words]), return_counts=True)
+        h, m = np.unique(np.concatenate([none, *sets]), return_counts=True)
+        h, m = h[m >= OFTEN], m[m >= OFTEN]
+        size = len(w) + len(h)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.repeat(np.array([0, 3], np.int32), [len(w), len(h)])), pa.nulls(size, pa.string()), pa.nulls(size, pa.int32()),
+            pa.array(np.concatenate([w, h]).view(np.int64)), pa.array(np.concatenate([n, m]))], ["kind", "id", "version", "key", "n"])
 
     def _sets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray], list[np.ndarray], list[np.ndarray]]]:
         """Of each batch the keys, words, shingles and shingles' places of the texts that count."""
@@ -198,19 +252,17 @@ class Work:
         """(shard, key): each text under the rarest of its shingles.
 
         Two sets with a Jaccard index of at least t share a member among the first n - ceil(t n) + 1 of each, in any order that
-        is the same for all; here that of the counts of a shingle's words. So no pair is lost, however the order came about.
+        is the same for all; here that of the reported counts of shingles, then those of their words. So no pair is lost,
+        however the order came about.
         """
-        names, logs = self.counts.value
+        words_known, sets_known = self.counts.value
         for keys, words, sets, places in self._sets(batches):
             shards = [np.zeros(0, np.uint64)]
             for w, h, at in zip(words, sets, places):
-                weight = np.zeros(len(w), np.float32)
-                if len(names):
-                    i = np.minimum(np.searchsorted(names, w), len(names) - 1)
-                    weight = np.where(names[i] == w, logs[i], weight)
+                weight = _look_up(words_known, w)
                 sums = sum(weight[at + k] for k in range(self.s.span))
                 take = len(h) - int(np.ceil(self.s.threshold * len(h) - 1e-9)) + 1
-                shards.append(h[np.lexsort((h, np.round(sums, 2)))[:take]])
+                shards.append(h[np.lexsort((h, np.round(sums, 2), _look_up(sets_known, h)))[:take]])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(shards).view(np.int64)), pa.array(np.repeat(np.array(keys, np.uint64).view(np.int64), [len(x) for x in shards[1:]]))], ["shard", "key"])
 
@@ -252,7 +304,7 @@ class Work:
         for g in _groups(batches, "shard", "low", "high"):
             key, size, tile = (g.column(c).to_numpy() for c in ("key", "size", "tile"))
             low, high = g.column("low").to_numpy(), g.column("high").to_numpy()
-            prints = np.frombuffer(b"".join(g.column("print").to_pylist()), np.uint64).reshape(len(key), -1)
+            prints = Prints(g.column("print").to_pylist())
             shard = g.column("shard").to_numpy()
             fresh = np.ones(len(key), bool)
             fresh[1:] = (shard[1:] != shard[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
@@ -263,7 +315,7 @@ class Work:
             found = [np.zeros((2, 0), np.int64)]
             for d in range(1, int(lengths[lengths <= self.s.leaf].max(initial=0))):  # a small shard is one leaf
                 i = np.flatnonzero((of[d:] == of[:-d]) & small[:-d])
-                i = i[_popcount(prints[i] ^ prints[i + d]) <= ratio * (size[i] + size[i + d])]
+                i = i[prints.near(i, i + d, ratio * (size[i] + size[i + d]))]
                 found.append(np.stack([i, i + d]))
             for k in np.flatnonzero(~small[starts[:-1]]):
                 i, j = starts[k], starts[k + 1]
@@ -271,8 +323,10 @@ class Work:
                 if low[i] != high[i]:
                     mine, other = mine[tile[i:j] == low[i]], other[tile[i:j] == high[i]]
                 if len(mine) and len(other):
-                    q, r = Tree(prints[other], size[other], self.s.leaf).search(prints[mine], size[mine], ratio)
-                    found.append(np.stack([mine[q], other[r]]))
+                    q, r = Tree(prints.short[other], size[other], self.s.leaf).search(prints.short[mine], size[mine], ratio)
+                    q, r = mine[q], other[r]
+                    ok = prints.near(q, r, ratio * (size[q] + size[r]))
+                    found.append(np.stack([q[ok], r[ok]]))
             a, b = np.concatenate(found, axis=1)
             a, b = np.minimum(key[a], key[b]), np.maximum(key[a], key[b])
             both = np.unique(np.stack([a, b])[:, a != b], axis=1)
@@ -291,7 +345,7 @@ class NearDuplicates:
     def __init__(self, rows: DataFrame, s: Settings = Settings()):
         self.rows, self.s, self.work = rows, s, Work(s)
         survey = cut(rows.mapInArrow(self.work.survey, "kind int, id string, version int, key long, n long"))
-        ids = survey.filter("kind > 0").groupBy("id").agg(F.max(F.struct("version", "key", "kind")).alias("c"), F.count("*").alias("n"))
+        ids = survey.filter("kind in (1, 2)").groupBy("id").agg(F.max(F.struct("version", "key", "kind")).alias("c"), F.count("*").alias("n"))
         ids = cut(ids.select("id", "n", "c.*"))
         #: (id, key): every record that counts, with its text's key; equal keys are exact copies.
         self.members = ids.filter("kind = 2").select("id", "key")
@@ -302,10 +356,15 @@ class NearDuplicates:
             .unionByName(copies.select("id", F.lit(None).cast("int").alias("only"))).withColumn("listed", F.lit(True)))
         #: (id, text) of one row per distinct text, but for rows delivered twice; only superseded rows and copies need the lookup.
         self.texts = rows.join(broadcast_if_small(cut(lookup), 400_000), "id", "left").filter("listed is null or only = version").select("id", "text")
-        counts = survey.filter("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "key").limit(WORDS_SENT).toArrow()
-        names = counts.column("key").to_numpy().view(np.uint64)
+        self.work = Work(s, rows.sparkSession.sparkContext.broadcast((self._logs(survey, 0), self._logs(survey, 3))))
+
+    @staticmethod
+    def _logs(survey: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """The most frequent words or shingles, sorted, and the logs of their counts over all records."""
+        t = survey.filter(F.col("kind") == kind).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "key").limit(SENT).toArrow()
+        names = t.column("key").to_numpy().view(np.uint64)
         order = np.argsort(names)
-        self.work = Work(s, rows.sparkSession.sparkContext.broadcast((names[order], np.log(counts.column("n").to_numpy()[order]).astype(np.float32))))
+        return names[order], np.log(t.column("n").to_numpy()[order]).astype(np.float32)
 
     def links(self) -> DataFrame:
         """(a, b): pairs of keys of different texts whose Jaccard index is at least the threshold, exactly."""

@@ -19,6 +19,7 @@ WORD = re.compile("[a-z0-9]+|[一-鿿]")
 BITS = 512
 #: Sets with more members than WIDE_FROM get a fingerprint of WIDE bits as well; folding it gives the short one.
 WIDE, WIDE_FROM = 2048, 200
+SURVEYED = ["kind", "id", "version", "key", "n", "size", "print"]
 #: Most words, and most shingles, whose counts are sent to every task; the rest count as rare, which moves work but no result.
 SENT = 1 << 18
 #: Words that a task counts together, and records among them that make a shingle common enough to report.
@@ -197,29 +198,31 @@ class Work:
         self.s, self.counts = s, counts
 
     def survey(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """kind 2: a record that counts, with the key of its words; 1: one that doesn't; 0: a word and its records in these
+        """kind 2: a record that counts, with the key of its words, its number of shingles and their fingerprint; 1: one that doesn't; 0: a word and its records in these
         batches; 3: a shingle that several records of these batches have, with their number."""
         sh = Shingler(self.s.span)
         words: list[np.ndarray] = []
         sets: list[np.ndarray] = []
         held = 0
         for b in batches:
-            kinds, keys = [], []
+            kinds, keys, sizes, prints = [], [], [], []
             for t in b.column("text").to_pylist():
                 w = sh.words(t or "")
                 counts = len(w) >= self.s.least_words
                 kinds.append(2 if counts else 1)
                 keys.append(sh.key(w))
+                sizes.append(None)
+                prints.append(None)
                 if counts:
                     words.append(np.unique(w))
                     sets.append(sh.shingles(w)[0])
                     held += len(w)
+                    sizes[-1], prints[-1] = len(sets[-1]), fold(sets[-1])
                 if held > COUNTED_TOGETHER:
                     yield self._counts(words, sets)
                     words, sets, held = [], [], 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds, pa.int32()), b.column("id"), b.column("version"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.zeros(len(keys), np.int64))],
-                ["kind", "id", "version", "key", "n"])
+                [pa.array(kinds, pa.int32()), b.column("id"), b.column("version"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.zeros(len(keys), np.int64)), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary())], SURVEYED)
         yield self._counts(words, sets)
 
     @staticmethod
@@ -231,7 +234,7 @@ class Work:
         size = len(w) + len(h)
         return pa.RecordBatch.from_arrays([
             pa.array(np.repeat(np.array([0, 3], np.int32), [len(w), len(h)])), pa.nulls(size, pa.string()), pa.nulls(size, pa.int32()),
-            pa.array(np.concatenate([w, h]).view(np.int64)), pa.array(np.concatenate([n, m]))], ["kind", "id", "version", "key", "n"])
+            pa.array(np.concatenate([w, h]).view(np.int64)), pa.array(np.concatenate([n, m])), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], SURVEYED)
 
     def _sets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray], list[np.ndarray], list[np.ndarray]]]:
         """Of each batch the keys, words, shingles and shingles' places of the texts that count."""
@@ -249,26 +252,38 @@ class Work:
             yield keys, words, sets, places
 
     def prefixes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(shard, key): each text under the rarest of its shingles.
+        """(shard, key): each text under the rarest of its shingles; the last bit of shard is 0 for rows that may be the smaller text
+        of a pair, 1 for those that can only be the larger.
 
         Two sets with a Jaccard index of at least t share a member among the first n - ceil(t n) + 1 of each, in any order that
         is the same for all; here that of the reported counts of shingles, then those of their words. So no pair is lost,
-        however the order came about.
+        however the order came about. Of the smaller text, n - ceil(2t / (1 + t) n) + 1 of n are enough.
         """
+        t = self.s.threshold
         words_known, sets_known = self.counts.value
         for keys, words, sets, places in self._sets(batches):
             shards = [np.zeros(0, np.uint64)]
             for w, h, at in zip(words, sets, places):
                 weight = _look_up(words_known, w)
                 sums = sum(weight[at + k] for k in range(self.s.span))
-                take = len(h) - int(np.ceil(self.s.threshold * len(h) - 1e-9)) + 1
-                shards.append(h[np.lexsort((h, np.round(sums, 2), _look_up(sets_known, h)))[:take]])
+                take = len(h) - int(np.ceil(t * len(h) - 1e-9)) + 1
+                small = len(h) - int(np.ceil(2 * t / (1 + t) * len(h) - 1e-9)) + 1
+                rarest = h[np.lexsort((h, np.round(sums, 2), _look_up(sets_known, h)))[:take]]
+                shards.append(rarest & ~np.uint64(1) | (np.arange(len(rarest)) >= small).astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(shards).view(np.int64)), pa.array(np.repeat(np.array(keys, np.uint64).view(np.int64), [len(x) for x in shards[1:]]))], ["shard", "key"])
 
     def shared(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(shard, key, tile) of the shards that hold more than one text; the partition is sorted by shard and key."""
-        last: tuple | None = None  # shard, key, place in the shard, not yet given out
+        """(shard, key, larger, tile) of the shards with more than one text, one of which may be the smaller of a pair.
+
+        The partition is sorted by shard and key, so such a text comes first in its shard.
+        """
+        last: tuple | None = None  # shard, key, place in the shard, whether the shard counts; not yet given out
+
+        def out(shard, key, place) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(shard >> 1), pa.array(key), pa.array((shard & 1).astype(bool)), pa.array((place // self.s.tile).astype(np.int32))], ["shard", "key", "larger", "tile"])
+
         for b in batches:
             shard, key = b.column("shard").to_numpy(), b.column("key").to_numpy()
             fresh = np.ones(len(shard), bool)
@@ -278,31 +293,30 @@ class Work:
             shard, key = shard[fresh], key[fresh]
             if not len(shard):
                 continue
-            base = 0
+            base, counts = 0, False
             if last is not None:
-                shard, key, base = np.insert(shard, 0, last[0]), np.insert(key, 0, last[1]), last[2]
+                shard, key, base, counts = np.insert(shard, 0, last[0]), np.insert(key, 0, last[1]), last[2], last[3]
+            group = shard >> 1
             first = np.ones(len(shard), bool)
-            first[1:] = shard[1:] != shard[:-1]
+            first[1:] = group[1:] != group[:-1]
             start = np.maximum.accumulate(np.where(first, np.arange(len(shard)), 0))
             place = np.arange(len(shard)) - start + np.where(start == 0, base, 0)
-            more = np.append(~first[1:], False) | (place > 0)
-            last = (shard[-1], key[-1], int(place[-1]))
-            shard, key, place, more = shard[:-1], key[:-1], place[:-1], more[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(shard[more]), pa.array(key[more]), pa.array((place[more] // self.s.tile).astype(np.int32))], ["shard", "key", "tile"])
-        if last is not None and last[2] > 0:
-            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64()), pa.array([last[2] // self.s.tile], pa.int32())], ["shard", "key", "tile"])
-
-    def prints(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, _, sets, _ in self._sets(batches):
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array([len(h) for h in sets], pa.int32()), pa.array([fold(h) for h in sets], pa.binary())], ["key", "size", "print"])
+            good = (shard[start] & 1) == 0
+            if last is not None:
+                good = np.where(start == 0, counts, good)
+            more = (np.append(~first[1:], False) | (place > 0)) & good
+            last = (shard[-1], key[-1], int(place[-1]), bool(good[-1]))
+            more[-1] = False
+            yield out(shard[more], key[more], place[more])
+        if last is not None and last[2] > 0 and last[3]:
+            yield out(np.array([last[0]]), np.array([last[1]]), np.array([last[2]]))
 
     def meet(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of each shard (and pair of its tiles) whose fingerprints are near enough; sorted by shard, low, high."""
         t = self.s.threshold
         ratio = (1 - t) / (1 + t) + 1e-9
         for g in _groups(batches, "shard", "low", "high"):
-            key, size, tile = (g.column(c).to_numpy() for c in ("key", "size", "tile"))
+            key, size, tile, larger = (g.column(c).to_numpy() for c in ("key", "size", "tile", "larger"))
             low, high = g.column("low").to_numpy(), g.column("high").to_numpy()
             prints = Prints(g.column("print").to_pylist())
             shard = g.column("shard").to_numpy()
@@ -328,6 +342,8 @@ class Work:
                     ok = prints.near(q, r, ratio * (size[q] + size[r]))
                     found.append(np.stack([q[ok], r[ok]]))
             a, b = np.concatenate(found, axis=1)
+            some = ~(larger[a] & larger[b])
+            a, b = a[some], b[some]
             a, b = np.minimum(key[a], key[b]), np.maximum(key[a], key[b])
             both = np.unique(np.stack([a, b])[:, a != b], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
@@ -344,7 +360,9 @@ class NearDuplicates:
 
     def __init__(self, rows: DataFrame, s: Settings = Settings()):
         self.rows, self.s, self.work = rows, s, Work(s)
-        survey = cut(rows.mapInArrow(self.work.survey, "kind int, id string, version int, key long, n long"))
+        survey = cut(rows.mapInArrow(self.work.survey, "kind int, id string, version int, key long, n long, size int, print binary"))
+        #: (key, size, print) of every text that counts.
+        self.prints = survey.filter("kind = 2").select("key", "size", "print").dropDuplicates(["key"])
         ids = survey.filter("kind in (1, 2)").groupBy("id").agg(F.max(F.struct("version", "key", "kind")).alias("c"), F.count("*").alias("n"))
         ids = cut(ids.select("id", "n", "c.*"))
         #: (id, key): every record that counts, with its text's key; equal keys are exact copies.
@@ -369,18 +387,17 @@ class NearDuplicates:
     def links(self) -> DataFrame:
         """(a, b): pairs of keys of different texts whose Jaccard index is at least the threshold, exactly."""
         shards = (
-            self.texts.mapInArrow(self.work.prefixes, "shard long, key long").repartition("shard").sortWithinPartitions("shard", "key")
-            .mapInArrow(self.work.shared, "shard long, key long, tile int"))
+            self.texts.mapInArrow(self.work.prefixes, "shard long, key long").repartition(F.shiftright("shard", 1)).sortWithinPartitions("shard", "key")
+            .mapInArrow(self.work.shared, "shard long, key long, larger boolean, tile int"))
         shards = cut(shards)
         long = cut(shards.filter("tile > 0").groupBy("shard").agg((F.max("tile") + 1).alias("tiles")))
         placed = shards.withColumns({"low": F.lit(0), "high": F.lit(0)})
         if not long.isEmpty():  # each pair of tiles of a long shard is a task of its own
             other = F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1))
             placed = shards.join(broadcast_if_small(long), "shard", "left").withColumn("other", other).withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")}).drop("tiles", "other")
-        prints = self.texts.mapInArrow(self.work.prints, "key long, size int, print binary").dropDuplicates(["key"])
         met = (
-            placed.join(prints, "key").repartition("shard", "low", "high").sortWithinPartitions("shard", "low", "high")
-            .select("shard", "low", "high", "tile", "key", "size", "print").mapInArrow(self.work.meet, "a long, b long"))
+            placed.join(self.prints, "key").repartition("shard", "low", "high").sortWithinPartitions("shard", "low", "high")
+            .select("shard", "low", "high", "tile", "larger", "key", "size", "print").mapInArrow(self.work.meet, "a long, b long"))
         near = cut(met.distinct())
         wanted = near.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(self.reps, "key").select("id")
         sets = self.texts.join(broadcast_if_small(cut(wanted), 400_000), "id").mapInArrow(self.work.hashes, "key long, set array<bigint>").dropDuplicates(["key"])

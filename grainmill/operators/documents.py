@@ -23,10 +23,10 @@ def get_nodes(nodes: DataFrame, wanted: DataFrame | None = None, mode: str = "su
 
 
 def node_index(files: DataFrame) -> DataFrame:
-    """(id, title, path) of markdown nodes (id, title, path, layer): where an id occurs twice the later layer wins, then the greater path."""
+    """(id, title, path) of markdown nodes (id, title, path, layer): where an id occurs twice the later layer wins, then the greater path. Files of other directories aren't nodes."""
     place = F.array_position(F.array(*[F.lit(x) for x in LAYERS]), F.col("layer"))
     return (
-        files.filter("id is not null and title is not null").groupBy("id").agg(F.max(F.struct(place.alias("p"), "path", "title")).alias("w"))
+        files.filter("id is not null and title is not null").filter(F.col("layer").isin(LAYERS)).groupBy("id").agg(F.max(F.struct(place.alias("p"), "path", "title")).alias("w"))
         .select("id", F.col("w.title").alias("title"), F.col("w.path").alias("path")))
 
 

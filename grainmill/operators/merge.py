@@ -59,7 +59,7 @@ def versioned_writes(writes: DataFrame, base: DataFrame | None = None, order: li
     version, not the group: an id with very many writes costs a task time but no memory.
     """
     order = order or ["patch_ts"]
-    w = writes.filter("id is not null").select("id", F.col("expected_version").cast("int").alias("expected_version"), *order)
+    w = writes.filter("id is not null").select("id", F.col("expected_version").cast("int").alias("expected_version"), *[c for c in order if c not in ("id", "expected_version")])
     have = (base.select("id", F.col("version").cast("int").alias("_base")) if base is not None else w.select("id", F.lit(None).cast("int").alias("_base")).limit(0))
     rows = w.join(have, "id", "left").repartition("id").sortWithinPartitions("id", *order).select("id", "expected_version", "_base")
 

@@ -51,6 +51,11 @@ def records(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "session_id", times.iso(F.col("created_at")).alias("ts"), F.col("text").alias("content"), F.col("source").alias("summary"), (F.col("n_chars") % 15).alias("access_count"))
 
 
+def _filled(df: DataFrame, *columns: str) -> DataFrame:
+    """-1 for a missing rank or version, so that whole numbers stay whole numbers in any client."""
+    return df.withColumns({c: F.coalesce(c, F.lit(-1)) for c in columns})
+
+
 # Lookups
 
 
@@ -136,12 +141,14 @@ def vector_dimension(spark, d):
 def rrf_fusion(spark, d):
     n = _now(spark, d, "id", "title", "summary", "is_active", "embedding")
     q = _asked(spark, d)
-    return hybrid.fuse(search.bm25(n, q, 10), vectors.search(n.filter("is_active").select("id", "embedding"), q, 10))
+    fused = hybrid.fuse(search.bm25(n, q, 10), vectors.search(n.filter("is_active").select("id", "embedding"), q, 10))
+    return _filled(fused, "fts_rank", "vec_rank")
 
 
 def _hybrid(spark, d, p, always=False):
     cols = ("id", "title", "summary", "confidence", "is_active", "embedding")
-    return hybrid.hybrid(_now(spark, d, *cols), _asked(spark, d), p, always).withColumn("confidence", F.col("confidence").cast("double"))
+    hits = hybrid.hybrid(_now(spark, d, *cols), _asked(spark, d), p, always).withColumn("confidence", F.col("confidence").cast("double"))
+    return _filled(hits, "fts_rank", "vec_rank")
 
 
 @query
@@ -228,7 +235,7 @@ def _writes(spark, d):
 
 @query
 def versioned_writes(spark, d):
-    return _writes(spark, d)
+    return _filled(_writes(spark, d), "expected_version", "actual_version")
 
 
 @query

@@ -66,7 +66,8 @@ top AS (
 )"""
 
 
-_HITS = " SELECT top.*, title, summary, confidence::DOUBLE AS confidence FROM top JOIN cur USING (id)"
+_RANKS = "coalesce(fts_rank, -1) AS fts_rank, coalesce(vec_rank, -1) AS vec_rank, rank"
+_HITS = f" SELECT qid, id, rrf_score, {_RANKS}, title, summary, confidence::DOUBLE AS confidence FROM top JOIN cur USING (id)"
 _REC = f"rec AS (SELECT doc_id, session_id, {_iso('created_at')} AS ts, created_at, text AS content, source AS summary, n_chars % 15 AS access_count FROM documents)"
 _AGE = f"(date_diff('microsecond', created_at, TIMESTAMP '{AS_OF}') / 86400e6)"
 
@@ -125,7 +126,7 @@ def _render(layer: str) -> str:
 
 
 _FILES = f"files AS (SELECT DISTINCT path, id, string_split(path, '/')[2] AS layer, title, {_render("string_split(path, '/')[2]")} AS content FROM dag_nodes)"
-_INDEX = f"{_FILES}, idx AS (SELECT * FROM files WHERE id IS NOT NULL AND title IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY layer DESC, path DESC, title DESC) = 1)"
+_INDEX = f"{_FILES}, idx AS (SELECT * FROM files WHERE id IS NOT NULL AND title IS NOT NULL AND layer IN ('L0_Axioms', 'L1_Theorems', 'L2_Engineering') QUALIFY row_number() OVER (PARTITION BY id ORDER BY layer DESC, path DESC, title DESC) = 1)"
 
 
 def _actions(name: str, kind: str, trim: str) -> str:
@@ -151,7 +152,7 @@ FROM (SELECT vec_id AS qid, v.id, round(list_dot_product(v.e, ev.e) / (v.n * ev.
     "vector_top1_query": """SELECT vec_id AS id, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS similarity
 FROM embeddings ORDER BY similarity DESC, id LIMIT 10""",
     "vector_dimension": f"WITH {CUR} SELECT max(len(embedding))::INTEGER AS dimension FROM cur",
-    "rrf_fusion": _hybrid(None, 1 << 30) + " SELECT * FROM top",
+    "rrf_fusion": _hybrid(None, 1 << 30) + f" SELECT qid, id, rrf_score, {_RANKS} FROM top",
     "hybrid_gated": _hybrid(0.3, 5) + _HITS,
     "hybrid_wide_gate": _hybrid(2.0, 5) + _HITS,
     "hybrid_always": _hybrid(None, 20) + _HITS,
@@ -170,7 +171,7 @@ SELECT id, 'Memory' AS type, 'L2' AS layer, title, summary, score AS confidence,
     "upsert_nodes": f"""WITH {CUR}, {_NP}
 SELECT coalesce(c.id, p.id) AS id, {', '.join(f'CASE WHEN p.id IS NOT NULL THEN p.{c} ELSE c.{c} END{"::DOUBLE" if c == "confidence" else ""} AS {c}' for c in _LIST)},
 CASE WHEN c.id IS NULL THEN 1 ELSE c.version END AS version, CASE WHEN c.id IS NULL THEN true ELSE c.is_active END AS is_active FROM cur c FULL JOIN np p ON c.id = p.id""",
-    "versioned_writes": _WRITES + " SELECT * FROM t",
+    "versioned_writes": _WRITES + " SELECT id, seq, coalesce(expected_version, -1) AS expected_version, coalesce(actual_version, -1) AS actual_version, applied, version FROM t",
     "write_conflicts": _WRITES + " SELECT id, seq, expected_version, actual_version FROM t WHERE NOT applied",
     "soft_delete": f"""WITH {CUR}, {_GONE} SELECT id, version, CASE WHEN id IN (SELECT id FROM gone) THEN false ELSE is_active END AS is_active,
 {_iso(f"CASE WHEN id IN (SELECT id FROM gone) THEN TIMESTAMP '{NOW}' ELSE updated_at END")} AS updated_at FROM cur""",

@@ -105,10 +105,10 @@ def message_window(messages: DataFrame, keys: list[str], order: list[str], most:
     down = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     rows = messages.dropna(subset=keys)
     head = rows.withColumn("pos", F.row_number().over(up)).filter(F.col("pos") <= most)
-    tail = rows.withColumn("back", F.row_number().over(down)).filter(F.col("back") <= last)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    first = head.join(sizes, keys).filter((F.col("n") <= most) | (F.col("pos") == 1)).drop("n")
-    rest = tail.join(sizes, keys).filter(F.col("n") > most).withColumn("pos", (F.col("n") - F.col("back") + 1).cast("int")).drop("n", "back")
+    tail = rows.withColumn("_back", F.row_number().over(down)).filter(F.col("_back") <= last)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    first = head.join(sizes, keys).filter((F.col("_n") <= most) | (F.col("pos") == 1)).drop("_n")
+    rest = tail.join(sizes, keys).filter(F.col("_n") > most).withColumn("pos", (F.col("_n") - F.col("_back") + 1).cast("int")).drop("_n", "_back")
     return first.unionByName(rest)
 
 

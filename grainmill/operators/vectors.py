@@ -25,7 +25,7 @@ def search_one(vectors: DataFrame, query: list[float], limit: int = 10) -> DataF
     """(id, similarity) of the vectors most similar to one query; see search."""
     q = F.array(*[F.lit(float(x)) for x in query])
     rows = vectors.filter(F.size("embedding") == len(query))
-    return rows.select("id", F.round(cosine(F.col("embedding"), q), 6).alias("similarity")).filter("similarity is not null").orderBy(F.desc("similarity"), "id").limit(limit)
+    return rows.select("id", F.round(cosine(F.col("embedding"), q), 6).alias("similarity")).filter("similarity is not null and not isnan(similarity)").orderBy(F.desc("similarity"), "id").limit(limit)
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:

@@ -27,6 +27,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def _delete(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
+    if fs.getScheme() == "file":
+        fs = fs.getRawFileSystem()  # the local checksum layer can't handle colons in names
     return fs.delete(p, True)
 
 
@@ -76,7 +78,7 @@ def patch_time(name: Column) -> Column:
 
 def create_patches(nodes: DataFrame, folder: str, now: Column) -> None:
     """Append {node, ts} documents to the log."""
-    nodes.select(F.struct(*nodes.columns).alias("node"), iso(now.cast("timestamp_ntz")).alias("ts")).write.mode("append").json(folder)
+    nodes.select(F.struct(*nodes.columns).alias("node"), iso(now.cast("timestamp_ntz")).alias("ts")).write.mode("append").option("maxRecordsPerFile", 10_000).json(folder)
 
 
 def patches_since(names: DataFrame, since: Column | None = None) -> DataFrame:
@@ -95,10 +97,16 @@ def list_patch_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_patches(spark: SparkSession, folder: str) -> DataFrame:
-    """(node, ts, patch_file); documents that aren't JSON come out with nulls and broken set."""
-    schema = PATCH.add("_corrupt_record", "string")
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(folder)
-    return rows.select("node", "ts", F.col("_metadata.file_name").alias("patch_file"), F.col("_corrupt_record").isNotNull().alias("broken"))
+    """(node, ts, patch_file, broken) of files that hold one JSON document, over one or more lines, or one per line.
+
+    Documents that aren't JSON come out with nulls and broken set.
+    """
+    files = spark.read.text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("patch_file"))
+    lines = F.filter(F.split("value", "\n"), lambda x: strip(x) != "")
+    parts = F.when(F.try_parse_json("value").isNotNull(), F.array("value")).otherwise(lines)
+    docs = files.select("patch_file", F.explode(parts).alias("d"))
+    doc = F.from_json("d", PATCH)
+    return docs.select(doc["node"].alias("node"), doc["ts"].alias("ts"), "patch_file", F.try_parse_json("d").isNull().alias("broken"))
 
 
 def count_valid(patches: DataFrame) -> DataFrame:
@@ -147,10 +155,10 @@ def snapshot_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def read_markdown(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """(path, stem, text) of the *.md files below a folder, or directly in it."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md")
+    reader = spark.read.option("pathGlobFilter", "*.md")
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
-    rows = reader.text(folder).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(F.col("_metadata.file_name"), r"\.md$", "").alias("stem"), F.col("value").alias("text"))
+    rows = reader.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(F.col("_metadata.file_name"), r"\.md$", "").alias("stem"), F.col("value").alias("text"))
     return rows
 
 
@@ -219,8 +227,8 @@ def read_memory(spark: SparkSession, folder: str, kind: str) -> str:
     path = f"{folder}/{kind}"
     if not exists(spark, path):
         return MEMORY_FILES[kind]
-    last = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("n")).orderBy(F.desc("n")).first()
-    return last["value"] if last else ""
+    last = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("n")).orderBy(F.desc("n")).first()
+    return last["value"].removesuffix("\n") if last else ""
 
 
 def write_memory(spark: SparkSession, folder: str, kind: str, content: str, append: bool = False) -> None:
@@ -228,7 +236,7 @@ def write_memory(spark: SparkSession, folder: str, kind: str, content: str, appe
     if kind not in MEMORY_FILES:
         return
     text = read_memory(spark, folder, kind) + content + "\n" if append else content
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "").text(f"{folder}/{kind}")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{kind}")
 
 
 def read_persona(spark: SparkSession, path: str) -> dict:
@@ -236,7 +244,7 @@ def read_persona(spark: SparkSession, path: str) -> dict:
     none = {"system_prompt": "", "params": {}}
     if not exists(spark, path):
         return none
-    row = spark.read.option("wholetext", True).text(path).first()
+    row = spark.read.text(path, wholetext=True).first()
     try:
         got = json.loads(row["value"]) if row else {}
     except ValueError:

@@ -24,7 +24,7 @@ class Settings:
 
     dim: int = 64
     k: int = 10
-    mean_list: int = 256
+    mean_list: int = 512
     most_lists: int = 8192
     sample: int = 65_536
     store_ratio: float = 1.15

@@ -50,25 +50,34 @@ def node_states(patches: DataFrame, satellites: dict[str, list[str]] = NODE_SATE
     )
 
 
-def _split(df: DataFrame, keys: list[str], hot_rows: int) -> list[tuple[DataFrame, bool]]:
-    """df without, and only with, the keys that have more than hot_rows rows; the latter only if there are any."""
-    hot = cut(df.groupBy(*keys).count().filter(F.col("count") > hot_rows).drop("count"))
-    if hot.isEmpty():
+def hot_keys(rows: DataFrame, hot_rows: int) -> DataFrame | None:
+    """The keys that occur more than hot_rows times, None if there are none; the rows are the keys alone, counted map-side."""
+    hot = cut(rows.dropna().groupBy(*rows.columns).count().filter(F.col("count") > hot_rows).drop("count"))
+    return None if hot.isEmpty() else broadcast_if_small(hot)
+
+
+def _edge_keys(edges: DataFrame) -> DataFrame:
+    return edges.select(clean_id(F.col("source_id")).alias("source"), clean_id(F.col("target_id")).alias("target"), F.coalesce("rel_type", F.lit("")).alias("rel"))
+
+
+def _split(df: DataFrame, hot: DataFrame | None) -> list[tuple[DataFrame, bool]]:
+    """df without, and only with, the hot keys; the latter only if there are any."""
+    if hot is None:
         return [(df, False)]
-    hot = broadcast_if_small(hot)
+    keys = hot.columns
     return [(df.join(hot, keys, "left_anti"), False), (df.join(hot, keys, "left_semi"), True)]
 
 
-def edge_satellite(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def edge_satellite(edges: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Insert-only satellite of the links: a row is appended only where the state's hash differs from the row before.
 
     A link that ends before its next row begins gets a closing row (digest null), so a gap is a change like any
-    other. Keys with more than hot_rows rows are sorted month by month.
+    other. Hot keys are sorted month by month.
     """
     keys = ["source", "target", "rel"]
     parts = []
-    for df, hot in _split(edge_states(edges).drop("state"), keys, hot_rows):
-        bucket = F.trunc("at", "month") if hot else None
+    for df, is_hot in _split(edge_states(edges).drop("state"), hot):
+        bucket = F.trunc("at", "month") if is_hot else None
         ends = F.col("until") > F.col("at")
         rows = beside(df, keys, ["at"], {"next_at": ("at", 1), "was": ("digest", -1), "was_at": ("at", -1), "was_until": ("until", -1)}, bucket)
         gap = (F.col("was_until") > F.col("was_at")) & (F.col("was_until") < F.col("at"))
@@ -79,30 +88,30 @@ def edge_satellite(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def node_satellites(patches: DataFrame, satellites: dict[str, list[str]] = NODE_SATELLITES, hot_rows: int = HOT_ROWS) -> DataFrame:
+def node_satellites(patches: DataFrame, satellites: dict[str, list[str]] = NODE_SATELLITES, hot: DataFrame | None = None) -> DataFrame:
     """Insert-only satellites of the nodes: (id, version, at, changed, digests) where the hash of some satellite changed.
 
-    changed lists the satellites that got a row. A key with more than hot_rows rows is sorted in pieces of 10,000 versions.
+    changed lists the satellites that got a row. Hot keys are sorted in pieces of 10,000 versions.
     """
     names = list(satellites)
     parts = []
-    for df, hot in _split(node_states(patches, satellites), ["id"], hot_rows):
-        bucket = F.floor(F.col("version") / 10_000) if hot else None
+    for df, is_hot in _split(node_states(patches, satellites), hot):
+        bucket = F.floor(F.col("version") / 10_000) if is_hot else None
         rows = beside(df, ["id"], ["version"], {f"was_{n}": (n, -1) for n in names}, bucket)
         changed = F.array_compact(F.array(*[F.when(~F.col(n).eqNullSafe(F.col(f"was_{n}")), F.lit(n)) for n in names]))
         parts.append(rows.withColumn("changed", changed).filter(F.size("changed") > 0).select("id", "version", "at", "changed", *names))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _numbered(df: DataFrame, keys: list[str], order: str, open_row: Column, entity: str, entity_key: Column, hot_rows: int) -> DataFrame:
+def _numbered(df: DataFrame, keys: list[str], order: str, open_row: Column, entity: str, entity_key: Column, hot: DataFrame | None) -> DataFrame:
     """The lead-based view: each row holds until the next of its key; keys with a single version are left out."""
     parts = []
-    for rows, hot in _split(df, keys, hot_rows):
+    for rows, is_hot in _split(df, hot):
         bucket = None
-        if hot:
+        if is_hot:
             bucket = F.trunc(order, "month") if dict(rows.dtypes)[order].startswith("timestamp") else F.floor(F.col(order) / 10_000)
         ended = beside(rows, keys, [order], {"ends": ("at", 1)}, bucket).filter(open_row)
-        if hot:  # row numbers from the counts of the pieces before
+        if is_hot:  # row numbers from the counts of the pieces before
             ended = ended.withColumn("_bucket", bucket)
             sums = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
             sizes = ended.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(sums), F.lit(0)))
@@ -133,12 +142,14 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def edge_history(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Versions of every link that has at least two, with the period in which each held; '' while open."""
     keys = ["source", "target", "rel"]
-    return _numbered(edge_satellite(edges, hot_rows), keys, "at", F.col("digest").isNotNull(), "edge", F.concat_ws("|", *keys), hot_rows)
+    hot = hot_keys(_edge_keys(edges), hot_rows)
+    return _numbered(edge_satellite(edges, hot), keys, "at", F.col("digest").isNotNull(), "edge", F.concat_ws("|", *keys), hot)
 
 
 def node_history(patches: DataFrame, satellites: dict[str, list[str]] = NODE_SATELLITES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Versions of every node that has at least two; the order is that of version, the times are patch_ts."""
-    return _numbered(node_satellites(patches, satellites, hot_rows).drop("changed"), ["id"], "version", F.lit(True), "node", F.col("id"), hot_rows)
+    hot = hot_keys(patches.select("id"), hot_rows)
+    return _numbered(node_satellites(patches, satellites, hot).drop("changed"), ["id"], "version", F.lit(True), "node", F.col("id"), hot)
 
 
 def history(edges: DataFrame, patches: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainmill.session import cut
+from grainmill.session import broadcast_if_small, cut
 
 
 @dataclass(frozen=True)
@@ -155,9 +155,8 @@ def neighbours(vectors: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
         usable(vectors.select("id", "embedding"), s.dim)
         .withColumns({"vid": F.monotonically_increasing_id(), "h": F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit(1), "embedding").alias("b"))}))
     base = cut(base)
-    same = base.groupBy("h").agg(F.min("vid").alias("class"), F.count("*").alias("n")).filter("n > 1").select("h", "class")
-    base = base.join(same, "h", "left").select("vid", "id", "embedding", F.coalesce("class", "vid").alias("class"))
-    base = cut(base)
+    same = cut(base.groupBy("h").agg(F.min("vid").alias("class"), F.count("*").alias("n")).filter("n > 1").select("h", "class"))
+    base = base.join(broadcast_if_small(same), "h", "left").select("vid", "id", "embedding", F.coalesce("class", "vid").alias("class"))
     lists, _ = _fit(base, s)
     index = base.sparkSession.sparkContext.broadcast(lists)  # at most most_lists centroids
 

@@ -212,6 +212,12 @@ SELECT doc_id, pos, {_strip('p[1]')} AS id, {_strip('p[2]')} AS title, {_strip('
     "reasoning_stripped": f"SELECT doc_id, {_ANSWER} AS answer FROM documents WHERE contains(text, '</think>')",
     "todo_lines": f"WITH {_TASK} SELECT doc_id, line_no::INTEGER AS line_no, pending, done, id, content FROM tk",
     "todo_pop": f"WITH {_TASK} SELECT doc_id, id, content FROM tk WHERE pending QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no) = 1",
+    "todo_after_pop": f"""WITH {_TASK}, f AS (SELECT doc_id, min(line_no) AS n FROM tk WHERE pending GROUP BY doc_id),
+j AS (SELECT ln.doc_id, string_agg(CASE WHEN line_no = n THEN regexp_replace(line, '- \\[ \\]', '- [x]') ELSE line END, '\n' ORDER BY line_no) || '\n' AS t FROM ln JOIN f ON f.doc_id = ln.doc_id GROUP BY ln.doc_id)
+SELECT d.doc_id, md5(coalesce(j.t, d.text)) AS digest FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id WHERE d.text IS NOT NULL""",
+    "actions_finish": """WITH x AS (SELECT doc_id, regexp_extract(text, '(?is)\\[ACTION:\\s*FINISH\\((.*?)\\)\\]', 1) AS t FROM documents),
+y AS (SELECT doc_id, CASE WHEN json_valid(t) THEN t ELSE regexp_extract(t, '(?s)(\\[.*\\])', 1) END AS t FROM x WHERE t <> '')
+SELECT doc_id, array_to_string(json_extract_string(t, '$[*]'), '|') AS tasks FROM y WHERE json_valid(t) AND len(json_extract_string(t, '$[*]')) > 0""",
     "message_window": """WITH m AS (
   SELECT session_id, doc_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at NULLS FIRST, doc_id) AS pos, count(*) OVER (PARTITION BY session_id) AS n FROM documents WHERE session_id IS NOT NULL
 ) SELECT session_id, doc_id, pos::INTEGER AS pos FROM m WHERE n <= 7 OR pos = 1 OR pos > n - 4""",

@@ -71,7 +71,7 @@ def _remove() -> None:
             hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
         except Exception:  # the session has ended; nothing depends on what is left
-            return
+            continue
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:

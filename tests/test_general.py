@@ -149,7 +149,10 @@ def _patches(spark):
 @pytest.mark.parametrize("hot", [1, 1000])
 def test_history(spark, got, hot):
     t = lambda n: f"2024-01-01 {n:02d}:00:00.000000"
-    assert got(history.history(_edges(spark), _patches(spark), hot_rows=hot)) == [
+    clash = {c: F.lit("clash") for c in ("source", "at", "digest", "state", "versions", "_bucket")}
+    edges = _edges(spark).withColumns(clash)
+    patches = _patches(spark).withColumns({c: F.lit("clash") for c in ("at", "described", "rated", "until")})
+    assert got(history.history(edges, patches, hot_rows=hot)) == [
         ("edge", "a|b|R", 1, t(0), t(9)), ("edge", "a|b|R", 2, t(9), t(13)), ("edge", "a|b|R", 3, t(20), ""),
         ("edge", "c|d|", 1, t(0), t(1)), ("edge", "c|d|", 2, t(1), ""),
         ("node", "n", 1, t(0), t(3)), ("node", "n", 2, t(3), t(4)), ("node", "n", 3, t(4), "")]

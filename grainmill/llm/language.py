@@ -91,13 +91,15 @@ class Model:
         self.langs = sorted({lang for lang, _ in samples})
         counts: dict[tuple[int, str], np.ndarray] = defaultdict(lambda: np.zeros(len(self.langs)))
         by_script: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(self.langs)))
+        seen: dict[str, Counter[str]] = {lang: Counter() for lang in self.langs}
         for lang, text in samples:
-            k = self.langs.index(lang)
-            for w in words_of(text):
-                by_script[script(w)][k] += 1
+            seen[lang].update(words_of(text))
+        for k, lang in enumerate(self.langs):
+            for w, n in seen[lang].items():
+                by_script[script(w)][k] += n
                 for form in {w, bare(w)}:
                     for f in _features(form):
-                        counts[f][k] += 1
+                        counts[f][k] += n
         sums = sum(by_script.values(), np.zeros(len(self.langs)))
         #: script -> which languages are written in it (at least a twentieth of their words).
         self.allowed = {name: n >= 0.05 * np.maximum(sums, 1) for name, n in by_script.items()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions.ids import normalise_parents, sanitize_id
 
-#: Mark that ends a cut text, and the length from which texts are cut.
+# The mark that ends a cut text, and the length from which texts are cut.
 CUT_MARK, CUT_AT = "\n...[已截断]", 1500
 _JSON_LIST = "array<string>"
 

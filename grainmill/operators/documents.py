@@ -11,6 +11,13 @@ from grainmill.functions.times import iso
 from grainmill.operators.neighbours import beside
 from grainmill.schema import LAYERS, SUMMARY_COLUMNS
 
+# Texts of the stored formats.
+NOT_FOUND = ("[DAG Error] 未找到节点: ", "。")
+BAD_ID = "[DAG Error] 非法节点 ID。"
+STORED = ("[DAG Success] 节点 '", "' 已固化至 ", "。")
+CAPSULE = "\n\n【前置强制要求】请使用 toolkit.read_file 优先读取以下设计蓝图，确保命名、接口和技术约束绝对一致：\n"
+REPORT = ("【任务汇报 - ID:", " | 状态:", "】:\n")
+
 
 def get_nodes(nodes: DataFrame, wanted: DataFrame | None = None, mode: str = "summary") -> DataFrame:
     """Active nodes, all or those wanted (id): ten columns with times as ISO text, or in any other mode all columns."""
@@ -39,7 +46,7 @@ def fetch(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, content) for each wanted id (raw): the text of its file, cut if long, or an error text if there is no such node."""
     asked = wanted.select(sanitize_id(F.col("id")).alias("id")).distinct()
     have = files.select("id", "content")
-    missing = F.concat(F.lit("[DAG Error] 未找到节点: "), F.col("id"), F.lit("。"))
+    missing = F.concat(F.lit(NOT_FOUND[0]), F.col("id"), F.lit(NOT_FOUND[1]))
     return asked.join(have, "id", "left").select("id", F.when(F.col("content").isNull(), missing).otherwise(truncated(F.col("content"))).alias("content"))
 
 
@@ -50,7 +57,7 @@ def rendered(nodes: DataFrame) -> DataFrame:
     layer = F.coalesce("layer", F.lit("L1_Theorems"))
     return nodes.select(
         clean.alias("id"), target_directory(F.col("layer")).alias("directory"), text.alias("content"),
-        F.when(clean == "", "[DAG Error] 非法节点 ID。").otherwise(F.concat(F.lit("[DAG Success] 节点 '"), clean, F.lit("' 已固化至 "), layer, F.lit("。"))).alias("message"))
+        F.when(clean == "", BAD_ID).otherwise(F.concat(F.lit(STORED[0]), clean, F.lit(STORED[1]), layer, F.lit(STORED[2]))).alias("message"))
 
 
 def task_lines(texts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -88,12 +95,12 @@ def append_tasks(text: Column, tasks: Column, ids: Column | None = None) -> Colu
 def capsules(tasks: Column, paths: Column) -> Column:
     """Each task with the paths of the nodes it must read first; without paths the tasks stay as they are."""
     listed = F.array_join(F.transform(paths, lambda p: F.concat(F.lit("  - "), p)), "\n")
-    suffix = F.concat(F.lit("\n\n【前置强制要求】请使用 toolkit.read_file 优先读取以下设计蓝图，确保命名、接口和技术约束绝对一致：\n"), listed)
+    suffix = F.concat(F.lit(CAPSULE), listed)
     return F.transform(tasks, lambda t: F.when(F.size(paths) > 0, F.concat(t, suffix)).otherwise(t))
 
 
 def report_entry(task_id: Column, status: Column, detail: Column) -> Column:
-    return F.concat(F.lit("【任务汇报 - ID:"), task_id, F.lit(" | 状态:"), status, F.lit("】:\n"), detail)
+    return F.concat(F.lit(REPORT[0]), task_id, F.lit(REPORT[1]), status, F.lit(REPORT[2]), detail)
 
 
 def message_window(messages: DataFrame, keys: list[str], order: list[str], most: int = 7, last: int = 4) -> DataFrame:

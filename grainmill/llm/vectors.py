@@ -53,7 +53,7 @@ class Lists:
     """Centroids of balanced lists, and a graph over them that is searched in memory."""
 
     def __init__(self, sample: np.ndarray, n_lists: int, degree: int):
-        self.centroids = self._split(sample.astype(np.float32), n_lists)
+        self.centroids = self._merged(self._split(sample.astype(np.float32), n_lists))
         n = len(self.centroids)
         degree = min(degree, n)
         self.links = np.empty((n, degree + 2), dtype=np.int32)
@@ -90,6 +90,16 @@ class Lists:
         norm = np.linalg.norm(c, axis=1, keepdims=True)
         return c / np.where(norm > 0, norm, 1)
 
+    @staticmethod
+    def _merged(c: np.ndarray) -> np.ndarray:
+        """One of each group of equal centroids (up to rounding): ties among them would take up the probes of every vector near them."""
+        keep = np.ones(len(c), dtype=bool)
+        for i in range(0, len(c), 1024):
+            equal = c[i : i + 1024] @ c.T >= 1 - 1e-6
+            for j in np.flatnonzero(equal.sum(axis=1) > 1):
+                keep[i + j] = not (equal[j, : i + j] & keep[: i + j]).any()
+        return c[keep]
+
     def nearest(self, x: np.ndarray, want: int, beam: int = 8, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """(ids, cosines), sorted, of the want nearest centroids of each row: best-first search, beam nodes a round.
 
@@ -157,7 +167,7 @@ def neighbours(vectors: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
     base = cut(base)
     same = cut(base.groupBy("h").agg(F.min("vid").alias("class"), F.count("*").alias("n")).filter("n > 1").select("h", "class"))
     base = base.join(broadcast_if_small(same), "h", "left").select("vid", "id", "embedding", F.coalesce("class", "vid").alias("class"))
-    lists, _ = _fit(base, s)
+    lists, _ = _fit(base.filter("vid = class"), s)  # copies aren't routed, so they shape no list
     index = base.sparkSession.sparkContext.broadcast(lists)  # at most most_lists centroids
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

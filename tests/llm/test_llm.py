@@ -41,6 +41,33 @@ def test_neighbours_against_brute_force(spark):
     assert pairs <= want and len(pairs) >= 0.97 * len(want)
 
 
+def test_copies_cost_no_recall_where_a_third_is_one_vector(spark):
+    rng = np.random.default_rng(3)
+    c = rng.standard_normal(64)
+    near = c + rng.standard_normal((1200, 64)) * rng.uniform(0.05, 0.6, (1200, 1))
+    x = np.concatenate([near, rng.standard_normal((800, 64)), np.tile(c, (1000, 1))]).astype(np.float32)
+    u = x[:2001] / np.linalg.norm(x[:2001].astype(np.float64), axis=1, keepdims=True)
+    cos = u @ u.T
+    np.fill_diagonal(cos, -2)
+    top = np.argsort(-cos[:1200], axis=1)[:, :10]
+
+    def recall(n):
+        base, found = vectors.neighbours(_vectors(spark, x[:n]), vectors.Settings(mean_list=16))
+        name = {r["vid"]: min(int(r["id"][1:]), 2000) for r in base.select("vid", "id").collect()}
+        got = {name[r["vid"]]: {name[n["vid"]] for n in r["near"]} for r in found.collect()}
+        return np.mean([len(got.get(i, set()) & set(top[i].tolist())) / 10 for i in range(1200)])
+
+    assert recall(3000) >= recall(2001) - 0.02
+
+
+def test_equal_centroids_are_one_list():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.tile(rng.standard_normal(64), (400, 1)) * rng.uniform(0.5, 2, (400, 1)), rng.standard_normal((800, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = vectors.Lists(x, 100, 24).centroids
+    assert len(c) > 60 and (np.triu(c @ c.T, 1) < 1 - 1e-6).all()
+
+
 def test_copies_and_unusable_vectors(spark):
     a, b = [1.0] + [0.0] * 63, [0.0, 1.0] + [0.0] * 62
     extra = [("null", None), ("short", [1.0]), ("zero", [0.0] * 64), ("nan", [float("nan")] * 64), ("hole", [None] + [1.0] * 63), ("inf", [float("inf")] * 64)]

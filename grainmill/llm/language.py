@@ -22,6 +22,9 @@ CJK = "぀-ヿ㐀-䶿一-鿿々〆ｦ-ﾟ"
 WORD = re.compile(rf"[{CJK}]|[^\W\d_{CJK}]+(?:['’][^\W\d_{CJK}]+)*")
 #: Ends of sentences: full-width signs anywhere, others before white space, quotes, brackets or the end; and every line's end.
 BREAK = re.compile(r"(?<=[。！？；])|(?<=[.!?;…])(?=[\s\"'”’»)\]}]|$)|\n+")
+#: A sign of a word that blanks part from others: \w matches Han and kana too, where it would take the whole clause. EDGE is \b for it.
+SIGN = rf"[^\W{CJK}]"
+EDGE = rf"(?:(?<!{SIGN})(?={SIGN})|(?<={SIGN})(?!{SIGN}))"
 #: What isn't prose, replaced by a break or a blank before words are taken.
 FRONT = re.compile(r"(?:^|\n)\s*---[ \t]*\n(?:[^\S\n]*[\w-]+[^\S\n]*:[^\n]*\n)+\s*---[ \t]*(?=\n|$)")
 FENCE = re.compile(r"```.*?(?:```|$)|~~~.*?(?:~~~|$)", re.S)
@@ -29,10 +32,16 @@ TAG = re.compile(r"\[ACTION:\s*(?:FETCH|TENTACLE)\([^\n]*?\)\]|\[ACTION:\s*WRITE
 MARK = re.compile(
     r"【[^】\n]*】:?|<\|[^|>\n]*\|>|</?[A-Za-z][^>\n]*>|\[/?INST\]|https?://\S+|`[^`\n]*`|"
     r"^\s*[-*+]\s*\[[ xX]\](?:\[id:[^\]\n]*\])?|\[id:[^\]\n]*\]|^\s*#+\s|\[\[[^\]\n]*\]\]|^\s*\[[0-9a-f]{4,}\]\s*#\d+:?|"
-    r"\b\w*[_\d/\\=@]\w*\b", re.M)
+    rf"{EDGE}{SIGN}*[_\d/\\=@]{SIGN}*{EDGE}", re.M)
 JSON_KEY = re.compile(r"[\"']?[\w-]+[\"']\s*:\s*")
-#: A single quoted term, often foreign or invented, says nothing about the language around it.
-TERM = re.compile(r"[\"“”„«»「」『』‘’']\s*[\w-]+\s*[\"“”„«»「」『』‘’']")
+#: A single quoted term, often foreign or invented, says nothing about the language around it. Terms of Han and kana go only
+#: where they are too short for a sentence and follow a word of another script, since elsewhere they are part of the prose.
+QUOTES = ('""', "“”", "„“", "„”", "””", "«»", "»«", "「」", "『』", "‘’", "’’", "‚‘", "''")
+_WITHIN = rf"(?:{SIGN}|-)+"
+_SHORT = rf"[{CJK}]{{1,4}}"
+TERM = re.compile(
+    f"(?=[{''.join(QUOTES)}])(?:" + "|".join(rf"{a}\s*{_WITHIN}\s*{b}" for a, b in QUOTES) + "|"
+    + rf"(?:(?<={SIGN})|(?<={SIGN}[ ]))(?:" + "|".join(rf"{a}\s*{_SHORT}\s*{b}" for a, b in QUOTES) + rf")(?![ ]?[{CJK}]))")
 HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿︎️]")
 
 

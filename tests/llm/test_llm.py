@@ -311,3 +311,22 @@ def test_held_out_accuracy(spark):
     lab = language.Labeller(language.Model(rows[::2]))
     right = [{s[0] for s in lab.segments(t)} == {lang} for lang, t in rows[1::2]]
     assert sum(right) / len(right) > 0.97
+
+
+@pytest.mark.parametrize("text,words", [
+    ("整个小组在2024年检查了旧的摘要。", "整个小组在年检查了旧的摘要"), ("計画係は３回失敗したあとで古い要約を確認しました。", "計画係は回失敗したあとで古い要約を確認しました"),
+    ("「整个小组检查了旧的摘要」。", "整个小组检查了旧的摘要"), ("規則は“計画係”と『古い要約』だけです。", "規則は計画係と古い要約だけです"),
+    ("使用model_v2检查旧的摘要", "使用检查旧的摘要"), ("规划器推迟了「neatheas」的摘要", "规划器推迟了的摘要"),
+    ('{"content":\xa0"规划器推迟了旧的摘要「neatheas」。"}', "规划器推迟了旧的摘要"), ('{"content":\xa0"Somebody「neatheas」 saw the notes"}', "somebodysawthenotes"),
+    ("the note \"知识图谱\" and the “klaitulm” in path/to/x_1 at 10 o'clock", "thenoteandtheinato'clock"),
+])
+def test_ids_and_terms_leave_the_clause(text, words):
+    assert "".join(language.words_of(language.prose(text))) == words
+
+
+def test_segments_with_digits_and_quoted_sentences():
+    rows = [*SAMPLES.items(), ("ja", "計画係は失敗したあとで古い要約を確認しました。検索は何の警告もなく先週の決定を書き直しました。")]
+    lab = language.Labeller(language.Model(rows))
+    zh, ja = "整个小组在2024年检查了旧的摘要。", "「計画係は3回失敗したあとで古い要約を確認しました」。"
+    assert [s[0] for s in lab.segments(zh)] == ["zh"] and [s[0] for s in lab.segments(ja)] == ["ja"]
+    assert [s[0] for s in lab.segments(f"{SAMPLES['en']}\n{zh}\n{SAMPLES['en']}")] == ["en", "zh", "en"]

@@ -47,11 +47,12 @@ HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿︎️]")
 
 @dataclass(frozen=True)
 class Settings:
-    """switch: penalty for a change of language between words. foreign: score of a word in a language that isn't written in
+    """switch: penalty for a change of language between words of a sentence. turn: between sentences. foreign: score of a word in a language that isn't written in
     its script. least_words, least_signs: words, or CJK characters, that make a sentence. fitted_rows: most rows of reference
     samples that the model is fitted on; fitted_documents: most labelled documents from which it learns further words."""
 
     switch: float = 10.0
+    turn: float = 4.0
     foreign: float = -5.0
     least_words: int = 3
     least_signs: int = 5
@@ -225,9 +226,9 @@ class Labeller:
             weight += [len(m)] if len(u) == 1 else [1] * len(u)
         best = units[0].copy()
         back = []
-        for u in units[1:]:
+        for k, u in enumerate(units[1:]):
             top = int(best.argmax())
-            jump = best[top] - self.s.switch
+            jump = best[top] - (self.s.switch if owner[k] == owner[k + 1] else self.s.turn)
             back.append(np.where(best >= jump, np.arange(len(best)), top))
             best = np.maximum(best, jump) + u
         path = [int(best.argmax())]

@@ -330,3 +330,16 @@ def test_segments_with_digits_and_quoted_sentences():
     zh, ja = "整个小组在2024年检查了旧的摘要。", "「計画係は3回失敗したあとで古い要約を確認しました」。"
     assert [s[0] for s in lab.segments(zh)] == ["zh"] and [s[0] for s in lab.segments(ja)] == ["ja"]
     assert [s[0] for s in lab.segments(f"{SAMPLES['en']}\n{zh}\n{SAMPLES['en']}")] == ["en", "zh", "en"]
+
+
+def test_one_short_foreign_sentence_for_every_pair_of_languages(spark):
+    rows = [(r["lang"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/lang_samples.parquet").orderBy("sample_id").collect()]
+    lab = language.Labeller(language.Model(rows[::2]))
+    held = {}
+    for lang, t in rows[1::2]:
+        held.setdefault(lang, []).extend(s for w, s in lab.sentences(t) if len(w) >= 8)
+    short = {k: [s[:8] + "。" if k in ("zh", "ja") else " ".join(s.split()[:4]).rstrip(".,;:!?") + "." for s in v[:6]] for k, v in held.items()}
+    got = [[x[0] for x in lab.segments(f"{held[a][i]}\n{short[b][i]}\n{held[a][-1 - i]}")] == [a, b, a] for a in held for b in held if a != b for i in range(6)]
+    assert len(got) == 8 * 7 * 6 and sum(got) / len(got) >= 0.9
+    alone = [[x[0] for x in lab.segments("\n".join([held[a][i], short[a][i], held[a][-1 - i]]))] == [a] for a in held for i in range(6)]
+    assert sum(alone) / len(alone) >= 0.97

@@ -204,13 +204,12 @@ class Labeller:
                 out.append((w, part.strip()))
         return out
 
-    def _units(self, score: np.ndarray) -> list[np.ndarray]:
-        """A sentence as one unit if no stretch of its words gains the switching penalty in another language, else word by word."""
-        lead = int(score.sum(axis=0).argmax())
+    def _even(self, score: np.ndarray, lead: int) -> bool:
+        """Whether no stretch of a sentence's words gains the switching penalty in another language than its leading one."""
         gain = np.cumsum(score - score[:, lead : lead + 1], axis=0)
         low = np.minimum(np.minimum.accumulate(gain, axis=0) - (score - score[:, lead : lead + 1]), 0)
         low = np.minimum.accumulate(low, axis=0)
-        return [score.sum(axis=0)] if (gain - low).max() <= self.s.switch else list(score)
+        return bool((gain - low).max() <= self.s.switch)
 
     def label(self, text: str | None) -> list[tuple[int, float, str, int]]:
         """(language, confidence, sentence, words) of each sentence: that of most of its words on the best way through the whole text."""
@@ -218,9 +217,13 @@ class Labeller:
         if not parts:
             return []
         scores = [self.rows(w) for w, _ in parts]
+        sums = [m.sum(axis=0) for m in scores]
+        leads = [int(x.argmax()) for x in sums]
         units, owner, weight = [], [], []
         for i, m in enumerate(scores):
-            u = self._units(m)
+            # One step for a sentence that is even and lies between sentences led by its language; at a change a way may cross it.
+            same = all(leads[j] == leads[i] for j in (i - 1, i + 1) if 0 <= j < len(leads))
+            u = [sums[i]] if same and self._even(m, leads[i]) else list(m)
             units += u
             owner += [i] * len(u)
             weight += [len(m)] if len(u) == 1 else [1] * len(u)

@@ -343,3 +343,11 @@ def test_one_short_foreign_sentence_for_every_pair_of_languages(spark):
     assert len(got) == 8 * 7 * 6 and sum(got) / len(got) >= 0.9
     alone = [[x[0] for x in lab.segments("\n".join([held[a][i], short[a][i], held[a][-1 - i]]))] == [a] for a in held for i in range(6)]
     assert sum(alone) / len(alone) >= 0.97
+
+
+def test_a_way_may_change_within_an_even_sentence(monkeypatch):
+    lab = language.Labeller(language.Model([("aa", "one two"), ("bb", "three four")]))
+    score = {"a": (0, -5), "b": (-5, 0), "m": (0, -2.5)}  # the best way carries aa through three of five words of the second sentence
+    monkeypatch.setattr(lab, "sentences", lambda text: [(list(w), w) for w in ("aaaaaaaa", "mmmbb", "bbbbbbbb")])
+    monkeypatch.setattr(lab, "rows", lambda words: np.array([score[w] for w in words], np.float32))
+    assert [x[0] for x in lab.label("x")] == [0, 0, 1]

@@ -98,6 +98,7 @@ def trace_depth3(spark, d):
 
 @query
 def trace_cyclic(spark, d):
+    """A bounded trace: the nodes on a cycle of at most six links; p2_found finds cycles of any length."""
     return graph.trace(table(spark, d, "edges"), 6).filter("root = id")
 
 

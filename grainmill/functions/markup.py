@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from grainmill.functions.ids import normalise_parents, sanitize_id
 
-# The mark that ends a cut text, and the length from which texts are cut.
-CUT_MARK, CUT_AT = "\n...[已截断]", 1500
+# The mark that ends a cut text, the length from which texts are cut, and that from which answers are cut without a mark.
+CUT_MARK, CUT_AT, ANSWER_AT = "\n...[已截断]", 1500, 2000
 _JSON_LIST = "array<string>"
 
 
@@ -54,6 +54,11 @@ def truncated(text: Column, at: int = CUT_AT) -> Column:
     return F.when(F.length(text) > at, F.concat(F.substring(text, 1, at), F.lit(CUT_MARK))).otherwise(text)
 
 
+def answer_cut(text: Column, at: int = ANSWER_AT) -> Column:
+    """The first characters of a long answer."""
+    return F.substring(text, 1, at)
+
+
 def without_reasoning(text: Column) -> Column:
     """What follows the last end of reasoning, trimmed; a text without one stays as it is."""
     return F.when(F.contains(text, F.lit("</think>")), strip(F.substring_index(text, "</think>", -1))).otherwise(text)
@@ -74,13 +79,19 @@ def writes(text: Column) -> Column:
     return F.transform(parts, lambda p: F.struct(strip(p[0]).alias("id"), strip(p[1]).alias("title"), strip(p[2]).alias("parents"), strip(p[3]).alias("body")))
 
 
+def valid_json(text: Column) -> Column:
+    """Whether the text is one JSON value and nothing else; null counts as not. The parser alone would take what follows a value for granted."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.coalesce(F.try_parse_json(text).isNotNull() & listed.isNotNull() & F.try_variant_get(listed, "$[1]", "string").isNull(), F.lit(False))
+
+
 def json_list(text: Column) -> Column:
     """The text as a JSON list, else its part from the first [ to the last ]; null if neither can be read."""
     strict = {"mode": "PERMISSIVE"}
     inner = F.regexp_extract(text, r"(?s)(\[.*\])", 1)
     return F.coalesce(
-        F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, _JSON_LIST, strict)),
-        F.when(F.try_parse_json(inner).isNotNull(), F.from_json(inner, _JSON_LIST, strict)))
+        F.when(valid_json(text), F.from_json(text, _JSON_LIST, strict)),
+        F.when(valid_json(inner), F.from_json(inner, _JSON_LIST, strict)))
 
 
 def finished(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions.ids import sanitize_id
-from grainmill.functions.markup import render, short_uuid, strip, target_directory, task_line, truncated
+from grainmill.functions.markup import render, short_uuid, strip, target_directory, task_line, truncated, valid_json
 from grainmill.functions.times import iso
 from grainmill.operators.neighbours import beside
 from grainmill.schema import LAYERS, SUMMARY_COLUMNS
@@ -135,6 +135,16 @@ def stream_text(chunks: DataFrame, key: str, order: str, line: str = "line") ->
     return parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "c"))), lambda x: x["c"]), "").alias("content"))
 
 
+def personas(texts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, system_prompt, params) of texts that hold a persona's JSON object; params is a JSON object too.
+
+    What is missing, and all of a text that isn't a JSON object, has its empty value: '' and {}.
+    """
+    good = valid_json(F.col("text")) & F.startswith(strip(F.col("text")), F.lit("{"))
+    prompt, params = (F.when(good, F.get_json_object("text", f"$.{k}")) for k in ("system_prompt", "params"))
+    return texts.select(key, F.coalesce(prompt, F.lit("")).alias("system_prompt"), F.coalesce(params, F.lit("{}")).alias("params"))
+
+
 def people(entities: DataFrame, query: str) -> DataFrame:
     """Entities (name, aliases) whose name or an alias contains the query, whatever the case."""
     q = F.lit(query.lower())

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.operators import graph, search, vectors
 from grainmill.operators.merge import ranked
 from grainmill.schema import Parameters
+from grainmill.session import cut
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, k: int = 60, limit: int | None = None) -> DataFrame:
@@ -32,12 +35,12 @@ def weak(queries: DataFrame, keyword: DataFrame, gate: float) -> DataFrame:
 def hybrid(nodes: DataFrame, queries: DataFrame, p: Parameters = Parameters(), always_fuse: bool = False) -> DataFrame:
     """The top_k nodes of each query (qid, text, embedding) with their summaries and ranks.
 
-    The vector list joins in only for weak queries (always_fuse: for all). Both lists hold active nodes only.
+    The keyword list is decided first and stored; the vector list is searched for the weak queries alone (always_fuse: for all).
+    Both lists hold active nodes only. nodes is read three times: hand over a stored table, not a costly plan.
     """
-    keyword = search.bm25(nodes, queries, p.fts_limit)
-    vector = vectors.search(nodes.filter("is_active").select("id", "embedding"), queries, p.vector_limit)
-    if not always_fuse:
-        vector = vector.join(weak(queries, keyword, p.gate), "qid", "left_semi")
+    keyword = cut(search.bm25(nodes, queries, p.fts_limit))
+    asking = queries if always_fuse else queries.join(weak(queries, keyword, p.gate), "qid", "left_semi")
+    vector = vectors.search(nodes.filter("is_active").select("id", "embedding"), asking, p.vector_limit)
     top = fuse(keyword, vector, p.rrf_k, p.top_k)
     return top.join(nodes.filter("is_active").select("id", "title", "summary", "confidence"), "id")
 
@@ -51,3 +54,21 @@ def with_evidence(hits: DataFrame, edges: DataFrame, max_depth: int = 3) -> Data
     return (
         hits.join(chain, hits.id == chain.root, "left").drop("root").join(near, "id", "left")
         .withColumns({c: F.coalesce(c, none) for c in ("evidence_chain", "related_nodes")}))
+
+
+def search_response(nodes: DataFrame, queries: DataFrame, limit: int = 5, edges: DataFrame | None = None, p: Parameters = Parameters()) -> DataFrame:
+    """(qid, nodes, total): one row per query with the list of its hits in order and their number; 0 and an empty list without any.
+
+    limit must lie in 1..20. With edges each hit has its evidence_chain and related_nodes.
+    """
+    if not 1 <= limit <= 20:
+        raise ValueError("limit must lie in 1..20")
+    hits = hybrid(nodes, queries, replace(p, top_k=limit))
+    fields = ["id", "title", "summary", "confidence", "rrf_score", "fts_rank", "vec_rank"]
+    if edges is not None:
+        hits = with_evidence(cut(hits), edges, p.graph_max_depth)
+        fields += ["evidence_chain", "related_nodes"]
+    listed = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", *fields))).alias("nodes"))  # at most limit a query
+    shape = F.transform("nodes", lambda n: F.struct(*[n[f].alias(f) for f in fields]))
+    none = F.array().cast(hits.select(F.array(F.struct(*fields))).dtypes[0][1])
+    return queries.select("qid").join(listed, "qid", "left").select("qid", F.coalesce(shape, none).alias("nodes")).withColumn("total", F.size("nodes"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.schema import NODE_DEFAULTS
+from grainmill.session import cut
 
 
 def current(nodes: DataFrame, *columns: str) -> DataFrame:
@@ -49,19 +50,32 @@ def last_writes(writes: DataFrame, keys: list[str], order: list[str]) -> DataFra
 
 
 def versioned_writes(writes: DataFrame, base: DataFrame | None = None, order: list[str] | None = None) -> DataFrame:
-    """(id, seq, expected_version, actual_version, applied, version) of every write, in order per id.
+    """(id, seq, expected_version, actual_version, applied, version) of every write, in order per id, and its other columns.
 
-    writes: (id, expected_version, <order>). A write with an expected version that isn't the current one is a conflict and
+    writes: (id, expected_version, <order>, ...). A write with an expected version that isn't the current one is a conflict and
     changes nothing, unless the node doesn't exist yet; any other raises the version by one (new nodes get 1). base: (id, version)
     of the nodes there are. Writes without id are dropped; repeated rows are writes of their own.
 
-    What a conditional write does depends on all before it, so each id is folded in one sorted pass that holds only the current
-    version, not the group: an id with very many writes costs a task time but no memory.
+    Ids without any expected version are numbered by a window. What a conditional write does depends on all before it, so the
+    other ids are folded in one sorted pass that holds only the current version, not the group: an id with very many writes
+    costs a task time but no memory.
     """
     order = order or ["patch_ts"]
-    w = writes.filter("id is not null").select("id", F.col("expected_version").cast("int").alias("expected_version"), *[c for c in order if c not in ("id", "expected_version")])
+    made = ["seq", "actual_version", "applied", "version"]
+    rest = [c for c in writes.columns if c not in ("id", "expected_version", *made)]
+    w = writes.filter("id is not null").select("id", F.col("expected_version").cast("int").alias("expected_version"), *rest)
     have = (base.select("id", F.col("version").cast("int").alias("_base")) if base is not None else w.select("id", F.lit(None).cast("int").alias("_base")).limit(0))
-    rows = w.join(have, "id", "left").repartition("id").sortWithinPartitions("id", *order).select("id", "expected_version", "_base")
+    rows = w.join(have, "id", "left")
+    conditional = w.filter("expected_version is not null").select("id").distinct()
+    columns = ["id", "seq", "expected_version", "actual_version", "applied", "version", *rest]
+
+    numbered = Window.partitionBy("id").orderBy(*order)
+    first = F.coalesce("_base", F.lit(0))
+    free = rows.join(conditional, "id", "left_anti").withColumn("seq", F.row_number().over(numbered).cast("long")).withColumns({
+        "actual_version": F.when((F.col("seq") > 1) | F.col("_base").isNotNull(), (first + F.col("seq") - 1).cast("int")), "applied": F.lit(True), "version": (first + F.col("seq")).cast("int")})
+
+    sorted_rows = rows.join(conditional, "id", "left_semi").repartition("id").sortWithinPartitions("id", *order).select("id", "expected_version", "_base", *rest)
+    kinds = dict(sorted_rows.dtypes)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, now, seq = None, None, 0
@@ -80,10 +94,33 @@ def versioned_writes(writes: DataFrame, base: DataFrame | None = None, order: li
                     now = (now or 0) + 1
                 after.append(now)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(seqs, pa.int64()), b.column("expected_version"), pa.array(actual, pa.int32()), pa.array(applied, pa.bool_()), pa.array(after, pa.int32())],
-                ["id", "seq", "expected_version", "actual_version", "applied", "version"])
+                [b.column("id"), pa.array(seqs, pa.int64()), b.column("expected_version"), pa.array(actual, pa.int32()), pa.array(applied, pa.bool_()), pa.array(after, pa.int32()), *[b.column(c) for c in rest]],
+                columns)
+
+    schema = "id string, seq long, expected_version int, actual_version int, applied boolean, version int" + "".join(f", `{c}` {kinds[c]}" for c in rest)
+    return free.select(*columns).unionByName(sorted_rows.mapInArrow(fold, schema))
 
-    return rows.mapInArrow(fold, "id string, seq long, expected_version int, actual_version int, applied boolean, version int")
+
+def write_nodes(nodes: DataFrame, writes: DataFrame, order: list[str] | None = None, at: str = "patch_ts") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, patches, conflicts) after conditional writes to nodes with unique ids.
+
+    writes: (id, expected_version, <at>, <order>, attributes of nodes). Accepted writes (see versioned_writes) are applied in order:
+    the attributes given are overwritten, nulls included, version is raised by one each, updated_at becomes the write's time.
+    New nodes are active and have their first write's time as created_at; what is soft-deleted stays so. patches: the accepted
+    writes, for the log. conflicts: see conflicts. The writes are decided once and stored, since all three come from them.
+    """
+    order = order or [at]
+    given = [c for c in nodes.columns if c in writes.columns and c not in ("id", "version", "created_at", "updated_at")]
+    done = cut(versioned_writes(writes, nodes.select("id", "version"), order))
+    accepted = done.filter("applied")
+    last = (
+        accepted.groupBy("id").agg(F.max(F.struct("seq", "version", F.col(at).alias("_at"), *given)).alias("w"), F.min(F.struct("seq", F.col(at).alias("_at"))).alias("f"))
+        .select("id", "w.version", F.col("w._at").alias("updated_at"), F.col("f._at").alias("_first"), *[F.col(f"w.{c}").alias(c) for c in given]))
+    out = upsert(nodes, last.drop("_first"), ["id"])
+    if "created_at" in nodes.columns:
+        born = last.select("id", "_first").join(nodes.select("id"), "id", "left_anti")
+        out = out.join(born, "id", "left").withColumn("created_at", F.coalesce("created_at", F.col("_first").cast(nodes.schema["created_at"].dataType))).select(*nodes.columns)
+    return out, accepted.select("id", "seq", "version", *[c for c in done.columns if c not in ("id", "seq", "version", "applied", "actual_version")]), conflicts(done)
 
 
 def conflicts(done: DataFrame) -> DataFrame:

@@ -2,53 +2,89 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.functions.text import fold_accents, stems
 from grainmill.operators.merge import ranked
-from grainmill.session import broadcast_if_small
+from grainmill.session import broadcast_if_small, cut
 
 # Fixed parameters of the ranking formula.
 K1, B = 1.2, 0.75
+#: Parts over which the nodes of a term are spread where the queries are too many to be broadcast.
+SALT = 16
+
+
+@dataclass(frozen=True)
+class Analyser:
+    """How texts become terms: lower-case runs of a-z, anything else separates. Off by default: accents folded first, stop words
+    (a list, or "english" for Spark's own) dropped, words cut to their stems."""
+
+    fold: bool = False
+    stop_words: str | tuple[str, ...] = ()
+    stem: bool = False
+
+    def terms(self, text: Column) -> Column:
+        lower = F.lower(F.coalesce(text, F.lit("")))
+        words = F.filter(F.split(fold_accents(lower) if self.fold else lower, "[^a-z]+"), lambda w: w != "")
+        stop = StopWordsRemover.loadDefaultStopWords("english") if self.stop_words == "english" else list(self.stop_words)
+        if stop:
+            words = F.filter(words, lambda w: ~w.isin(stop))
+        return stems(words) if self.stem else words
 
 
-def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
-    """Lower-case runs of a-z; anything else separates. There is no stemming, and accents aren't folded."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), lambda w: w != "")
-    return F.filter(words, lambda w: ~w.isin(stop_words)) if stop_words else words
+PLAIN = Analyser()
 
 
-def postings(nodes: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
+def analysed(nodes: DataFrame, how: Analyser = PLAIN) -> DataFrame:
+    """(id, is_active, t, len): the terms of title and summary of each node and their number; a node without terms has none."""
+    active = F.col("is_active") if "is_active" in nodes.columns else F.lit(True).alias("is_active")
+    return nodes.select("id", active, how.terms(F.concat_ws(" ", "title", "summary")).alias("t")).withColumn("len", F.size("t"))
+
+
+def postings(nodes: DataFrame, how: Analyser = PLAIN) -> DataFrame:
     """(id, term, tf, len) over title and summary; len is the number of tokens of the node. Nodes without tokens give no rows."""
-    t = nodes.select("id", tokens(F.concat_ws(" ", "title", "summary"), stop_words).alias("t")).withColumn("len", F.size("t"))
-    return t.select("id", "len", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+    return analysed(nodes, how).select("id", "len", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
 
-def corpus(nodes: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
+def corpus(nodes: DataFrame, how: Analyser = PLAIN) -> DataFrame:
     """One row (n, avgdl): all nodes count, inactive ones and those without tokens included."""
-    return nodes.select(F.size(tokens(F.concat_ws(" ", "title", "summary"), stop_words)).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    return _size(analysed(nodes, how))
+
+
+def _size(t: DataFrame) -> DataFrame:
+    return t.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
 
 
-def statistics(nodes: DataFrame) -> DataFrame:
+def statistics(nodes: DataFrame, how: Analyser = PLAIN) -> DataFrame:
     """(term, df, total): nodes that hold a term and its occurrences."""
-    return postings(nodes).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return postings(nodes, how).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
 
-def bm25(nodes: DataFrame, queries: DataFrame, limit: int = 5, stop_words: list[str] | None = None) -> DataFrame:
+def bm25(nodes: DataFrame, queries: DataFrame, limit: int = 5, how: Analyser = PLAIN) -> DataFrame:
     """(qid, id, score, rank): the best active nodes for each query (qid, text), any term sufficing; rank counts from 0.
 
     Statistics cover all nodes; inactive ones are dropped after scoring. Scores are rounded to 6 digits before ranking; equal ones rank
-    by id. A term that a query repeats counts each time. Postings are cut down to the queries' terms before they are counted.
+    by id. A term that a query repeats counts each time. Nodes are analysed once and stored; only postings of the queries' terms are
+    counted. A term that many nodes hold is spread over SALT parts where it meets the queries that ask for it.
     """
-    asked = queries.select("qid", F.explode(tokens(F.col("text"), stop_words)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+    asked = queries.select("qid", F.explode(how.terms(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
     wanted = broadcast_if_small(asked.select("term").distinct())
-    t = nodes.select("id", "is_active", tokens(F.concat_ws(" ", "title", "summary"), stop_words).alias("t")).withColumn("len", F.size("t"))
-    hits = (
+    t = cut(analysed(nodes, how))
+    hits = cut(
         t.select("id", "is_active", "len", F.explode("t").alias("term")).join(wanted, "term", "left_semi")
         .groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"), F.max("is_active").alias("is_active")))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "term").crossJoin(F.broadcast(corpus(nodes, stop_words)))  # one row
     idf = F.log10((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    per = scored.filter("is_active").withColumn("part", part).join(broadcast_if_small(asked), "term").groupBy("qid", "id").agg(F.round(F.sum(F.col("part") * F.col("times")), 6).alias("score"))
+    weights = cut(asked.join(df, "term").crossJoin(F.broadcast(_size(t))).select("qid", "term", (idf * F.col("times")).alias("weight"), "avgdl"))  # one row
+    few = broadcast_if_small(weights)
+    active = hits.filter("is_active")
+    if few is weights:
+        active = active.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)))
+        few = weights.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+    per = active.join(few, [c for c in ("term", "salt") if c in few.columns and c in active.columns]).groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(per, ["qid"], [F.desc("score"), F.col("id")], limit)

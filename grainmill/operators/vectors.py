@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.operators.merge import ranked
+from grainmill.session import cut
 
-#: Query vectors that a task holds at once; more are answered block by block.
-QUERY_BLOCK = 4096
+#: Query vectors, and vectors of a grid, that a task holds at once.
+QUERY_BLOCK, PIECE = 4096, 65_536
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -39,49 +41,68 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return x[ok] / norm[ok, None], rows[ok]
 
 
-def search(vectors: DataFrame, queries: DataFrame, limit: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
+def _best(names: pa.Array, q: np.ndarray, ids: pa.Array, embeddings: pa.Array, dim: int, limit: int) -> pa.RecordBatch:
+    """The best of some vectors for each query; all that tie with the last are kept, since ids decide between them later."""
+    x, rows = _matrix(embeddings, dim)
+    i, j, cos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((1, 1))
+    if len(rows) and len(q):
+        cos = np.round(q @ x.T, 6)
+        k = min(limit, len(rows))
+        least = np.partition(cos, len(rows) - k, axis=1)[:, len(rows) - k]
+        i, j = np.nonzero(cos >= least[:, None])
+    return pa.RecordBatch.from_arrays([names.take(pa.array(i)), ids.take(pa.array(rows[j])), pa.array(cos[i, j])], ["qid", "id", "similarity"])
+
+
+def search(vectors: DataFrame, queries: DataFrame, limit: int = 10, block: int = QUERY_BLOCK, piece: int = PIECE) -> DataFrame:
     """(qid, id, similarity, rank) of the vectors (id, embedding) most similar to each query (qid, embedding), exactly.
 
-    Null and zero vectors, and those of another length than the queries', are never found and never ask. Similarities are
-    rounded to 6 digits before ranking; equal ones rank by id. Queries are sent to the tasks in blocks of a bounded size, and each batch of
-    vectors is met by one matrix product, which keeps the best of the batch; only those are shuffled.
+    Null and zero vectors, and those of another length than most queries', are never found and never ask. Similarities are
+    rounded to 6 digits before ranking; equal ones rank by id. Up to `block` queries are sent to every task, and the vectors stay
+    where they are read. More are met in a grid: each of the blocks of queries by each of the pieces of vectors is a task of its own, so no
+    task holds more than a block and a piece, and each vector travels once per block. Only the best of a meeting are shuffled.
     """
-    spark = vectors.sparkSession
     asked = queries.select("qid", "embedding").filter("embedding is not null")
+    found = vectors.select("id", "embedding").filter("embedding is not null")
     kind, name = dict(asked.dtypes)["qid"], dict(vectors.dtypes)["id"]
     schema = f"qid {kind}, id {name}, similarity double"
-    out: DataFrame | None = None
-    held: list = []
-
-    def one(rows: list) -> DataFrame:
-        dim = max(len(r["embedding"]) for r in rows)
-        q, at = _matrix(pa.array([r["embedding"] for r in rows], pa.list_(pa.float64())), dim)
-        names = [rows[i]["qid"] for i in at]
-        sent = spark.sparkContext.broadcast((q, names))  # at most one block
+    asked = cut(asked)
+    sizes = asked.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).limit(1).collect()
+    n, dim = asked.count(), sizes[0]["size"] if sizes else 0
+    if not n:
+        return ranked(vectors.sparkSession.createDataFrame([], schema), ["qid"], [F.desc("similarity"), F.col("id")], limit)
+    if n <= block:
+        few = asked.toArrow()  # at most one block
+        sent = vectors.sparkSession.sparkContext.broadcast((few.column("qid").combine_chunks(), few.column("embedding").combine_chunks()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q, names = sent.value
-            ids = pa.array(names)
+            names, q = sent.value
+            q, at = _matrix(q, dim)
+            names = names.take(pa.array(at))
             for b in batches:
-                x, rows = _matrix(b.column("embedding"), dim)
-                if not len(rows) or not len(q):
-                    continue
-                cos = np.round(q @ x.T, 6)
-                k = min(limit, len(rows))
-                # all that tie with the k-th are kept, since ids decide between them later
-                least = np.partition(cos, len(rows) - k, axis=1)[:, len(rows) - k]
-                i, j = np.nonzero(cos >= least[:, None])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), b.column("id").take(pa.array(rows[j])), pa.array(cos[i, j])], ["qid", "id", "similarity"])
-
-        return vectors.select("id", "embedding").filter("embedding is not null").mapInArrow(run, schema)
-
-    for r in asked.toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            out = one(held) if out is None else out.unionByName(one(held))
-            held = []
-    if held:
-        out = one(held) if out is None else out.unionByName(one(held))
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return ranked(out, ["qid"], [F.desc("similarity"), F.col("id")], limit)
+                yield _best(names, q, b.column("id"), b.column("embedding"), dim, limit)
+
+        best = found.mapInArrow(run, schema)
+    else:
+        blocks = -(-n // block)
+        pieces = max(1, -(-found.count() // piece))
+        side = lambda key, many: F.pmod(F.xxhash64(key), F.lit(many)).cast("int")
+        every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+        null_id, null_qid = F.lit(None).cast(name).alias("id"), F.lit(None).cast(kind).alias("qid")
+        grid = (
+            found.select(every(blocks).alias("block"), side("id", pieces).alias("piece"), null_qid, "id", "embedding")
+            .unionByName(asked.select(side("qid", blocks).alias("block"), every(pieces).alias("piece"), "qid", null_id, "embedding")))
+
+        def meet(t: pa.Table) -> pa.Table:
+            mine = t.column("qid").is_valid()
+            q, v = t.filter(mine).combine_chunks(), t.filter(pc.invert(mine)).combine_chunks()
+            out = []
+            if q.num_rows and v.num_rows:
+                x, at = _matrix(q.column("embedding").combine_chunks(), dim)
+                names = q.column("qid").combine_chunks().take(pa.array(at))
+                for i in range(0, v.num_rows, block):
+                    part = v.slice(i, block)
+                    out.append(_best(names, x, part.column("id").combine_chunks(), part.column("embedding").combine_chunks(), dim, limit))
+            return pa.Table.from_batches(out) if out else pa.table({"qid": q.column("qid").slice(0, 0), "id": v.column("id").slice(0, 0), "similarity": pa.array([], pa.float64())})
+
+        best = grid.groupBy("block", "piece").applyInArrow(meet, schema)
+    return ranked(best, ["qid"], [F.desc("similarity"), F.col("id")], limit)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from grainmill.functions import embedding, ids, markup, scoring, times
 from grainmill.operators import consolidate, documents, graph, hybrid, merge, search, vectors
 from grainmill.schema import Parameters
-from grainmill.session import table
+from grainmill.session import cut, store_folder, table
 from grainmill.sources import storage
 
 AS_OF = "2025-06-30 00:00:00"
@@ -19,6 +19,8 @@ SINCE = "2025-01-01 00:00:00"
 #: Texts asked for, with the vec_id of the vector that goes with each.
 ASKED = [("q_law", "law of", 0), ("q_note", "note principle", 1), ("q_none", "zzzz", 2), ("q_open", "open question need", 3), ("q_silent", "silent", 4)]
 WIDE_GATE = Parameters(gate=2.0)
+#: The score from which records are promoted.
+PROMOTE = 0.8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -36,13 +38,11 @@ def _ts(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
 
-def _asked(spark: SparkSession, d: str) -> DataFrame:
-    q = spark.createDataFrame(ASKED, "qid string, text string, vec_id long")
-    return q.join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id").drop("vec_id")
-
-
-def _texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([a[:2] for a in ASKED], "qid string, text string")
+def _asked(spark: SparkSession, d: str, nodes: DataFrame) -> DataFrame:
+    """Queries (qid, text, embedding): the title and vector of every node whose number is divisible by 20, and the fixed texts."""
+    fixed = spark.createDataFrame(ASKED, "qid string, text string, vec_id long").join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id")
+    number = F.regexp_extract("id", r"(\d+)$", 1).try_cast("long")
+    return fixed.select("qid", "text", "embedding").unionByName(nodes.filter(number % 20 == 0).select(F.col("id").alias("qid"), F.col("title").alias("text"), "embedding"))
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +107,21 @@ def trace_cyclic(spark, d):
 
 @query
 def bm25_topk(spark, d):
-    return search.bm25(_now(spark, d, "id", "title", "summary", "is_active"), _texts(spark), 10)
+    n = cut(_now(spark, d, "id", "title", "summary", "is_active", "embedding"))
+    return search.bm25(n, _asked(spark, d, n), 10)
+
+
+@query
+def bm25_folded(spark, d):
+    """Terms without accents and without a few stop words."""
+    n = cut(_now(spark, d, "id", "title", "summary", "is_active", "embedding"))
+    return search.bm25(n, _asked(spark, d, n), 10, search.Analyser(fold=True, stop_words=("the", "of", "on", "and", "note")))
+
+
+@query
+def bm25_stemmed(spark, d):
+    n = cut(_now(spark, d, "id", "title", "summary", "is_active", "embedding"))
+    return search.bm25(n, _asked(spark, d, n), 10, search.Analyser(fold=True, stop_words="english", stem=True))
 
 
 @query
@@ -140,15 +154,15 @@ def vector_dimension(spark, d):
 
 @query
 def rrf_fusion(spark, d):
-    n = _now(spark, d, "id", "title", "summary", "is_active", "embedding")
-    q = _asked(spark, d)
+    n = cut(_now(spark, d, "id", "title", "summary", "is_active", "embedding"))
+    q = cut(_asked(spark, d, n))
     fused = hybrid.fuse(search.bm25(n, q, 10), vectors.search(n.filter("is_active").select("id", "embedding"), q, 10))
     return _filled(fused, "fts_rank", "vec_rank")
 
 
 def _hybrid(spark, d, p, always=False):
-    cols = ("id", "title", "summary", "confidence", "is_active", "embedding")
-    hits = hybrid.hybrid(_now(spark, d, *cols), _asked(spark, d), p, always).withColumn("confidence", F.col("confidence").cast("double"))
+    n = cut(_now(spark, d, "id", "title", "summary", "confidence", "is_active", "embedding"))
+    hits = hybrid.hybrid(n, cut(_asked(spark, d, n)), p, always).withColumn("confidence", F.col("confidence").cast("double"))
     return _filled(hits, "fts_rank", "vec_rank")
 
 
@@ -169,11 +183,18 @@ def hybrid_always(spark, d):
 
 @query
 def hybrid_with_evidence(spark, d):
-    hits = _hybrid(spark, d, WIDE_GATE).select("qid", "id", "rank")
-    out = hybrid.with_evidence(hits, table(spark, d, "edges"))
+    out = hybrid.with_evidence(cut(_hybrid(spark, d, WIDE_GATE)), table(spark, d, "edges"))
     return out.withColumns({c: F.array_join(c, ",") for c in ("evidence_chain", "related_nodes")})
 
 
+@query
+def search_response(spark, d):
+    """One row per query: how many hits, and which, in order; queries without any included."""
+    n = cut(_now(spark, d, "id", "title", "summary", "confidence", "is_active", "embedding"))
+    out = hybrid.search_response(n, cut(_asked(spark, d, n)), 7)
+    return out.select("qid", F.array_join(F.transform("nodes", lambda x: x["id"]), ",").alias("ids"), "total")
+
+
 # Scoring and consolidation
 
 
@@ -214,7 +235,17 @@ def sleep_deep_counters(spark, d):
 
 @query
 def sleep_promotions(spark, d):
-    return consolidate.promotions(_scored(spark, d), 0.5, 0.7).drop("full_content")
+    """Promoted records; full_content is shown by the fields of the record it holds."""
+    out = consolidate.promotions(_scored(spark, d), 0.5, PROMOTE)
+    fields = {f"record_{k}": F.get_json_object("full_content", f"$.{k}") for k in ("session_id", "ts", "content", "access_count")}
+    return out.withColumns(fields).drop("full_content")
+
+
+@query
+def sleep_sessions_counters(spark, d):
+    """Counters of sessions that were asked for, two of which don't exist."""
+    asked = records(spark, d).select("session_id").dropna().distinct().unionByName(spark.createDataFrame([("no-such-1",), ("no-such-2",)], "session_id string"))
+    return consolidate.counters(_scored(spark, d), consolidate.STAGES["rem"], asked)
 
 
 # Writes
@@ -236,7 +267,7 @@ def _writes(spark, d):
 
 @query
 def versioned_writes(spark, d):
-    return _filled(_writes(spark, d), "expected_version", "actual_version")
+    return _filled(_writes(spark, d), "expected_version", "actual_version").drop("patch_ts", "patch_file")
 
 
 @query
@@ -244,6 +275,33 @@ def write_conflicts(spark, d):
     return merge.conflicts(_writes(spark, d))
 
 
+def _written(spark, d):
+    """Nodes of the first snapshot after the conditional writes that came later."""
+    s = table(spark, d, "node_snapshots")
+    first = s.agg(F.min("snapshot_id").alias("snapshot_id"))
+    columns = ("id", "type", "layer", "title", "summary", "confidence", "source", "version", "is_active", "created_at", "updated_at")
+    nodes = merge.current(s.join(F.broadcast(first), "snapshot_id").filter("id <> ''").select(*columns))  # one row
+    p = table(spark, d, "node_patches").crossJoin(F.broadcast(first)).filter(F.col("patch_ts") > F.to_timestamp_ntz("snapshot_id", F.lit("yyyyMMdd_HHmmss")))
+    p = p.select("id", "patch_ts", "patch_file", "expected_version", "type", "layer", "title", "summary", "confidence", "source").distinct()
+    return merge.write_nodes(nodes, p, ["patch_ts", "patch_file", "expected_version"])
+
+
+@query
+def nodes_written(spark, d):
+    out = _written(spark, d)[0].withColumn("confidence", F.col("confidence").cast("double"))
+    return out.withColumns({c: times.iso(F.col(c)) for c in ("created_at", "updated_at")})
+
+
+@query
+def patches_accepted(spark, d):
+    return _written(spark, d)[1].select("id", "seq", "version", "patch_file", "title")
+
+
+@query
+def writes_refused(spark, d):
+    return _written(spark, d)[2]
+
+
 @query
 def soft_delete(spark, d):
     gone = table(spark, d, "edges").filter("rel_type = 'CONTRADICTS'").select(ids.clean_id(F.col("target_id")).alias("id"))
@@ -269,11 +327,13 @@ def edge_upsert(spark, d):
 
 @query
 def embedding_update(spark, d):
-    """Nodes whose version is the number of a vector get that vector; its first coordinate shows."""
+    """Nodes whose version is the number of a vector get that vector; a sum weighted by place shows all coordinates."""
     cur = _now(spark, d, "id", "version", "embedding")
     new = cur.select("id", F.col("version").cast("long").alias("vec_id")).join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id").select("id", "embedding")
     out = merge.update_embeddings(cur, new)
-    return out.select("id", "version", F.round(F.try_element_at("embedding", F.lit(1)).cast("double"), 5).alias("e1"))
+    places = F.zip_with("embedding", F.sequence(F.lit(1), F.size("embedding")), lambda x, i: x.cast("double") * i)
+    whole = F.when((F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.aggregate(places, F.lit(0.0), lambda a, x: a + x))
+    return out.select("id", "version", F.size("embedding").alias("size"), F.round(whole, 3).alias("weighted"))
 
 
 @query
@@ -321,9 +381,229 @@ def ingest_counts(spark, d):
     return storage.ingest_counts(table(spark, d, "nodes"))
 
 
+def _odd_sessions(spark, d):
+    """Records whose session ids hold signs that mean something in paths."""
+    r = records(spark, d)
+    return r.withColumn("session_id", F.concat("session_id", F.lit("/../x:=%"), (F.col("doc_id") % 3).cast("string")))
+
+
+def _session_store(spark, d) -> str:
+    folder = store_folder(spark)
+    half = F.col("doc_id") % 2 == 0
+    for part in (half, ~half):  # the second write appends
+        storage.append_records(_odd_sessions(spark, d).filter(part).drop("doc_id"), folder, _ts(NOW))
+    return folder
+
+
+def _largest_session(spark, d) -> str:
+    row = _odd_sessions(spark, d).dropna(subset=["session_id"]).groupBy("session_id").count().orderBy(F.desc("count"), "session_id").first()
+    return row["session_id"] if row else ""
+
+
+@query
+def session_store(spark, d):
+    r = storage.read_sessions(spark, _session_store(spark, d))
+    return r.select("session_id", "ts", F.md5("content").alias("digest"), "summary", F.coalesce("access_count", F.lit(-1)).alias("access_count"))
+
+
+@query
+def session_read(spark, d):
+    """Records of the largest session."""
+    r = storage.read_sessions(spark, _session_store(spark, d), _largest_session(spark, d))
+    return r.select("session_id", F.md5("content").alias("digest"))
+
+
+@query
+def session_delete(spark, d):
+    """Records per session once the largest session is deleted; deleting it again finds nothing."""
+    folder, largest = _session_store(spark, d), _largest_session(spark, d)
+    found = [storage.delete_session(spark, folder, x) for x in (largest, largest, "x/..", "..")]
+    return storage.read_sessions(spark, folder).groupBy("session_id").agg(F.count("*").alias("n")).withColumn("found", F.lit(",".join(map(str, found)).lower()))
+
+
+def _patch_log(spark, d) -> str:
+    folder = store_folder(spark)
+    p = table(spark, d, "node_patches").filter("patch_ts is not null").select("id", "type", "layer", "title", "summary", "confidence", "source", "expected_version", "patch_ts")
+    storage.create_patches(p, folder, F.col("patch_ts"))
+    return folder
+
+
+@query
+def patch_log_list(spark, d):
+    return storage.list_patches(spark, _patch_log(spark, d), _ts(SINCE)).withColumn("patch_ts", times.iso(F.col("patch_ts")))
+
+
+@query
+def patch_log_read(spark, d):
+    p = storage.read_patches(spark, _patch_log(spark, d))
+    fields = ["id", "type", "layer", "title", "summary", "source"]
+    return p.select("patch_file", *[F.col(f"node.{c}").alias(c) for c in fields], F.round("node.confidence", 4).alias("confidence"), F.coalesce("node.expected_version", F.lit(-1)).alias("expected_version"))
+
+
+@query
+def patch_log_valid(spark, d):
+    return storage.count_valid(storage.read_patches(spark, _patch_log(spark, d)))
+
+
+@query
+def patch_log_cleaned(spark, d):
+    """What the log still holds after those older than a time are deleted, and how many these were."""
+    folder = _patch_log(spark, d)
+    n = storage.cleanup_patches(spark, folder, _ts(SINCE))
+    left = storage.read_patches(spark, folder).groupBy("patch_file").agg(F.count("*").alias("n"))
+    return left.withColumn("n_deleted", F.lit(n).cast("long"))
+
+
+@query
+def snapshot_store(spark, d):
+    """Both tables as they come back from a snapshot that was opened by its pointer."""
+    folder = store_folder(spark)
+    empty_nodes, _ = storage.open_store(spark, folder)
+    storage.create_snapshot(empty_nodes, table(spark, d, "edges").limit(0), folder, "20250101_000000")
+    storage.create_snapshot(table(spark, d, "nodes"), table(spark, d, "edges"), folder, "20250102_000000")
+    nodes, edges = storage.open_store(spark, folder)
+    return nodes.select(F.lit("node").alias("kind"), "id", F.md5("full_content").alias("digest")).unionByName(
+        edges.select(F.lit("edge").alias("kind"), F.col("source_id").alias("id"), F.md5(F.concat_ws("|", "target_id", "rel_type", "properties")).alias("digest")))
+
+
 # Documents
 
 
+def _markdown(spark, d) -> str:
+    """A folder with the front-matter nodes as files, and one with the axioms as pages of a wiki."""
+    folder = store_folder(spark)
+    n = table(spark, d, "dag_nodes").select("id", F.split("path", "/")[1].alias("layer"), "parents", "title", "body")
+    storage.write_nodes_markdown(n, f"{folder}/dag")
+    page = F.concat(F.lit("---\ntitle: "), "title", F.lit("\nsummary: of "), "id", F.lit("\n---\n\n"), F.col("body"), F.lit("\n\n"))
+    storage.write_texts(table(spark, d, "axioms").select(F.lit("wiki").alias("directory"), F.concat("id", F.lit(".md")).alias("name"), page.alias("content")), folder)
+    return folder
+
+
+@query
+def markdown_files(spark, d):
+    """Nodes as they are parsed back from the files they were written to."""
+    files = storage.node_files(spark, f"{_markdown(spark, d)}/dag")
+    return files.select("id", "type", "parents", "title", F.md5("content").alias("digest"), "layer")
+
+
+def _synced(spark, d):
+    folder = _markdown(spark, d)
+    sources = [
+        {"type": "local_markdown", "path": f"{folder}/dag"}, {"type": "github_wiki", "path": f"{folder}/wiki", "target_layer": "L0"},
+        {"type": "other", "path": folder}, {"type": "github_wiki", "path": f"{folder}/none"}]
+    cur = _now(spark, d, "id", "type", "layer", "title", "summary", "full_content", "confidence", "source", "version", "is_active")
+    return storage.sync(spark, cur, sources)
+
+
+@query
+def markdown_import(spark, d):
+    out = _synced(spark, d)[0]
+    return out.select("id", "type", "layer", "title", "summary", F.md5("full_content").alias("digest"), F.col("confidence").cast("double").alias("confidence"), "source", "version", "is_active")
+
+
+@query
+def markdown_import_counts(spark, d):
+    return _synced(spark, d)[1]
+
+
+@query
+def memory_files(spark, d):
+    """Memory files after a write and an append; what was never written has its first content."""
+    folder = store_folder(spark)
+    text = table(spark, d, "axioms").agg(F.min("title")).first()[0] or ""
+    storage.write_memory(spark, folder, "todo", "first\n")
+    storage.write_memory(spark, folder, "todo", text, append=True)
+    storage.write_memory(spark, folder, "no such kind", text)
+    kinds = [*storage.MEMORY_FILES, "no such kind"]
+    return spark.createDataFrame([(k, storage.read_memory(spark, folder, k)) for k in kinds], "kind string, content string")
+
+
+@query
+def personas(spark, d):
+    return documents.personas(table(spark, d, "documents").filter("source = 'persona'"))
+
+
+@query
+def persona_file(spark, d):
+    folder = store_folder(spark)
+    files = [("p", "a.json", '{"system_prompt": "hi", "params": {"temperature": 0.5}}'), ("p", "b.json", "{"), ("p", "c.json", '{"params": {}}')]
+    storage.write_texts(spark.createDataFrame(files, "directory string, name string, content string"), folder)
+    got = [(n, storage.read_persona(spark, f"{folder}/p/{n}.json")) for n in "abcd"]
+    return spark.createDataFrame([(n, x["system_prompt"], str(x["params"].get("temperature", ""))) for n, x in got], "name string, system_prompt string, temperature string")
+
+
+@query
+def social_update(spark, d):
+    """Entities made of nodes, with deep changes made of the last patches: some fields replaced, some added, the others kept."""
+    meta = F.struct("layer", F.lit("kept").alias("mark"))
+    entities = _now(spark, d, "id", "title", "layer").select("id", F.to_json(F.struct("id", F.coalesce("title", F.lit("")).alias("name"), meta.alias("meta"))).alias("entity"))
+    p = table(spark, d, "node_patches").filter("patch_ts is not null").select("id", "patch_ts", "patch_file", "source")
+    last = merge.last_writes(p, ["id"], ["patch_ts", "patch_file"])
+    change = F.to_json(F.struct(F.array(F.lit("x")).alias("aliases"), F.struct(F.lit("new").alias("layer"), F.coalesce("source", F.lit("none")).alias("source")).alias("meta")))
+    out = storage.update_entities(entities, last.select("id", change.alias("change")))
+    paths = {"name": "name", "layer": "meta.layer", "mark": "meta.mark", "source": "meta.source", "alias": "aliases[0]"}
+    return out.select("id", *[F.get_json_object("entity", f"$.{p}").alias(k) for k, p in paths.items()])
+
+
+@query
+def people_search(spark, d):
+    people = _now(spark, d, "id", "title", "source").select("id", F.col("title").alias("name"), F.array("source").alias("aliases"))
+    return documents.people(people, "IMPORT").select("id", "name")
+
+
+@query
+def answers_cut(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(markup.answer_cut(F.col("text"))).alias("digest"), F.length(markup.answer_cut(F.col("text"))).alias("n"))
+
+
+@query
+def stream_decoded(spark, d):
+    """Texts put together again from server-sent lines of one word each; the end mark comes after fifty words."""
+    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("n", "w"))
+    delta = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat("w", F.lit(" ")).alias("content")).alias("delta"))).alias("choices")))
+    chunks = words.select("doc_id", "n", F.explode(F.array(
+        F.when(F.col("n") == 50, "data: [DONE]").otherwise(F.concat(F.lit("data: "), delta)), F.lit(": comment"), F.lit("data: {broken"))).alias("line"))
+    return documents.stream_text(chunks, "doc_id", "n").select("doc_id", F.md5("content").alias("digest"))
+
+
+def _task_lists(spark, d):
+    """(doc_id, tasks): the contents of the tasks of each list, in order."""
+    t = documents.task_lines(table(spark, d, "documents")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "content"))).alias("x"))
+    return t.select("doc_id", F.transform("x", lambda y: y["content"]).alias("tasks"))
+
+
+@query
+def task_capsules(spark, d):
+    paths = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("/dag/a.md"), F.lit("/dag/b.md"))).otherwise(F.array().cast("array<string>"))
+    return _task_lists(spark, d).select("doc_id", F.posexplode(documents.capsules(F.col("tasks"), paths)).alias("pos", "task"))
+
+
+@query
+def todo_append(spark, d):
+    ids_ = F.transform("tasks", lambda t: F.substring(F.md5(t), 1, 8))
+    return _task_lists(spark, d).select("doc_id", documents.append_tasks(F.lit("# list"), F.col("tasks"), ids_).alias("text"))
+
+
+@query
+def report_log(spark, d):
+    r = table(spark, d, "documents").filter("text is not null")
+    return r.select("doc_id", F.md5(documents.report_entry(F.col("doc_id").cast("string"), F.coalesce("source", F.lit("none")), F.col("text"))).alias("digest"))
+
+
+@query
+def short_ids(spark, d):
+    """Drawn ids: all have eight hexadecimal signs."""
+    i = table(spark, d, "documents").select(markup.short_uuid().alias("i"))
+    return i.agg(F.count("*").alias("n"), F.count_if(F.col("i").rlike("^[0-9a-f]{8}$")).alias("n_good"))
+
+
+@query
+def embeddings_encoded(spark, d):
+    """Titles through the encoder whose vectors can be checked; its dimension is that of the result."""
+    v = _now(spark, d, "id", "title").select("id", embedding.embed(F.col("title"), embedding.letter_encoder).alias("e"))
+    return v.select("id", F.coalesce(F.size("e"), F.lit(-1)).alias("size"), F.array_join(F.transform("e", lambda x: x.cast("int").cast("string")), ",").alias("counts"))
+
+
 @query
 def frontmatter_parse(spark, d):
     m = markup.front_matter(F.col("text"))
@@ -387,7 +667,10 @@ def actions_write(spark, d):
 
 @query
 def actions_finish(spark, d):
-    t = table(spark, d, "documents").select("doc_id", markup.finished(F.col("text")).alias("tasks"))
+    """Tasks of finish tags made of the task lists, some with words around the list; and of the texts as they are."""
+    tag = F.concat(F.lit("so [ACTION: FINISH("), F.when(F.col("doc_id") % 2 == 0, "done: ").otherwise(""), F.to_json("tasks"), F.lit(")] end"))
+    made = _task_lists(spark, d).select("doc_id", tag.alias("text"))
+    t = made.unionByName(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", markup.finished(F.col("text")).alias("tasks"))
     return t.filter("tasks is not null").select("doc_id", F.array_join("tasks", "|").alias("tasks"))
 
 

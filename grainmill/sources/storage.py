@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterator, Mapping
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from grainmill.functions.markup import front_matter, header_value, strip
+from grainmill.functions.markup import front_matter, header_value, strip, valid_json
 from grainmill.functions.times import iso
-from grainmill.operators.merge import upsert
-from grainmill.schema import LAYERS, NODES, PATCH, RECORDS, empty
-
+from grainmill.operators.documents import rendered
+from grainmill.operators.merge import last_writes, upsert
+from grainmill.schema import EDGES, LAYERS, NODES, PATCH, RECORDS, empty
 
 
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getRawFileSystem() if fs.getScheme() == "file" else fs, p  # the local checksum layer can't handle colons in names
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -25,28 +30,59 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    fs, p = _fs(spark, old)
+    if not fs.rename(p, _fs(spark, new)[1]):
+        raise OSError(f"can't rename {old}")
+
+
 def _delete(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
-    if fs.getScheme() == "file":
-        fs = fs.getRawFileSystem()  # the local checksum layer can't handle colons in names
     return fs.delete(p, True)
 
 
-# Sessions: one directory per session, so that a session is read or dropped without touching the others.
+def _file_system(path: str):
+    """The file system of a path, for tasks that read or write files by name, and the path within it."""
+    from pyarrow import fs
+
+    local = path.removeprefix("file://").removeprefix("file:")
+    return fs.FileSystem.from_uri(path) if "://" in local else (fs.LocalFileSystem(), local)
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, value): whole small files, also those whose names hold colons, which the local reader refuses."""
+    for b in batches:
+        for path in b.column("path").to_pylist():
+            files, at = _file_system(path)
+            with files.open_input_stream(at) as f:
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read().decode("utf-8", "replace")])], ["path", "value"])
+
+
+# Sessions: JSON lines in a fixed number of buckets by the hash of the session's id, so that any id can be stored, very many
+# sessions make no tiny files, and one session is read or dropped without touching the other buckets.
+
+#: Buckets of a folder of sessions; fixed, since the place of a record depends on it.
+SESSION_BUCKETS = 256
+
+
+def _bucket(session_id: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(session_id, F.lit(""))), F.lit(SESSION_BUCKETS)).cast("int")
 
 
 def append_records(records: DataFrame, folder: str, now: Column) -> None:
     """Append records with session_id; ts is stamped, whatever the caller gave."""
-    records.withColumn("ts", iso(now.cast("timestamp_ntz"))).withColumn("_session", F.col("session_id")).write.mode("append").partitionBy("_session").json(folder)
+    stamped = records.withColumns({"ts": iso(now.cast("timestamp_ntz")), "bucket": _bucket(F.col("session_id"))})
+    stamped.write.mode("append").partitionBy("bucket").json(folder)
 
 
 def read_sessions(spark: SparkSession, folder: str, session_id: str | None = None) -> DataFrame:
     """Records of all sessions or of one; a session that isn't there gives no rows, a line that isn't JSON raises."""
-    if session_id is not None:
-        folder = f"{folder}/_session={session_id}"
     if not exists(spark, folder):
         return empty(spark, RECORDS)
-    return spark.read.schema(RECORDS).option("mode", "FAILFAST").json(folder)
+    rows = spark.read.schema(T.StructType([*RECORDS, T.StructField("bucket", T.IntegerType())])).option("mode", "FAILFAST").json(folder)
+    if session_id is not None:
+        rows = rows.filter((F.col("bucket") == _bucket(F.lit(session_id))) & (F.col("session_id") == session_id))
+    return rows.select(*RECORDS.fieldNames())
 
 
 def list_sessions(records: DataFrame) -> DataFrame:
@@ -54,20 +90,31 @@ def list_sessions(records: DataFrame) -> DataFrame:
 
 
 def delete_session(spark: SparkSession, folder: str, session_id: str) -> bool:
-    """Whether there was such a session."""
-    path = f"{folder}/_session={session_id}"
-    return exists(spark, path) and _delete(spark, path)
+    """Whether there was such a session. Its bucket is written anew without it, then put in the old one's place; no path is made of the id."""
+    if read_sessions(spark, folder, session_id).isEmpty():
+        return False
+    bucket = spark.range(1).select(_bucket(F.lit(session_id))).first()[0]
+    old, new, aside = f"{folder}/bucket={bucket}", f"{folder}/.new-{uuid.uuid4().hex}", f"{folder}/.old-{uuid.uuid4().hex}"
+    whole = spark.read.text(old)  # lines as they are: fields outside the schema stay
+    whole.filter(~F.col("value").isNull() & ~F.get_json_object("value", "$.session_id").eqNullSafe(F.lit(session_id))).write.text(new)
+    _rename(spark, old, aside)
+    _rename(spark, new, old)
+    _delete(spark, aside)
+    return True
 
 
 def session_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(RECORDS).json(folder)
 
 
-# Patches: one JSON document per accepted write, named by its time.
+# Patches: JSON lines {node, ts}, one per accepted write, in a directory per month below _log. A patch is called by its time; single
+# files of that name, as other writers leave them in the folder itself, are patches too. A name that begins with _ keeps the log from the
+# reader of single files.
 
 
 def patch_name(ts: Column) -> Column:
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("_patch.json"))
+    """Name of the patch of an ISO time."""
+    return F.concat(ts, F.lit("_patch.json"))
 
 
 def patch_time(name: Column) -> Column:
@@ -77,14 +124,44 @@ def patch_time(name: Column) -> Column:
 
 
 def create_patches(nodes: DataFrame, folder: str, now: Column) -> None:
-    """Append {node, ts} documents to the log."""
-    nodes.select(F.struct(*nodes.columns).alias("node"), iso(now.cast("timestamp_ntz")).alias("ts")).write.mode("append").option("maxRecordsPerFile", 10_000).json(folder)
+    """Append {node, ts} documents to the log; now may be a column of nodes and isn't part of the node then."""
+    at = "_at"
+    rows = nodes.withColumn(at, now.cast("timestamp_ntz"))
+    columns = [c for c in nodes.columns if c in PATCH["node"].dataType.fieldNames()]
+    docs = rows.select(F.struct(*columns).alias("node"), iso(F.col(at)).alias("ts"), F.date_format(at, "yyyy-MM").alias("month"))
+    docs.write.mode("append").partitionBy("month").json(f"{folder}/_log")
+
+
+def read_patches(spark: SparkSession, folder: str) -> DataFrame:
+    """(node, ts, patch_file, patch_ts, broken) of all patches of a folder.
+
+    Documents of the log are lines; single files hold one document over one or more lines, or one per line. Documents that aren't JSON come
+    out with nulls and broken set. patch_file is a single file's own name, else made of the document's time.
+    """
+    fs, p = _fs(spark, folder)
+    parts = []
+    if fs.exists(p):
+        children = [x.getPath().getName() for x in fs.listStatus(p)]
+        if "_log" in children:
+            parts.append(spark.read.text(f"{folder}/_log").select(F.col("value").alias("d"), F.lit(None).cast("string").alias("file")).filter(strip(F.col("d")) != ""))
+        if any(c.endswith(".json") for c in children):
+            paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select("path")
+            files = paths.mapInArrow(_contents, "path string, value string").select("value", F.substring_index("path", "/", -1).alias("file"))
+            lines = F.filter(F.split("value", "\n"), lambda x: strip(x) != "")
+            parts.append(files.select(F.explode(F.when(valid_json(F.col("value")), F.array("value")).otherwise(lines)).alias("d"), "file"))
+    if not parts:
+        return spark.createDataFrame([], f"node {PATCH['node'].dataType.simpleString()}, ts string, patch_file string, patch_ts timestamp_ntz, broken boolean")
+    docs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    doc = F.from_json("d", PATCH)
+    name = F.coalesce("file", patch_name(doc["ts"]))
+    rows = docs.select(doc["node"].alias("node"), doc["ts"].alias("ts"), name.alias("patch_file"), (~valid_json(F.col("d"))).alias("broken"))
+    return rows.select("node", "ts", "patch_file", patch_time(F.col("patch_file")).alias("patch_ts"), "broken")
 
 
 def patches_since(names: DataFrame, since: Column | None = None) -> DataFrame:
-    """(patch_file, patch_ts) of distinct names, times at or after since; names without a readable time are skipped if since is given."""
+    """(patch_file, patch_ts) of distinct names in their order, times at or after since; names without a readable time are skipped if since is given."""
     rows = names.select("patch_file").distinct().withColumn("patch_ts", patch_time(F.col("patch_file")))
-    return rows if since is None else rows.filter(F.col("patch_ts") >= since)
+    return (rows if since is None else rows.filter(F.col("patch_ts") >= since)).orderBy("patch_file")
 
 
 def patches_older(names: DataFrame, than: Column) -> DataFrame:
@@ -92,21 +169,9 @@ def patches_older(names: DataFrame, than: Column) -> DataFrame:
     return names.select("patch_file").distinct().withColumn("patch_ts", patch_time(F.col("patch_file"))).filter(F.col("patch_ts") < than)
 
 
-def list_patch_files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*_patch.json").load(folder).select(F.col("path").alias("patch_file"))
-
-
-def read_patches(spark: SparkSession, folder: str) -> DataFrame:
-    """(node, ts, patch_file, broken) of files that hold one JSON document, over one or more lines, or one per line.
-
-    Documents that aren't JSON come out with nulls and broken set.
-    """
-    files = spark.read.text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("patch_file"))
-    lines = F.filter(F.split("value", "\n"), lambda x: strip(x) != "")
-    parts = F.when(F.try_parse_json("value").isNotNull(), F.array("value")).otherwise(lines)
-    docs = files.select("patch_file", F.explode(parts).alias("d"))
-    doc = F.from_json("d", PATCH)
-    return docs.select(doc["node"].alias("node"), doc["ts"].alias("ts"), "patch_file", F.try_parse_json("d").isNull().alias("broken"))
+def list_patches(spark: SparkSession, folder: str, since: Column | None = None) -> DataFrame:
+    """(patch_file, patch_ts) of the patches of a folder, in order; see patches_since."""
+    return patches_since(read_patches(spark, folder), since)
 
 
 def count_valid(patches: DataFrame) -> DataFrame:
@@ -114,10 +179,30 @@ def count_valid(patches: DataFrame) -> DataFrame:
 
 
 def cleanup_patches(spark: SparkSession, folder: str, than: Column) -> int:
-    """Delete the files strictly older; how many there were. The list of names to delete is read piece by piece."""
-    n = 0
-    for r in patches_older(list_patch_files(spark, folder), than).toLocalIterator():
-        n += bool(_delete(spark, r["patch_file"]))
+    """Delete the patches strictly older; how many there were. Months that are older as a whole are dropped, the month of `than` is written
+    anew without them, single files go one by one. The driver sees the names of the months, and those of single files piece by piece."""
+    moment = spark.range(1).select(than.cast("timestamp_ntz").alias("t"), F.date_format(than.cast("timestamp_ntz"), "yyyy-MM").alias("d")).first()
+    fs, p = _fs(spark, folder)
+    if not fs.exists(p):
+        return 0
+    n = patches_older(read_patches(spark, folder), than).count()
+    children = [x.getPath().getName() for x in fs.listStatus(p)]
+    log = f"{folder}/_log"
+    months = [x.getPath().getName() for x in fs.listStatus(_fs(spark, log)[1])] if exists(spark, log) else []
+    for month in [c for c in months if c.startswith("month=") and c[6:] < moment["d"]]:
+        _delete(spark, f"{log}/{month}")
+    last = f"month={moment['d']}"
+    if last in months:
+        old, new, aside = f"{log}/{last}", f"{log}/.new-{uuid.uuid4().hex}", f"{log}/.old-{uuid.uuid4().hex}"
+        at = patch_time(patch_name(F.get_json_object("value", "$.ts")))
+        spark.read.text(old).filter(at.isNull() | (at >= F.lit(moment["t"]))).write.text(new)
+        _rename(spark, old, aside)
+        _rename(spark, new, old)
+        _delete(spark, aside)
+    if any(c.endswith("_patch.json") for c in children):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*_patch.json").load(folder).select(F.col("path").alias("patch_file"))
+        for r in patches_older(files, F.lit(moment["t"])).toLocalIterator():
+            _delete(spark, r["patch_file"])
     return n
 
 
@@ -133,6 +218,13 @@ def create_snapshot(nodes: DataFrame, edges: DataFrame, folder: str, snapshot: s
     return snapshot
 
 
+def open_store(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the store in a folder: those of its latest snapshot, or empty tables of the store's schemas if there is none."""
+    if latest_snapshot(spark, folder) is None:
+        return empty(spark, NODES), empty(spark, EDGES)
+    return read_snapshot(spark, folder)
+
+
 def latest_snapshot(spark: SparkSession, folder: str) -> str | None:
     if not exists(spark, f"{folder}/latest"):
         return None
@@ -175,6 +267,37 @@ def node_files(spark: SparkSession, base: str) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], "id string, type string, parents string, title string, content string, path string, layer string")
 
 
+def write_texts(files: DataFrame, base: str) -> None:
+    """Write (directory, name, content) as files <base>/<directory>/<name>; of rows with the same place the greatest text is written.
+
+    Each task writes the files of its own rows through the file system of the folder, under a hidden name first, so a task
+    that is run again leaves whole files only. Rows with a null are left out.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = _file_system(base)
+        for b in batches:
+            for folder, name, text in zip(*(b.column(c).to_pylist() for c in ("directory", "name", "content"))):
+                fs.create_dir(f"{top}/{folder}", recursive=True)
+                hidden = f"{top}/{folder}/.{name}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(hidden) as f:
+                    f.write(text.encode())
+                fs.move(hidden, f"{top}/{folder}/{name}")
+            yield b.select(["name"])
+
+    one = files.dropna(subset=["directory", "name", "content"]).groupBy("directory", "name").agg(F.max("content").alias("content"))
+    one.mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+
+
+def write_nodes_markdown(nodes: DataFrame, base: str) -> DataFrame:
+    """Write nodes (id, layer, parents, title, body) as markdown files <base>/<directory>/<id>.md; (id, message) of each.
+
+    Nodes of which no id is left give their error text and no file.
+    """
+    done = rendered(nodes)
+    write_texts(done.select("directory", F.concat("id", F.lit(".md")).alias("name"), "content"), base)
+    return done.select("id", "message")
+
+
 def imported(files: DataFrame, layer: str = "L1", source: str = "local_import") -> DataFrame:
     """Node rows of markdown files (path, stem, text): id is the file's stem; title and summary come from the header, by default
     the stem and ''. Of files with the same stem the greatest path holds. A file without a header gives its whole text."""
@@ -201,8 +324,6 @@ def sync(spark: SparkSession, nodes: DataFrame, sources: list[Mapping[str, str]]
         rows = got if rows is None else rows.unionByName(got)
     if rows is None:
         return nodes, spark.createDataFrame([], "source string, n long")
-    from grainmill.operators.merge import last_writes
-
     one = last_writes(rows, ["id"], ["source"])
     return upsert(nodes, one, ["id"]), ingest_counts(rows)
 
@@ -252,15 +373,36 @@ def read_persona(spark: SparkSession, path: str) -> dict:
     return none | {k: got[k] for k in none if k in got} if isinstance(got, dict) else none
 
 
-def update_entity(graph: DataFrame, entity_id: str, change: Mapping[str, object], today: Column) -> DataFrame:
-    """A social graph (entities: array<struct<id, ...>>, updated) with fields of one entity overwritten and the date set."""
-    fields = graph.schema["entities"].dataType.elementType.fieldNames()
+def update_entities(entities: DataFrame, changes: DataFrame) -> DataFrame:
+    """(id, entity) with JSON objects, after the changes (id, change), JSON objects too, at most one per id.
 
-    def merged(e: Column) -> Column:
-        new = F.struct(*[(F.lit(change[f]) if f in change else e[f]).alias(f) for f in fields])
-        return F.when(e["id"] == entity_id, new).otherwise(e)
+    Values are merged deeply: objects key by key, everything else is replaced, new keys are added; keys come out sorted. Entities
+    without a change, and those whose change isn't an object, stay as they are; changes to unknown entities do nothing.
+    """
+    @F.pandas_udf("string")
+    def merged(old: pd.Series, new: pd.Series) -> pd.Series:
+        def deep(a: object, b: object) -> object:
+            return {**a, **{k: deep(a[k], v) if k in a else v for k, v in b.items()}} if isinstance(a, dict) and isinstance(b, dict) else b
 
-    return graph.withColumns({"entities": F.transform("entities", merged), "updated": today})
+        def one(a: str | None, b: str | None) -> str | None:
+            try:
+                change = json.loads(b)
+                return json.dumps(deep(json.loads(a), change), ensure_ascii=False, sort_keys=True) if isinstance(change, dict) else a
+            except (TypeError, ValueError):
+                return a
+
+        return pd.Series([one(a, b) for a, b in zip(old, new)], dtype=object)
+
+    rows = entities.select("id", "entity").join(changes.select("id", "change"), "id", "left")
+    return rows.select("id", F.when(F.col("change").isNull(), F.col("entity")).otherwise(merged("entity", "change")).alias("entity"))
+
+
+def update_entity(graph: DataFrame, entity_id: str, change: Mapping[str, object], today: Column) -> DataFrame:
+    """A social graph (id, entity, updated), one row per entity with its JSON object, after a deep merge of a change into one
+    entity; updated is set in all rows. See update_entities."""
+    spark = graph.sparkSession
+    one = spark.createDataFrame([(entity_id, json.dumps(change, ensure_ascii=False))], "id string, change string")
+    return update_entities(graph, one).withColumn("updated", today)
 
 
 def empty_nodes(spark: SparkSession) -> DataFrame:

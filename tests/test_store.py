@@ -7,7 +7,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from grainmill.functions import embedding, ids, markup, scoring, times
+from grainmill import session
+from grainmill.functions import embedding, ids, markup, scoring, text, times
 from grainmill.operators import consolidate, documents, graph, hybrid, merge, search, vectors
 from grainmill.schema import NODES, PATCH, RECORDS, Parameters, empty
 from grainmill.sources import storage
@@ -68,6 +69,62 @@ def test_bm25_counts_inactive_nodes_in_its_statistics(spark):
     assert out[0]["score"] == pytest.approx(idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 2 / avg)), abs=1e-6)
 
 
+def test_analyser(spark):
+    words = "Élan of the Ñandú running; naïve cafés cafe\u0301"
+    t = spark.createDataFrame([(words,), (None,)], "t string")
+    terms = lambda how: [r[0] for r in t.select(how.terms(F.col("t"))).collect()]
+    assert terms(search.Analyser())[0][:3] == ["lan", "of", "the"] and terms(search.Analyser())[1] == []
+    assert terms(search.Analyser(fold=True, stop_words=("of", "the"))) == [["elan", "nandu", "running", "naive", "cafes", "cafe"], []]
+    assert terms(search.Analyser(fold=True, stop_words="english", stem=True)) == [["elan", "nandu", "run", "naiv", "cafe", "cafe"], []]
+
+
+@pytest.mark.parametrize("word,stem", [("caresses", "caress"), ("ponies", "poni"), ("agreed", "agre"), ("conflated", "conflat"), ("hopping", "hop"), ("filing", "file"), ("sky", "sky"), ("happy", "happi"), (
+    "relational", "relat"), ("hopefulness", "hope"), ("adoption", "adopt"), ("controlling", "control"), ("oscillators", "oscil"), ("as", "as")])
+def test_stems(word, stem):
+    assert text.porter(word) == stem
+
+
+def test_many_queries_meet_salted_terms(spark, monkeypatch):
+    n = nodes(spark, [{"id": f"n{i:03d}", "title": f"red w{i % 7} fox{'es' * (i % 3)}", "is_active": i % 5 > 0} for i in range(80)])
+    q = spark.createDataFrame([(f"q{i}", "red fox" if i % 2 else f"red w red {i}") for i in range(9)] + [("none", None)], "qid string, text string")
+    want = sorted(map(tuple, search.bm25(n, q, 4).collect()))
+    monkeypatch.setattr(search, "broadcast_if_small", lambda df: df)
+    assert sorted(map(tuple, search.bm25(n, q, 4).collect())) == want and len(want) == 36
+    assert search.bm25(n.limit(0), q).count() == 0 and search.bm25(n, q.limit(0)).count() == 0
+
+
+def test_search_response(spark):
+    n = nodes(spark, [{"id": x, "title": "fox", "is_active": True, "embedding": [1.0, 0.0]} for x in "abc"])
+    q = spark.createDataFrame([("q1", "fox", None), ("q2", "zzz", None)], "qid string, text string, embedding array<float>")
+    out = {r["qid"]: r for r in hybrid.search_response(n, q, 2, edges(spark)).collect()}
+    assert [x["id"] for x in out["q1"]["nodes"]] == ["a", "b"] and out["q1"]["total"] == 2 and out["q2"]["nodes"] == [] and out["q2"]["total"] == 0
+    assert out["q1"]["nodes"][1]["evidence_chain"] == ["a", "c", "d"]
+    for bad in (0, 21):
+        with pytest.raises(ValueError):
+            hybrid.search_response(n, q, bad)
+
+
+def test_a_cluster_must_name_its_folder(spark, monkeypatch):
+    class Context:
+        master, getCheckpointDir = "spark://host", staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    with pytest.raises(ValueError):
+        session.shared_folder(type("S", (), {"sparkContext": Context})())
+
+
+def test_scratch_removes_its_tables(spark):
+    with session.scratch():
+        kept = session.cut(spark.range(3))
+        with session.scratch():
+            inner = session.cut(spark.range(4))
+            store = session.store_folder(spark)
+            inner.write.parquet(store)
+            paths = [inner.inputFiles()[0].rsplit("/", 1)[0], store]
+            assert all(storage.exists(spark, p) for p in paths)
+        assert not any(storage.exists(spark, p) for p in paths) and kept.count() == 3
+
+
 def test_vector_search_skips_unusable_vectors(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1.0]), ("z", [0.0, 0.0]), ("n", None), ("s", [1.0]), ("f", [float("nan"), 1.0]), ("c", [2.0, 0.0])], "id string, embedding array<float>")
     q = spark.createDataFrame([("q", [1.0, 0.0]), ("zero", [0.0, 0.0]), ("none", None)], "qid string, embedding array<float>")
@@ -77,6 +134,13 @@ def test_vector_search_skips_unusable_vectors(spark):
     assert vectors.search(v, q.limit(0)).count() == 0
     many = spark.createDataFrame([(f"q{i}", [1.0, float(i)]) for i in range(7)], "qid string, embedding array<float>")
     assert vectors.search(v, many, 1, block=3).count() == 7
+    rng = np.random.default_rng(1)
+    more = spark.createDataFrame([(f"v{i}", [float(x) for x in rng.standard_normal(2)]) for i in range(60)], "id string, embedding array<float>").unionByName(v)
+    asked = many.unionByName(q)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(vectors.search(more, asked, 4)) == rows(vectors.search(more, asked, 4, block=2, piece=7))
+    clash = more.withColumns({"qid": F.lit("x"), "block": F.lit(1), "rank": F.lit(9)})
+    assert rows(vectors.search(clash, asked.withColumn("id", F.lit("y")), 4, block=2, piece=7)) == rows(vectors.search(more, asked, 4))
 
 
 def test_hybrid_with_evidence(spark):
@@ -160,6 +224,23 @@ def test_versioned_writes(spark, got):
     assert merge.versioned_writes(w.limit(0)).count() == 0
 
 
+def test_write_nodes(spark, got):
+    n = nodes(spark, [{"id": "x", "version": 1, "title": "old", "is_active": False, "embedding": [1.0], "created_at": NOW}, {"id": "k", "version": 5, "title": "kept", "is_active": True}])
+    day = lambda i: NOW + dt.timedelta(days=i)
+    w = spark.createDataFrame(
+        [("x", None, day(1), "a"), ("x", 2, day(2), None), ("x", 2, day(3), "no"), ("y", 7, day(1), "new"), ("y", None, day(2), "newer"), ("k", 4, day(1), "refused"), (None, None, day(1), "lost")],
+        "id string, expected_version int, patch_ts timestamp_ntz, title string")
+    out, patches, refused = merge.write_nodes(n, w)
+    assert got(out, "id", "version", "title", "is_active", "created_at", "updated_at", "embedding") == [
+        ("k", 5, "kept", True, None, None, None), ("x", 3, None, False, NOW, day(2), [1.0]), ("y", 2, "newer", True, day(1), day(2), None)]
+    assert got(patches, "id", "seq", "version", "title") == [("x", 1, 2, "a"), ("x", 2, 3, None), ("y", 1, 1, "new"), ("y", 2, 2, "newer")]
+    assert got(refused) == [("k", 1, 4, 5), ("x", 3, 2, 3)]
+    out, patches, refused = merge.write_nodes(n, w.limit(0))
+    assert out.count() == 2 and patches.count() == refused.count() == 0
+    extra = w.withColumns({c: F.lit("clash") for c in ("seq", "version", "applied", "actual_version", "updated_at")})
+    assert got(merge.write_nodes(n, extra)[0], "id", "version", "updated_at") == got(merge.write_nodes(n, w)[0], "id", "version", "updated_at")
+
+
 def test_soft_delete_edges_embeddings(spark, got):
     n = nodes(spark, [{"id": "a", "is_active": True, "version": 1}, {"id": "b", "is_active": True, "version": 1}])
     gone = spark.createDataFrame([("a",), ("q",), ("a",), (None,)], "id string")
@@ -187,10 +268,20 @@ def test_patches_and_snapshots(spark, tmp_path, got):
     assert storage.count_valid(p).first()[0] == 2 and got(p.filter("not broken"), "node.id", "ts") == [("a", "2024-02-01T00:00:00"), ("b", "2024-02-01T00:00:00")]
     (tmp_path / "p").mkdir()
     for name in ("2024-01-01T00:00:00.000001_patch.json", "2024-02-01T00:00:00_patch.json", "broken_patch.json"):
-        (tmp_path / "p" / name).write_text("{}")
-    names = storage.list_patch_files(spark, f"{d}/p")
-    assert storage.patches_since(names, ts(NOW)).count() == 1 and storage.patches_since(names).count() == 3
-    assert storage.cleanup_patches(spark, f"{d}/p", ts(NOW)) == 1 and len(list((tmp_path / "p").glob("*_patch.json"))) == 2
+        (tmp_path / "p" / name).write_text('{\n "node": {"id": "x"},\n "ts": "t"}')
+    storage.create_patches(rows.withColumn("at", F.when(F.col("id") == "a", ts("2024-01-15 00:00:00")).otherwise(ts("2024-02-20 00:00:00.5"))), f"{d}/p", F.col("at"))
+    log = f"{d}/p"
+    want = ["2024-01-01T00:00:00.000001", "2024-01-15T00:00:00", "2024-02-01T00:00:00", "2024-02-20T00:00:00.500000", "broken"]
+    assert [r[0] for r in storage.list_patches(spark, log).collect()] == [f"{x}_patch.json" for x in want]
+    assert storage.list_patches(spark, log, ts(NOW)).count() == 2
+    assert got(storage.read_patches(spark, log), "patch_file", "node.id")[0] == (f"{want[0]}_patch.json", "x")
+    assert got(storage.read_patches(spark, log).filter("not broken"), "node.id") == [("a",), ("b",), ("x",), ("x",), ("x",)]
+    assert storage.cleanup_patches(spark, log, ts(NOW)) == 2 and storage.list_patches(spark, log).count() == 3
+    assert storage.cleanup_patches(spark, log, ts("2024-02-20 00:00:00.5")) == 1 and got(storage.read_patches(spark, log), "patch_file") == [(f"{want[3]}_patch.json",), ("broken_patch.json",)]
+    assert storage.cleanup_patches(spark, f"{d}/none", ts(NOW)) == 0 and storage.read_patches(spark, f"{d}/none").count() == 0
+    state = spark.createDataFrame([("b", 1, "old")], "id string, version int, title string")
+    node = storage.read_patches(spark, log).filter("ts is not null and patch_ts is not null").select("patch_ts", "node.id", "node.title")
+    assert got(merge.replay(state, node)) == [("b", 2, None)]
     n = nodes(spark, [{"id": "a", "is_active": False}])
     s = storage.create_snapshot(n, edges(spark), f"{d}/snap", "20240201_000000")
     assert storage.latest_snapshot(spark, f"{d}/snap") == s and [x.count() for x in storage.read_snapshot(spark, f"{d}/snap")] == [1, 6]
@@ -209,12 +300,28 @@ def test_replay(spark, got):
 
 def test_sessions(spark, tmp_path, got):
     d = f"{tmp_path}/s"
-    r = _records(spark, [("s1", "will be stamped", "x", None, 1), ("s2", None, "y", None, None)])
+    odd = ["s1", "2024:01", "a/b", "k=v", "x/..", "..", "%2e", "", "s 2"]
+    r = _records(spark, [("s1", "will be stamped", "x", None, 1), *[(i, None, i, None, None) for i in odd[1:]], (None, None, "nobody's", None, 1)])
     storage.append_records(r, d, ts(NOW))
+    storage.append_records(r.limit(0), d, ts(NOW))
     assert got(storage.read_sessions(spark, d, "s1"), "session_id", "ts", "content") == [("s1", "2024-02-01T00:00:00", "x")]
-    assert got(storage.list_sessions(storage.read_sessions(spark, d))) == [("s1",), ("s2",)]
-    assert storage.delete_session(spark, d, "s1") and not storage.delete_session(spark, d, "s1")
-    assert storage.read_sessions(spark, d, "s1").count() == 0 and storage.read_sessions(spark, d).count() == 1
+    assert got(storage.list_sessions(storage.read_sessions(spark, d))) == sorted(((i,) for i in odd), key=repr)
+    for i in odd[1:]:
+        assert got(storage.read_sessions(spark, d, i), "session_id", "content") == [(i, i)]
+    for k, i in enumerate(["x/..", "..", "s1", "a/b"]):
+        assert storage.delete_session(spark, d, i) and not storage.delete_session(spark, d, i)
+        assert storage.read_sessions(spark, d, i).count() == 0 and storage.read_sessions(spark, d).count() == len(odd) - k
+    assert not storage.delete_session(spark, d, "../s") and not storage.delete_session(spark, f"{d}/none", "x")
+    storage.append_records(r.limit(1), d, ts(NOW))
+    assert storage.read_sessions(spark, d, "s1").count() == 1 and storage.read_sessions(spark, d).filter("session_id is null").count() == 1
+
+
+def test_bucket_keeps_unknown_fields(spark, tmp_path):
+    d = f"{tmp_path}/s"
+    r = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "session_id string, content string, extra int")
+    storage.append_records(r, d, ts(NOW))
+    before = [x for x in spark.read.json(d).collect() if x["session_id"] == "b"]
+    assert storage.delete_session(spark, d, "a") and [tuple(x) for x in spark.read.json(d).collect()] == [tuple(x) for x in before]
 
 
 def test_stream(spark, tmp_path):
@@ -243,6 +350,16 @@ def test_markdown(spark, tmp_path, got):
     assert storage.node_files(spark, f"{tmp_path}/nothing").count() == 0
 
 
+def test_markdown_written(spark, tmp_path, got):
+    n = spark.createDataFrame([("a 1", "L2_Engineering", "p", "T", "b"), ("a1", "L2_Engineering", None, "U", "b"), ("c", None, None, "V", None), ("!", "L1", None, "W", "b")], "id string, layer string, parents string, title string, body string")
+    messages = storage.write_nodes_markdown(n, str(tmp_path))
+    assert got(messages, "id") == [("",), ("a1",), ("a1",), ("c",)]
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*.md")) == ["L1_Theorems/c.md", "L2_Engineering/a1.md"]
+    assert got(storage.node_files(spark, str(tmp_path)), "id", "title", "layer") == [("a1", "T", "L2_Engineering"), ("c", "V", "L1_Theorems")]
+    storage.write_nodes_markdown(n.limit(0), f"{tmp_path}/none")
+    assert storage.open_store(spark, f"{tmp_path}/none")[0].columns == NODES.fieldNames()
+
+
 def test_fetch_and_render(spark):
     f = spark.createDataFrame([("a", "x" * 1500), ("b", "x" * 1501)], "id string, content string")
     out = {r["id"]: r["content"] for r in documents.fetch(f, spark.createDataFrame([(" a!",), ("b",), ("zz",)], "id string")).collect()}
@@ -289,7 +406,7 @@ def test_messages(spark, got):
     assert got(documents.stream_text(s, "key", "n")) == [("k", "Hey")]
 
 
-def test_people_personas_memory(spark, tmp_path):
+def test_people_personas_memory(spark, tmp_path, got):
     e = spark.createDataFrame([("Ann Lee", ["AL"]), ("Bob", None)], "name string, aliases array<string>")
     assert [r["name"] for r in documents.people(e, "al").collect()] == ["Ann Lee"]
     (tmp_path / "p.json").write_text('{"system_prompt": "hi", "params": {"temperature": 0.5}, "x": 1}')
@@ -300,8 +417,14 @@ def test_people_personas_memory(spark, tmp_path):
     storage.write_memory(spark, str(tmp_path), "todo", "one")
     storage.write_memory(spark, str(tmp_path), "todo", "two", append=True)
     assert storage.read_memory(spark, str(tmp_path), "todo") == "onetwo\n"
-    g = spark.createDataFrame([([("a", "x"), ("b", "y")], "old")], "entities array<struct<id:string,name:string>>, updated string")
-    assert [tuple(x) for x in storage.update_entity(g, "b", {"name": "new"}, F.lit("2024-02-01")).first()["entities"]] == [("a", "x"), ("b", "new")]
+    g = spark.createDataFrame([("a", '{"id":"a","n":{"x":1,"y":[1]}}', "old"), ("b", '{"id":"b","n":1}', "old"), ("c", "broken", "old"), ("d", None, "old")], "id string, entity string, updated string")
+    out = {r["id"]: r for r in storage.update_entity(g, "a", {"n": {"y": [2], "z": {"q": None}}, "name": "新"}, F.lit("2024-02-01")).collect()}
+    assert json.loads(out["a"]["entity"]) == {"id": "a", "n": {"x": 1, "y": [2], "z": {"q": None}}, "name": "新"} and {r["updated"] for r in out.values()} == {"2024-02-01"}
+    assert out["b"]["entity"] == '{"id":"b","n":1}' and out["c"]["entity"] == "broken" and out["d"]["entity"] is None
+    changes = spark.createDataFrame([("a", "[1]"), ("b", '{"n":{"k":1}}'), ("c", "{}"), ("zz", "{}")], "id string, change string")
+    assert [r["entity"] for r in storage.update_entities(g, changes).orderBy("id").collect()] == ['{"id":"a","n":{"x":1,"y":[1]}}', '{"id": "b", "n": {"k": 1}}', "broken", None]
+    p = spark.createDataFrame([(1, '{"system_prompt":"x","params":{"t":1}}'), (2, "[1]"), (3, "{} more"), (4, None), (5, '{"params":{}}')], "doc_id int, text string")
+    assert got(documents.personas(p)) == [(1, "x", '{"t":1}'), (2, "", "{}"), (3, "", "{}"), (4, "", "{}"), (5, "", "{}")]
 
 
 def test_ids_times_embeddings(spark):

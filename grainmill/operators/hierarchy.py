@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.functions.ids import clean_id, parent_ids
-from grainmill.session import cut
+from grainmill.session import cut, together
 
 
 def links(edges: DataFrame, dag_nodes: DataFrame, nodes: DataFrame, axioms: DataFrame, rel_type: str = "DERIVED_FROM") -> DataFrame:
@@ -23,10 +27,10 @@ def links(edges: DataFrame, dag_nodes: DataFrame, nodes: DataFrame, axioms: Data
 
 
 class Hierarchy:
-    """Pointers of all nodes of a set of links (child, parent).
+    """Pointers of all nodes of a set of links (child, parent), in one table `ways` (node, up, rooted, depth[, path]).
 
-    open:   (node, up[, path]) - a way of exactly 2^k links leads from up, which is no root, down to node.
-    closed: (node, root, depth[, path]) - the shortest ways of at most 2^k links from each root.
+    rooted: up is a root, and depth the length of the shortest way of at most 2^k links from it.
+    otherwise: up isn't a root, and a way of exactly depth = 2^k links leads from it down to node.
     Each round joins the pointers with themselves, which doubles k and puts the path segments together. Rounds end when
     no new root was reached and no node lost its last open pointer: nodes whose ways up end lose it after log(depth)
     rounds, so those that still have one are on a cycle or below one.
@@ -36,95 +40,174 @@ class Hierarchy:
         self.paths = paths
         self.links = cut(pairs.select("child", "parent").filter("child is not null and parent is not null").distinct())
         children = self.links.select(F.col("child").alias("c")).distinct()
-        step = self.links.join(children, F.col("parent") == F.col("c"), "left").select(F.col("child").alias("node"), F.col("parent").alias("up"), F.col("c").isNull().alias("is_root"))
-        if paths:
-            step = step.withColumn("path", F.array("up", "node"))
-        step = cut(step)
-        extra = ["path"] if paths else []
-        self.open = step.filter(~F.col("is_root")).select("node", "up", *extra)
-        self.closed = step.filter("is_root").select("node", F.col("up").alias("root"), F.lit(1).alias("depth"), *extra)
+        step = self.links.join(children, F.col("parent") == F.col("c"), "left").select(
+            F.col("child").alias("node"), F.col("parent").alias("up"), F.col("c").isNull().alias("rooted"), F.lit(1).cast("long").alias("depth"))
+        self.ways = cut(step.withColumn("path", F.array("up", "node")) if paths else step)
         self.rounds = 0
-        waiting, reached = self._waiting(), self.closed.count()
-        while waiting:
-            self._double()
-            now, got = self._waiting(), self.closed.count()
-            done = now == waiting and got == reached
-            waiting, reached = now, got
-            if done:
+        before = None
+        while True:  # the next round runs while this one is counted
+            state, wider = together(self._state, lambda: cut(self._doubled()))
+            if not state[0] or state == before:
                 break
+            before, self.ways, self.rounds = state, wider, self.rounds + 1
 
-    def _waiting(self) -> int:
-        return self.open.select("node").distinct().count()
-
-    def _best(self, df: DataFrame, keys: list[str], *value: Column) -> DataFrame:
-        """One row per key: the least depth, then the least path."""
-        if not value and not self.paths:
-            return df.select(*keys).distinct()
-        fields = [*value, *([F.col("path")] if self.paths else [])]
-        return df.groupBy(*keys).agg(F.min(F.struct(*fields)).alias("b")).select(*keys, "b.*")
+    def _state(self) -> tuple[int, int]:
+        """Nodes that still have an open pointer, and roots reached."""
+        open_nodes = F.count_distinct(F.when(~F.col("rooted"), F.col("node")))
+        return tuple(self.ways.agg(open_nodes, F.count_if("rooted")).first())
 
-    def _double(self) -> None:
-        reach = 2 ** self.rounds
+    def _doubled(self) -> DataFrame:
         tail = F.slice("n.path", 2, F.greatest(F.size("n.path") - 1, F.lit(0)))  # the joint is in both segments
         path = [F.concat("u.path", tail).alias("path")] if self.paths else []
-        low, high = self.open.alias("n"), self.open.alias("u")
-        longer = low.join(high, F.col("n.up") == F.col("u.node")).select("n.node", F.col("u.up").alias("up"), *path)
-        rooted = low.join(self.closed.alias("u"), F.col("n.up") == F.col("u.node")).select("n.node", "u.root", (F.col("u.depth") + reach).alias("depth"), *path)
-        both = self.closed.unionByName(rooted)
-        if self.paths:
-            self.closed = cut(self._best(both, ["node", "root"], F.col("depth")))
-        else:
-            self.closed = cut(both.groupBy("node", "root").agg(F.min("depth").alias("depth")))
-        self.open = cut(self._best(longer, ["node", "up"]))
-        self.rounds += 1
+        low, high = self.ways.filter(~F.col("rooted")).alias("n"), self.ways.alias("u")
+        longer = low.join(high, F.col("n.up") == F.col("u.node")).select("n.node", "u.up", "u.rooted", (F.col("n.depth") + F.col("u.depth")).alias("depth"), *path)
+        both = self.ways.filter("rooted").unionByName(longer).groupBy("node", "up", "rooted")
+        if self.paths:  # the least depth, then the least path
+            return both.agg(F.min(F.struct("depth", "path")).alias("b")).select("node", "up", "rooted", "b.*")
+        return both.agg(F.min("depth").alias("depth"))
 
     def unresolved(self) -> DataFrame:
         """(node): on a cycle or below one."""
-        return self.open.select("node").distinct()
+        return self.ways.filter(~F.col("rooted")).select("node").distinct()
 
     def cycles(self) -> DataFrame:
-        """(node): on a cycle of one link or more.
-
-        Among unresolved nodes only those with endless ways down as well can be on a cycle; the same doubling on the
-        turned links finds them. What is left (cycles and ways between cycles) is closed under reachability, again by
-        doubling; a node that reaches itself is on a cycle.
-        """
-        stuck = cut(self.unresolved())
-        if stuck.isEmpty():
-            return stuck
-        inner = cut(
-            self.links.join(stuck.withColumnRenamed("node", "child"), "child", "left_semi")
-            .join(stuck.withColumnRenamed("node", "parent"), "parent", "left_semi").select("child", "parent"))
-        turned = inner.select(F.col("parent").alias("node"), F.col("child").alias("up"))
-        before = -1
-        while (left := turned.select("node").distinct().count()) != before:
-            before = left
-            turned = cut(turned.alias("n").join(turned.alias("u"), F.col("n.up") == F.col("u.node")).select("n.node", "u.up").distinct())
-        core = turned.select("node").distinct()
-        reach = cut(
-            inner.join(core.withColumnRenamed("node", "child"), "child", "left_semi")
-            .join(core.withColumnRenamed("node", "parent"), "parent", "left_semi").select(F.col("child").alias("node"), F.col("parent").alias("up")))
-        size, before = reach.count(), -1
-        while size != before:
-            before = size
-            wider = reach.alias("n").join(reach.alias("u"), F.col("n.up") == F.col("u.node")).select("n.node", "u.up")
-            reach = cut(reach.unionByName(wider).distinct())
-            size = reach.count()
-        return cut(reach.filter("node = up").select("node").distinct())
+        """(node): on a cycle of one link or more; among unresolved nodes alone, see on_cycles."""
+        stuck = self.unresolved()
+        inner = self.links.join(stuck.withColumnRenamed("node", "child"), "child", "left_semi").join(stuck.withColumnRenamed("node", "parent"), "parent", "left_semi")
+        return on_cycles(inner)
+
+    def _marked(self) -> tuple[DataFrame, DataFrame]:
+        """Rooted ways of the nodes that aren't on a cycle, and one mark (node_id, root_id, depth) for each node on a cycle or below cycles alone."""
+        on = self.cycles()
+        rooted = self.ways.filter("rooted")
+        free = rooted.join(on, "node", "left_anti").select(F.col("node").alias("node_id"), F.col("up").alias("root_id"), F.col("depth").cast("int").alias("depth"), *(["path"] if self.paths else []))
+        mark = lambda df, name: df.select(F.col("node").alias("node_id"), F.lit(name).alias("root_id"), F.lit(-1).alias("depth"))
+        below = self.unresolved().join(on, "node", "left_anti").join(rooted.select("node").distinct(), "node", "left_anti")
+        return free, mark(on, "cycle").unionByName(mark(below, "below_cycle"))
 
     def roots_of(self) -> DataFrame:
         """(node_id, root_id, depth): one row per node and root that leads to it; on a cycle ('cycle', -1); below a
         cycle without any root ('below_cycle', -1). Roots themselves give no row; no links give no rows."""
-        on = self.cycles()
-        free = self.closed.join(on, "node", "left_anti").select(F.col("node").alias("node_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"))
-        mark = lambda df, name: df.select(F.col("node").alias("node_id"), F.lit(name).alias("root_id"), F.lit(-1).alias("depth"))
-        below = self.unresolved().join(on, "node", "left_anti").join(self.closed.select("node").distinct(), "node", "left_anti")
-        return free.unionByName(mark(on, "cycle")).unionByName(mark(below, "below_cycle"))
+        free, marks = self._marked()
+        return free.select("node_id", "root_id", "depth").unionByName(marks)
 
     def paths_of(self) -> DataFrame:
-        """(node_id, root_id, depth, path): a shortest path from each root, 'root/.../node'; equal lengths: the least. Needs paths=True."""
-        return self.closed.select(
-            F.col("node").alias("node_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), F.array_join("path", "/").alias("path"))
+        """(node_id, root_id, depth, path): a shortest path from each root, 'root/.../node'; equal lengths: the least. Nodes on a cycle
+        or below cycles alone are marked as in roots_of, with path ''. Needs paths=True."""
+        free, marks = self._marked()
+        return free.withColumn("path", F.array_join("path", "/")).unionByName(marks.withColumn("path", F.lit("")))
+
+
+#: Links whose cycles one task finds by itself; that many names take it some 100 MB.
+FEW_LINKS = 500_000
+
+
+def on_cycles(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """(node): the nodes of links (child, parent) that lie on a cycle of one link or more, with work in proportion to the links.
+
+    Up to `few` links, counted first, are searched in one task. More are labelled by all: each node learns the least label of the nodes that lead to it and the least of those it leads to, itself included. The
+    nodes of a cycle agree in both, so links between nodes that don't agree are dropped; a node whose two labels are the same
+    is on a cycle with the node of that label. What is left is labelled anew, in another order, until no link remains.
+    Labels are hashes, so their order has nothing to do with the links: a label leads to its node's own label, and these jumps
+    bring the least label around a cycle in logarithmic rounds on average. Labels that aren't unique are drawn again.
+    """
+    links = cut(links.filter("child is not null and parent is not null").select("child", "parent").distinct())
+    if links.limit(few + 1).count() <= few:
+        return cut(links.coalesce(1).mapInArrow(_strong, "node string"))
+    found = links.filter("child = parent").select(F.col("child").alias("node"))
+    links = links.filter("child <> parent")
+    seed = 0
+    while not links.isEmpty():
+        names = links.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
+        label = cut(names.select("node", F.xxhash64(F.lit(seed), "node").alias("v")))
+        seed += 1
+        n, distinct = label.agg(F.count("*"), F.count_distinct("v")).first()
+        if n != distinct:
+            continue
+        pairs = cut(
+            links.join(label.select(F.col("node").alias("child"), F.col("v").alias("c")), "child").join(label.select(F.col("node").alias("parent"), F.col("v").alias("p")), "parent").select("c", "p"))
+        state = _labels(pairs, label.select("v"))
+        own = state.select("v", "above", "below")
+        same = lambda end, name: own.select(F.col("v").alias(end), F.struct("above", "below").alias(name))
+        met = own.filter("above = below").select("v")  # leads to its label's node and back; alone, if it is that node and keeps no link
+        inner = cut(pairs.join(same("c", "x"), "c").join(same("p", "y"), "p").filter("x = y").select("c", "p", (F.col("x.above") == F.col("x.below")).alias("met")))
+        ring = inner.filter("met").select(F.explode(F.array("c", "p")).alias("v")).distinct().join(met, "v", "left_semi")
+        found = cut(found.unionByName(ring.join(label, "v").select("node")))
+        left = inner.filter(~F.col("met"))
+        links = cut(
+            left.join(label.select(F.col("v").alias("c"), F.col("node").alias("child")), "c").join(label.select(F.col("v").alias("p"), F.col("node").alias("parent")), "p").select("child", "parent"))
+    return found.distinct()
+
+
+def _strong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes on cycles of the few links of one partition, by depth-first search."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held)
+    n = t.num_rows
+    names = pa.chunked_array([*t.column("child").chunks, *t.column("parent").chunks]).combine_chunks().dictionary_encode()
+    code = names.indices.to_numpy()
+    child, parent = code[:n], code[n:]
+    size = len(names.dictionary)
+    order = np.argsort(parent, kind="stable")
+    start = np.searchsorted(parent[order], np.arange(size + 1)).tolist()
+    to = child[order].tolist()
+    on = np.zeros(size, dtype=bool)
+    on[child[child == parent]] = True
+    index, low, at = [0] * size, [0] * size, start[:size]
+    stacked = bytearray(size)
+    stack: list[int] = []
+    clock = 0
+    for root in range(size):
+        if index[root]:
+            continue
+        way = [root]
+        while way:
+            v = way[-1]
+            if not index[v]:
+                clock += 1
+                index[v] = low[v] = clock
+                stack.append(v)
+                stacked[v] = 1
+            if at[v] < start[v + 1]:
+                w = to[at[v]]
+                at[v] += 1
+                if not index[w]:
+                    way.append(w)
+                elif stacked[w]:
+                    low[v] = min(low[v], index[w])
+                continue
+            way.pop()
+            if way:
+                low[way[-1]] = min(low[way[-1]], low[v])
+            if low[v] == index[v]:  # v and what lies above it on the stack lead to each other
+                cut_at = len(stack) - 1
+                while stack[cut_at] != v:
+                    cut_at -= 1
+                group = stack[cut_at:]
+                del stack[cut_at:]
+                for w in group:
+                    stacked[w] = 0
+                if len(group) > 1:
+                    on[group] = True
+    yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(np.flatnonzero(on)))], ["node"])
+
+
+def _labels(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(v, above, below): the least node that leads to v, and the least that v leads to, v included; pairs (c, p) of a child and its parent."""
+    state = cut(nodes.select("v", F.col("v").alias("above"), F.col("v").alias("below"), F.lit(True).alias("moved")))
+    ask = lambda df, key, who, up: df.select(F.col(key).alias("key"), F.col(who).alias("who"), F.lit(up).alias("up"))
+    links = ask(pairs, "p", "c", True).unionByName(ask(pairs, "c", "p", False))
+    while True:
+        asked = links.unionByName(ask(state, "above", "v", True)).unionByName(ask(state, "below", "v", False))
+        heard = asked.join(state.select(F.col("v").alias("key"), "above", "below"), "key").select(
+            F.col("who").alias("v"), F.when(F.col("up"), F.col("above")).alias("above"), F.when(~F.col("up"), F.col("below")).alias("below"))
+        mine = state.select("v", "above", "below", F.col("above").alias("old_above"), F.col("below").alias("old_below"))
+        new = mine.unionByName(heard, allowMissingColumns=True).groupBy("v").agg(*[F.min(x).alias(x) for x in ("above", "below", "old_above", "old_below")])
+        state = cut(new.select("v", "above", "below", ((F.col("above") < F.col("old_above")) | (F.col("below") < F.col("old_below"))).alias("moved")))
+        if state.filter("moved").isEmpty():
+            return state
 
 
 def descendants(pairs: DataFrame) -> DataFrame:
@@ -138,7 +221,8 @@ def descendants(pairs: DataFrame) -> DataFrame:
     while (now := known.count()) != size:
         size = now
         wider = jump.alias("n").join(known.alias("u"), F.col("n.up") == F.col("u.node")).select("n.node", "u.up", (F.col("u.depth") + reach).alias("depth"))
-        known = cut(known.unionByName(wider).groupBy("node", "up").agg(F.min("depth").alias("depth")))
-        jump = cut(jump.alias("n").join(jump.alias("u"), F.col("n.up") == F.col("u.node")).select("n.node", "u.up").distinct())
+        wider = known.unionByName(wider).groupBy("node", "up").agg(F.min("depth").alias("depth"))
+        further = jump.alias("n").join(jump.alias("u"), F.col("n.up") == F.col("u.node")).select("n.node", "u.up").distinct()
+        known, jump = together(lambda: cut(wider), lambda: cut(further))
         reach *= 2
     return known.select(F.col("up").alias("node_id"), F.col("node").alias("descendant_id"), F.col("depth").cast("int").alias("depth"))

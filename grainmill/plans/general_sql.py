@@ -130,4 +130,6 @@ walk AS (
   SELECT w.root_id, l.child, w.depth + 1, w.path || '/' || l.child FROM walk w JOIN links l ON w.node_id = l.parent
   JOIN best b ON b.node = l.child AND b.root = w.root_id AND b.depth = w.depth + 1
 )
-SELECT node_id, root_id, depth::INTEGER AS depth, arg_min(path, string_split(path, '/')) AS path FROM walk WHERE depth > 0 GROUP BY ALL"""
+SELECT node_id, root_id, depth::INTEGER AS depth, arg_min(path, string_split(path, '/')) AS path FROM walk WHERE depth > 0 AND node_id NOT IN (SELECT node FROM oncycle) GROUP BY ALL
+UNION ALL SELECT node, 'cycle', -1, '' FROM oncycle
+UNION ALL SELECT DISTINCT child, 'below_cycle', -1, '' FROM links WHERE child NOT IN (SELECT node FROM oncycle) AND child NOT IN (SELECT node FROM best)"""

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 from collections import defaultdict, deque
 
 import pytest
@@ -46,9 +47,14 @@ def test_hierarchy_against_search(spark, seed):
     df = spark.createDataFrame([*pairs, (None, "x"), ("x", None)], "child string, parent string")
     h = hierarchy.Hierarchy(df, paths=True)
     assert {tuple(r) for r in h.roots_of().collect()} == _roots(pairs)
-    links = set(pairs)
-    for r in h.paths_of().collect():
+    links, roots = set(pairs), {(n, r, d) for n, r, d in _roots(pairs)}
+    got = h.paths_of().collect()
+    assert {(r["node_id"], r["root_id"], r["depth"]) for r in got} == roots
+    for r in got:
         steps = r["path"].split("/")
+        if r["depth"] < 0:
+            assert r["path"] == ""
+            continue
         assert len(steps) == r["depth"] + 1 and steps[0] == r["root_id"] and steps[-1] == r["node_id"]
         assert all((c, p) in links for p, c in zip(steps, steps[1:]))
     known = {(a, b): d for a, b, d in (tuple(r) for r in hierarchy.descendants(df).collect())}
@@ -63,6 +69,27 @@ def test_hierarchy_long_ring_below_a_root(spark):
     assert ("leaf", "top", 10) in out and ("under", "below_cycle", -1) in out and ("self", "cycle", -1) in out
 
 
+def test_a_large_ring_costs_no_more_than_its_links(spark):
+    n = 100_000
+    ring = spark.range(n).select(F.concat(F.lit("r"), ((F.col("id") + 1) % n).cast("string")).alias("child"), F.concat(F.lit("r"), F.col("id").cast("string")).alias("parent"))
+    more = spark.createDataFrame([("leaf", "r7"), ("leaf2", "leaf"), ("r9", "top"), ("apart", "top")], "child string, parent string")
+    began = time.time()
+    assert hierarchy.on_cycles(ring.unionByName(more), few=0).agg(F.count("*"), F.count_if(F.startswith("node", F.lit("r")))).first()[:] == (n, n)
+    assert time.time() - began < 60
+    out = hierarchy.Hierarchy(ring.unionByName(more.filter("parent <> 'top'"))).roots_of().groupBy("root_id").count().collect()
+    assert {tuple(r) for r in out} == {("cycle", n), ("below_cycle", 2)}
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_cycles_against_search(spark, seed):
+    rng = random.Random(seed)
+    pairs = {(f"n{rng.randrange(90)}", f"n{rng.randrange(90)}") for _ in range(rng.choice([60, 90, 130]))} | {(f"c{i}", f"c{i - 1}") for i in range(1, 20)} | {("c3", "c9"), ("d", "d")}
+    df = spark.createDataFrame([*pairs, (None, "x")], "child string, parent string")
+    got = {r["node"] for r in hierarchy.on_cycles(df).collect()}
+    assert got == {r["node"] for r in hierarchy.on_cycles(df, few=0).collect()} == {n for n, r, _ in _roots(pairs) if r == "cycle"} and {"d", *(f"c{i}" for i in range(3, 10))} <= got
+    assert hierarchy.on_cycles(spark.createDataFrame([], "child string, parent string")).count() == 0
+
+
 def test_hierarchy_empty(spark):
     e = spark.createDataFrame([], "child string, parent string, root string, depth int, path string")
     h = hierarchy.Hierarchy(e, paths=True)

@@ -19,7 +19,7 @@ WORD = re.compile("[a-z0-9]+|[一-鿿]")
 BITS = 512
 #: Sets with more members than WIDE_FROM get a fingerprint of WIDE bits as well; folding it gives the short one.
 WIDE, WIDE_FROM = 2048, 200
-SURVEYED = ["kind", "id", "version", "key", "n", "size", "print"]
+SURVEYED = ["kind", "id", "version", "key", "check", "n", "size", "print"]
 #: Most words, and most shingles, whose counts are sent to every task; the rest count as rare, which moves work but no result.
 SENT = 1 << 18
 #: Words that a task counts together, and records among them that make a shingle common enough to report.
@@ -29,20 +29,19 @@ COUNTED_TOGETHER, OFTEN = 2_000_000, 4
 @dataclass(frozen=True)
 class Settings:
     """span: words of a shingle. threshold: least share of common shingles. least_words: shorter records don't count.
-    leaf: rows of a tree's leaf. tile: rows of a shard that one tree holds at most."""
+    tile: rows of a shard that one tree holds at most."""
 
     span: int = 3
     threshold: float = 0.5
     least_words: int = 30
-    leaf: int = 32
     tile: int = 2048
 
 
 class Shingler:
     """Words and shingles as 64-bit hashes; one per worker, with a bounded memory of words."""
 
-    def __init__(self, span: int):
-        self.span, self.known = span, {}
+    def __init__(self, span: int, seed: int = 0):
+        self.span, self.seed, self.known = span, seed, {}
 
     def words(self, text: str) -> np.ndarray:
         known = self.known
@@ -56,10 +55,14 @@ class Shingler:
             out.append(h)
         return np.array(out, dtype=np.uint64)
 
-    @staticmethod
-    def key(words: np.ndarray) -> int:
+    def key(self, words: np.ndarray) -> int:
         """64 bits that stand for a text's words."""
-        return xxhash.xxh3_64_intdigest(words.tobytes())
+        return xxhash.xxh3_64_intdigest(words.tobytes(), seed=self.seed)
+
+    @staticmethod
+    def check(words: np.ndarray) -> int:
+        """Other 64 bits, which tell apart texts whose keys are the same."""
+        return xxhash.xxh64_intdigest(words.tobytes(), seed=1)
 
     def shingles(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles and, for each, the place of one occurrence."""
@@ -112,46 +115,81 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=-1, dtype=np.int32)
 
 
-class Tree:
-    """Vantage-point tree over fingerprints: each node splits its rows at the median distance to one of them."""
-
-    def __init__(self, prints: np.ndarray, sizes: np.ndarray, leaf: int):
-        self.prints, self.sizes, self.leaf = prints, sizes, leaf
-        self.root = self._grow(np.arange(len(prints)), 0)
-
-    def _grow(self, rows: np.ndarray, depth: int) -> tuple:
-        most = int(self.sizes[rows].max())
-        if len(rows) <= self.leaf or depth > 40:
-            return None, rows, most
-        point = rows[(depth * 7919 + len(rows) // 2) % len(rows)]
-        far = _popcount(self.prints[rows] ^ self.prints[point])
-        mid = int(np.median(far))
-        inner = far <= mid
-        if inner.all():
-            return None, rows, most
-        return point, (mid, self._grow(rows[inner], depth + 1), self._grow(rows[~inner], depth + 1)), most
-
-    def search(self, prints: np.ndarray, sizes: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) with a distance of at most ratio * (the sum of their sizes); no such pair is lost."""
-        out_q, out_r = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        todo = [(self.root, np.arange(len(prints)))]
-        while todo:
-            (point, below, most), q = todo.pop()
-            if not len(q):
-                continue
-            if point is None:
-                for i in range(0, len(q), 1024):
-                    part = q[i : i + 1024]
-                    far = _popcount(prints[part][:, None] ^ self.prints[below][None])
-                    a, b = np.nonzero(far <= ratio * (sizes[part][:, None] + self.sizes[below][None]))
-                    out_q.append(part[a])
-                    out_r.append(below[b])
+class Forest:
+    """Many vantage-point trees at once, each met with itself while it grows, level by level.
+
+    A node of a tree takes one of the rows it holds as its vantage point, meets all its rows with it, and splits the rest at the
+    median of their Hamming distances to it. Held rows go to one half, and as guests to the outer half too if the triangle bounds of
+    its distances leave room for a near row; guests go to every half that has room. No pair within the radius is lost, since each
+    half is a shell of distances [low, high], and |d(x, point) - d(y, point)| <= d(x, y).
+    """
+
+    def __init__(self, prints: np.ndarray, sizes: np.ndarray, ratio: float):
+        self.prints, self.sizes, self.ratio = prints, sizes, ratio
+        #: Trees grown, rows met with a vantage point, and rows that the bounds kept out of a half, for tests and figures.
+        self.trees = self.met = self.pruned = 0
+
+    def pairs(self, row: np.ndarray, tree: np.ndarray, held: np.ndarray, cross: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a, b): the pairs of rows of one tree, at least one of them held, with a distance of at most ratio * (the sum of their sizes).
+
+        Each entry is a row in a tree. cross: held rows of this entry's tree don't meet each other, only guests.
+        """
+        out = [np.zeros((2, 0), np.int64)]
+        node = tree
+        self.trees += len(np.unique(tree))
+        while len(row):
+            order = np.lexsort((~held, node))
+            row, node, held, cross = row[order], node[order], held[order], cross[order]
+            first = np.ones(len(row), bool)
+            first[1:] = node[1:] != node[:-1]
+            start = np.flatnonzero(first)
+            of = np.cumsum(first) - 1
+            n_held = np.add.reduceat(held, start)
+            keep = (n_held > 0)[of]  # guests alone have nothing to meet
+            if not keep.all():
+                row, node, held, cross = row[keep], of[keep], held[keep], cross[keep]
                 continue
-            mid, inner, outer = below
-            far = _popcount(prints[q] ^ self.prints[point])
-            todo.append((inner, q[far - ratio * (sizes[q] + inner[2]) <= mid]))
-            todo.append((outer, q[far + ratio * (sizes[q] + outer[2]) > mid]))
-        return np.concatenate(out_q), np.concatenate(out_r)
+            point = row[start]
+            rest = ~first
+            row, of, held, cross = row[rest], of[rest], held[rest], cross[rest]
+            if not len(row):
+                break
+            far = np.empty(len(row), np.int32)
+            for i in range(0, len(row), 1 << 15):  # bounded copies of the prints
+                part = slice(i, i + (1 << 15))
+                far[part] = _popcount(self.prints[row[part]] ^ self.prints[point[of[part]]])
+            self.met += len(row)
+            near = (far <= self.ratio * (self.sizes[row] + self.sizes[point[of]])) & ~(held & cross)
+            out.append(np.stack([row[near], point[of[near]]]))
+            row, node, held, cross = self._split(row, of, held, cross, far, len(point))
+        return tuple(np.concatenate(out, axis=1))
+
+    def _split(self, row, of, held, cross, far, n) -> tuple[np.ndarray, ...]:
+        """Entries of the next level; node 2k is the inner half of k, 2k + 1 the outer one."""
+        h = np.flatnonzero(held)
+        h = h[np.lexsort((far[h], of[h]))]
+        count = np.bincount(of[h], minlength=n)
+        begin = np.cumsum(count) - count
+        mid = np.full(n, -1, np.int64)
+        some = count > 0
+        mid[some] = far[h[begin[some] + (count[some] - 1) // 2]]
+        outer = far > mid[of]
+        half = 2 * of + outer
+        low, high, most = np.full(2 * n, 1 << 30), np.full(2 * n, -1), np.zeros(2 * n, np.int64)
+        np.minimum.at(low, half[h], far[h])
+        np.maximum.at(high, half[h], far[h])
+        np.maximum.at(most, half[h], self.sizes[row[h]])
+        parts = [(row[h], half[h], held[h], cross[h])]
+        for side in (0, 1):
+            to = 2 * of + side
+            radius = self.ratio * (self.sizes[row] + most[to])
+            asks = ~held | (~outer & ~cross & (side == 1))
+            asks &= high[to] >= 0
+            room = asks & (far - high[to] <= radius) & (low[to] - far <= radius)
+            self.pruned += int(asks.sum() - room.sum())
+            g = np.flatnonzero(room)
+            parts.append((row[g], to[g], np.zeros(len(g), bool), cross[g]))
+        return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.Table]:
@@ -194,23 +232,24 @@ def _look_up(known: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
 class Work:
     """What tasks do with batches of records; counts is the broadcast of known words and shingles with their log counts."""
 
-    def __init__(self, s: Settings, counts=None):
-        self.s, self.counts = s, counts
+    def __init__(self, s: Settings, seed: int = 0, counts=None):
+        self.s, self.seed, self.counts = s, seed, counts
 
     def survey(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 2: a record that counts, with the key of its words, its number of shingles and their fingerprint; 1: one that doesn't; 0: a word and its records in these
         batches; 3: a shingle that several records of these batches have, with their number."""
-        sh = Shingler(self.s.span)
+        sh = Shingler(self.s.span, self.seed)
         words: list[np.ndarray] = []
         sets: list[np.ndarray] = []
         held = 0
         for b in batches:
-            kinds, keys, sizes, prints = [], [], [], []
+            kinds, keys, checks, sizes, prints = [], [], [], [], []
             for t in b.column("text").to_pylist():
                 w = sh.words(t or "")
                 counts = len(w) >= self.s.least_words
                 kinds.append(2 if counts else 1)
                 keys.append(sh.key(w))
+                checks.append(sh.check(w))
                 sizes.append(None)
                 prints.append(None)
                 if counts:
@@ -222,7 +261,7 @@ class Work:
                     yield self._counts(words, sets)
                     words, sets, held = [], [], 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds, pa.int32()), b.column("id"), b.column("version"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.zeros(len(keys), np.int64)), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary())], SURVEYED)
+                [pa.array(kinds, pa.int32()), b.column("id"), b.column("version"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(checks, np.uint64).view(np.int64)), pa.array(np.zeros(len(keys), np.int64)), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary())], SURVEYED)
         yield self._counts(words, sets)
 
     @staticmethod
@@ -234,11 +273,11 @@ class Work:
         size = len(w) + len(h)
         return pa.RecordBatch.from_arrays([
             pa.array(np.repeat(np.array([0, 3], np.int32), [len(w), len(h)])), pa.nulls(size, pa.string()), pa.nulls(size, pa.int32()),
-            pa.array(np.concatenate([w, h]).view(np.int64)), pa.array(np.concatenate([n, m])), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], SURVEYED)
+            pa.array(np.concatenate([w, h]).view(np.int64)), pa.nulls(size, pa.int64()), pa.array(np.concatenate([n, m])), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], SURVEYED)
 
     def _sets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray], list[np.ndarray], list[np.ndarray]]]:
         """Of each batch the keys, words, shingles and shingles' places of the texts that count."""
-        sh = Shingler(self.s.span)
+        sh = Shingler(self.s.span, self.seed)
         for b in batches:
             keys, words, sets, places = [], [], [], []
             for t in b.column("text").to_pylist():
@@ -252,8 +291,9 @@ class Work:
             yield keys, words, sets, places
 
     def prefixes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(shard, key): each text under the rarest of its shingles; the last bit of shard is 0 for rows that may be the smaller text
-        of a pair, 1 for those that can only be the larger.
+        """(shard, salt, key): each text under the rarest of its shingles; the last bit of shard is 0 for rows that may be the smaller text
+        of a pair, 1 for those that can only be the larger. Shingles that are known to be in more texts than a tile holds are
+        salted, so that no task gets all their texts; salt is -1 for all others.
 
         Two sets with a Jaccard index of at least t share a member among the first n - ceil(t n) + 1 of each, in any order that
         is the same for all; here that of the reported counts of shingles, then those of their words. So no pair is lost,
@@ -262,92 +302,94 @@ class Work:
         t = self.s.threshold
         words_known, sets_known = self.counts.value
         for keys, words, sets, places in self._sets(batches):
-            shards = [np.zeros(0, np.uint64)]
+            shards, often = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
             for w, h, at in zip(words, sets, places):
                 weight = _look_up(words_known, w)
                 sums = sum(weight[at + k] for k in range(self.s.span))
                 take = len(h) - int(np.ceil(t * len(h) - 1e-9)) + 1
                 small = len(h) - int(np.ceil(2 * t / (1 + t) * len(h) - 1e-9)) + 1
-                rarest = h[np.lexsort((h, np.round(sums, 2), _look_up(sets_known, h)))[:take]]
-                shards.append(rarest & ~np.uint64(1) | (np.arange(len(rarest)) >= small).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(shards).view(np.int64)), pa.array(np.repeat(np.array(keys, np.uint64).view(np.int64), [len(x) for x in shards[1:]]))], ["shard", "key"])
+                known = _look_up(sets_known, h)
+                order = np.lexsort((h, np.round(sums, 2), known))[:take]
+                shards.append(h[order] & ~np.uint64(1) | (np.arange(take) >= small).astype(np.uint64))
+                often.append(known[order])
+            key = np.repeat(np.array(keys, np.uint64).view(np.int64), [len(x) for x in shards[1:]])
+            texts = np.exp(np.concatenate(often).astype(np.float64))
+            parts = np.where(texts > self.s.tile, np.ceil(1.25 * texts / self.s.tile), 1).astype(np.int64)
+            salt = np.where(parts > 1, (key ^ key >> 32) % parts, -1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards).view(np.int64)), pa.array(salt), pa.array(key)], ["shard", "salt", "key"])
 
     def shared(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(shard, key, larger, tile) of the shards with more than one text, one of which may be the smaller of a pair.
+        """(shard, key, larger, tile) of the shards with more than one text, one of which may be the smaller of a pair; of salted shards all.
 
-        The partition is sorted by shard and key, so such a text comes first in its shard.
+        The partition is sorted by shard (without its last bit), salt, shard and key, so such a text comes first in its shard.
         """
-        last: tuple | None = None  # shard, key, place in the shard, whether the shard counts; not yet given out
+        last: tuple | None = None  # shard, salt, key, place in the shard, whether the shard counts; not yet given out
 
-        def out(shard, key, place) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(shard >> 1), pa.array(key), pa.array((shard & 1).astype(bool)), pa.array((place // self.s.tile).astype(np.int32))], ["shard", "key", "larger", "tile"])
+        def out(shard, salt, key, place) -> pa.RecordBatch:
+            # the first piece of a salt is the tile of that number; what a salt has beyond a tile comes after all salts
+            piece = place // self.s.tile
+            tile = np.where(salt < 0, piece, salt + (piece << 20))
+            return pa.RecordBatch.from_arrays([pa.array(shard >> 1), pa.array(key), pa.array((shard & 1).astype(bool)), pa.array(tile.astype(np.int32))], ["shard", "key", "larger", "tile"])
 
         for b in batches:
-            shard, key = b.column("shard").to_numpy(), b.column("key").to_numpy()
+            shard, salt, key = (b.column(c).to_numpy() for c in ("shard", "salt", "key"))
             fresh = np.ones(len(shard), bool)
             fresh[1:] = (shard[1:] != shard[:-1]) | (key[1:] != key[:-1])
             if last is not None and len(shard):
-                fresh[0] = (shard[0], key[0]) != last[:2]
-            shard, key = shard[fresh], key[fresh]
+                fresh[0] = (shard[0], key[0]) != (last[0], last[2])
+            shard, salt, key = shard[fresh], salt[fresh], key[fresh]
             if not len(shard):
                 continue
             base, counts = 0, False
             if last is not None:
-                shard, key, base, counts = np.insert(shard, 0, last[0]), np.insert(key, 0, last[1]), last[2], last[3]
+                shard, salt, key, base, counts = np.insert(shard, 0, last[0]), np.insert(salt, 0, last[1]), np.insert(key, 0, last[2]), last[3], last[4]
             group = shard >> 1
             first = np.ones(len(shard), bool)
-            first[1:] = group[1:] != group[:-1]
+            first[1:] = (group[1:] != group[:-1]) | (salt[1:] != salt[:-1])
             start = np.maximum.accumulate(np.where(first, np.arange(len(shard)), 0))
             place = np.arange(len(shard)) - start + np.where(start == 0, base, 0)
             good = (shard[start] & 1) == 0
             if last is not None:
                 good = np.where(start == 0, counts, good)
-            more = (np.append(~first[1:], False) | (place > 0)) & good
-            last = (shard[-1], key[-1], int(place[-1]), bool(good[-1]))
+            salted = salt >= 0
+            more = (np.append(~first[1:], False) | (place > 0)) & good | salted
+            last = (shard[-1], salt[-1], key[-1], int(place[-1]), bool(good[-1]))
             more[-1] = False
-            yield out(shard[more], key[more], place[more])
-        if last is not None and last[2] > 0 and last[3]:
-            yield out(np.array([last[0]]), np.array([last[1]]), np.array([last[2]]))
+            yield out(shard[more], salt[more], key[more], place[more])
+        if last is not None and ((last[3] > 0 and last[4]) or last[1] >= 0):
+            yield out(*(np.array([last[i]]) for i in (0, 1, 2, 3)))
 
     def meet(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of each shard (and pair of its tiles) whose fingerprints are near enough; sorted by shard, low, high."""
-        t = self.s.threshold
-        ratio = (1 - t) / (1 + t) + 1e-9
+        """Pairs of each shard (and pair of its tiles) whose fingerprints are near enough, by a vantage-point tree each; sorted by
+        shard, low, high. Texts that may be the smaller of a pair are held by the tree, the others are guests."""
         for g in _groups(batches, "shard", "low", "high"):
-            key, size, tile, larger = (g.column(c).to_numpy() for c in ("key", "size", "tile", "larger"))
-            low, high = g.column("low").to_numpy(), g.column("high").to_numpy()
-            prints = Prints(g.column("print").to_pylist())
-            shard = g.column("shard").to_numpy()
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (shard[1:] != shard[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-            starts = np.append(np.flatnonzero(fresh), len(key))
-            lengths = np.diff(starts)
-            of = np.repeat(np.arange(len(lengths)), lengths)
-            small = (lengths <= self.s.leaf)[of] & (low == high)
-            found = [np.zeros((2, 0), np.int64)]
-            for d in range(1, int(lengths[lengths <= self.s.leaf].max(initial=0))):  # a small shard is one leaf
-                i = np.flatnonzero((of[d:] == of[:-d]) & small[:-d])
-                i = i[prints.near(i, i + d, ratio * (size[i] + size[i + d]))]
-                found.append(np.stack([i, i + d]))
-            for k in np.flatnonzero(~small[starts[:-1]]):
-                i, j = starts[k], starts[k + 1]
-                mine, other = (np.arange(i, j),) * 2
-                if low[i] != high[i]:
-                    mine, other = mine[tile[i:j] == low[i]], other[tile[i:j] == high[i]]
-                if len(mine) and len(other):
-                    q, r = Tree(prints.short[other], size[other], self.s.leaf).search(prints.short[mine], size[mine], ratio)
-                    q, r = mine[q], other[r]
-                    ok = prints.near(q, r, ratio * (size[q] + size[r]))
-                    found.append(np.stack([q[ok], r[ok]]))
-            a, b = np.concatenate(found, axis=1)
-            some = ~(larger[a] & larger[b])
-            a, b = a[some], b[some]
+            key = g.column("key").to_numpy()
+            a, b = self.candidates(g)[:2]
             a, b = np.minimum(key[a], key[b]), np.maximum(key[a], key[b])
             both = np.unique(np.stack([a, b])[:, a != b], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
+    def candidates(self, g: pa.Table) -> tuple[np.ndarray, np.ndarray, Forest]:
+        """(a, b, forest): pairs of rows of whole shards or pairs of tiles that the trees and then the wide fingerprints let pass."""
+        t = self.s.threshold
+        ratio = (1 - t) / (1 + t) + 1e-9
+        size, tile, larger, shard, low, high = (g.column(c).to_numpy() for c in ("size", "tile", "larger", "shard", "low", "high"))
+        prints = Prints(g.column("print").to_pylist())
+        fresh = np.ones(len(size), bool)
+        fresh[1:] = (shard[1:] != shard[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        tree = 2 * (np.cumsum(fresh) - 1)
+        within, mine = low == high, tile == low
+        # two tiles: the small texts of the first with all of the second, then those of the second with the larger of the first
+        one = np.flatnonzero(within | ~mine | ~larger)
+        two = np.flatnonzero(~within & (mine == larger))
+        row = np.concatenate([one, two])
+        first = np.arange(len(row)) < len(one)
+        held = np.where(first, ~larger[row] & (within[row] | mine[row]), ~larger[row])
+        forest = Forest(prints.short, size, ratio)
+        a, b = forest.pairs(row, tree[row] + ~first, held, ~within[row])
+        ok = prints.near(a, b, ratio * (size[a] + size[b]))
+        return a[ok], b[ok], forest
+
     def hashes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, _, sets, _ in self._sets(batches):
             ends = np.concatenate([[0], np.cumsum([len(h) for h in sets], dtype=np.int64)]).astype(np.int32)
@@ -359,22 +401,28 @@ class NearDuplicates:
     """All steps over one table of records (id, version, text); see pairs() and members."""
 
     def __init__(self, rows: DataFrame, s: Settings = Settings()):
-        self.rows, self.s, self.work = rows, s, Work(s)
-        survey = cut(rows.mapInArrow(self.work.survey, "kind int, id string, version int, key long, n long, size int, print binary"))
+        self.rows, self.s = rows, s
+        seed = 0
+        while True:  # another seed if two texts have one key
+            self.work = Work(s, seed)
+            survey = cut(rows.mapInArrow(self.work.survey, "kind int, id string, version int, key long, check long, n long, size int, print binary"))
+            ids = survey.filter("kind in (1, 2)").groupBy("id").agg(F.max(F.struct("version", "key", "kind", "check")).alias("c"), F.count("*").alias("n"))
+            ids = cut(ids.select("id", "n", "c.*"))
+            #: (id, key): every record that counts, with its text's key; equal keys are exact copies.
+            self.members = ids.filter("kind = 2").select("id", "key")
+            self.reps = cut(ids.filter("kind = 2").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), (F.min("check") != F.max("check")).alias("mixed")))
+            if self.reps.filter("mixed").isEmpty():
+                break
+            seed += 1
         #: (key, size, print) of every text that counts.
         self.prints = survey.filter("kind = 2").select("key", "size", "print").dropDuplicates(["key"])
-        ids = survey.filter("kind in (1, 2)").groupBy("id").agg(F.max(F.struct("version", "key", "kind")).alias("c"), F.count("*").alias("n"))
-        ids = cut(ids.select("id", "n", "c.*"))
-        #: (id, key): every record that counts, with its text's key; equal keys are exact copies.
-        self.members = ids.filter("kind = 2").select("id", "key")
-        self.reps = cut(self.members.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
         copies = self.members.join(self.reps.filter("copies > 1").select("key"), "key", "left_semi").join(self.reps.select("id"), "id", "left_anti")
         lookup = (
             ids.filter("n > 1").select("id", F.col("version").alias("only")).join(copies.select("id"), "id", "left_anti")
             .unionByName(copies.select("id", F.lit(None).cast("int").alias("only"))).withColumn("listed", F.lit(True)))
         #: (id, text) of one row per distinct text, but for rows delivered twice; only superseded rows and copies need the lookup.
         self.texts = rows.join(broadcast_if_small(cut(lookup), 400_000), "id", "left").filter("listed is null or only = version").select("id", "text")
-        self.work = Work(s, rows.sparkSession.sparkContext.broadcast((self._logs(survey, 0), self._logs(survey, 3))))
+        self.work = Work(s, seed, rows.sparkSession.sparkContext.broadcast((self._logs(survey, 0), self._logs(survey, 3))))
 
     @staticmethod
     def _logs(survey: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -384,20 +432,25 @@ class NearDuplicates:
         order = np.argsort(names)
         return names[order], np.log(t.column("n").to_numpy()[order]).astype(np.float32)
 
-    def links(self) -> DataFrame:
-        """(a, b): pairs of keys of different texts whose Jaccard index is at least the threshold, exactly."""
-        shards = (
-            self.texts.mapInArrow(self.work.prefixes, "shard long, key long").repartition(F.shiftright("shard", 1)).sortWithinPartitions("shard", "key")
+    def placed(self) -> DataFrame:
+        """The rows of all shards, each pair of tiles of a long shard on its own, with their fingerprints; sorted for Work.meet."""
+        shard = F.shiftright("shard", 1)
+        shards = cut(
+            self.texts.mapInArrow(self.work.prefixes, "shard long, salt int, key long").repartition(shard, "salt").sortWithinPartitions(shard, "salt", "shard", "key")
             .mapInArrow(self.work.shared, "shard long, key long, larger boolean, tile int"))
-        shards = cut(shards)
-        long = cut(shards.filter("tile > 0").groupBy("shard").agg((F.max("tile") + 1).alias("tiles")))
-        placed = shards.withColumns({"low": F.lit(0), "high": F.lit(0)})
+        long = cut(shards.filter("tile > 0").groupBy("shard").agg(F.collect_set("tile").alias("tiles")))  # tile numbers, not texts
+        rows = shards.withColumns({"low": F.lit(0), "high": F.lit(0)})
         if not long.isEmpty():  # each pair of tiles of a long shard is a task of its own
-            other = F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1))
-            placed = shards.join(broadcast_if_small(long), "shard", "left").withColumn("other", other).withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")}).drop("tiles", "other")
-        met = (
-            placed.join(self.prints, "key").repartition("shard", "low", "high").sortWithinPartitions("shard", "low", "high")
-            .select("shard", "low", "high", "tile", "larger", "key", "size", "print").mapInArrow(self.work.meet, "a long, b long"))
+            tiles = F.coalesce(F.array_union("tiles", F.array(F.lit(0))), F.array(F.lit(0)))
+            other = F.explode(tiles)
+            rows = shards.join(broadcast_if_small(long), "shard", "left").withColumn("other", other).withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")}).drop("tiles", "other")
+        return (
+            rows.join(self.prints, "key").repartition("shard", "low", "high").sortWithinPartitions("shard", "low", "high")
+            .select("shard", "low", "high", "tile", "larger", "key", "size", "print"))
+
+    def links(self) -> DataFrame:
+        """(a, b): pairs of keys of different texts whose Jaccard index is at least the threshold, exactly."""
+        met = self.placed().mapInArrow(self.work.meet, "a long, b long")
         near = cut(met.distinct())
         wanted = near.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(self.reps, "key").select("id")
         sets = self.texts.join(broadcast_if_small(cut(wanted), 400_000), "id").mapInArrow(self.work.hashes, "key long, set array<bigint>").dropDuplicates(["key"])

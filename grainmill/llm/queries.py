@@ -67,14 +67,7 @@ _CURRENT = """cur AS (
   SELECT * FROM nodes WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1
 )"""
 
-ORACLE = {
-    "p1_found": f"""WITH {_CURRENT},
-v AS (
-  SELECT id, e, sqrt(list_dot_product(e, e)) AS n FROM (SELECT id, embedding::DOUBLE[] AS e FROM cur WHERE is_active AND len(embedding) = 64)
-  WHERE len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND list_dot_product(e, e) > 0
-)
-SELECT a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON a.id < b.id AND list_dot_product(a.e, b.e) >= 0.9 * a.n * b.n - 1e-12""",
-    "p4_found": f"""WITH {_CURRENT},
+_PAIRS = f"""{_CURRENT},
 w AS (
   SELECT id, regexp_extract_all(lower(concat_ws(' ', coalesce(title, ''), coalesce(summary, ''), coalesce(full_content, ''))), '[a-z0-9]+|[\\x{{4E00}}-\\x{{9FFF}}]') AS w FROM cur
 ),
@@ -82,7 +75,21 @@ sh AS (
   SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 30)
 ),
 n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
-c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
-SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 2 * c >= x.n + y.n - c""",
+c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+pairs AS (SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 2 * c >= x.n + y.n - c)"""
+
+ORACLE = {
+    "p1_found": f"""WITH {_CURRENT},
+v AS (
+  SELECT id, e, sqrt(list_dot_product(e, e)) AS n FROM (SELECT id, embedding::DOUBLE[] AS e FROM cur WHERE is_active AND len(embedding) = 64)
+  WHERE len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND list_dot_product(e, e) > 0
+)
+SELECT a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON a.id < b.id AND list_dot_product(a.e, b.e) >= 0.9 * a.n * b.n - 1e-12""",
+    "p4_found": f"""WITH {_PAIRS} SELECT * FROM pairs""",
+    "p4_groups": f"""WITH RECURSIVE {_PAIRS},
+both_ways AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
+reach AS (SELECT id AS a, id AS b FROM n UNION SELECT r.a, p.b FROM reach r JOIN both_ways p ON r.b = p.a),
+other AS (SELECT a, count(DISTINCT t.w) AS n FROM both_ways p JOIN w o ON o.id = p.a JOIN w t ON t.id = p.b WHERE o.w <> t.w GROUP BY a)
+SELECT g.a AS id, min(g.b) AS group_id, coalesce(any_value(o.n), 0) AS n_links FROM reach g LEFT JOIN other o ON o.a = g.a GROUP BY g.a""",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -123,8 +123,22 @@ def _brute(texts, least=0.5):
     return {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if len(s[a] & s[b]) >= least * len(s[a] | s[b])}
 
 
-@pytest.mark.parametrize("tile,leaf", [(2048, 32), (8, 4)])
-def test_near_duplicates_against_brute_force(spark, tile, leaf):
+def _components(pairs, names):
+    up = {n: n for n in names}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    return {n: top(n) for n in names}
+
+
+@pytest.mark.parametrize("tile", [2048, 5])
+def test_near_duplicates_against_brute_force(spark, tile):
     rng = random.Random(4)
     texts = []
     for _ in range(12):
@@ -140,13 +154,12 @@ def test_near_duplicates_against_brute_force(spark, tile, leaf):
     common = _words(rng, 20)  # twenty texts under the same shingles, not alike enough to pair
     texts += [" ".join([*common, *_words(rng, 60)]) for _ in range(20)] + [" ".join(common * 2)] * 3
     texts += ["Short text", "", None, "并" * 40, "并" * 40 + "x", "人工智能" * 20 + "知识图谱" * 20]
-    s = neardup.Settings(tile=tile, leaf=leaf)
+    s = neardup.Settings(tile=tile)
     near = neardup.NearDuplicates(neardup.records(_records(spark, texts)), s)
     want = _brute(texts)
     assert {tuple(r) for r in near.pairs().collect()} == want and len(want) > 50
     if tile > 8:
-        groups = {r["id"]: r["group_id"] for r in near.groups().collect()}
-        assert set(groups) == set(_sets(texts)) and all(groups[a] == groups[b] for a, b in want)
+        assert {r["id"]: r["group_id"] for r in near.groups().collect()} == _components(want, _sets(texts))
 
 
 def test_only_current_rows_pair(spark):
@@ -168,21 +181,61 @@ def test_fingerprints_never_exceed_the_difference(a, b):
     assert p.near(np.array([0]), np.array([1]), np.array([len(np.setxor1d(x, y))]))[0]
 
 
-def test_tree_loses_no_pair():
-    rng = np.random.default_rng(2)
-    x = rng.integers(0, 2**63, (300, 8)).astype(np.uint64)
-    x[150:] = x[:150] ^ (np.uint64(1) << rng.integers(0, 63, (150, 8)).astype(np.uint64))
-    sizes = rng.integers(20, 60, 300)
-    q, r = neardup.Tree(x, sizes, 8).search(x, sizes, 0.4)
+def test_texts_with_one_key_are_told_apart(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(_words(rng, 40)) for _ in range(6)]
+    texts += texts[:2]
+    monkeypatch.setattr(neardup.Shingler, "key", lambda self, words: int(words[0] % np.uint64(3)) if self.seed < 1 else neardup.xxhash.xxh3_64_intdigest(words.tobytes(), seed=self.seed))
+    assert {tuple(r) for r in neardup.NearDuplicates(neardup.records(_records(spark, texts))).pairs().collect()} == _brute(texts)
+
+
+def test_known_common_shingles_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "OFTEN", 1)
+    rng = random.Random(8)
+    common = _words(rng, 28)
+    texts = [" ".join([*common, *_words(rng, 4)]) for _ in range(40)] + [" ".join(_words(rng, 50)) for _ in range(20)]
+    near = neardup.NearDuplicates(neardup.records(_records(spark, texts)), neardup.Settings(tile=7))
+    salted = near.texts.mapInArrow(near.work.prefixes, "shard long, salt int, key long")
+    assert salted.filter("salt > 0").count() > 40
+    assert {tuple(r) for r in near.pairs().collect()} == _brute(texts) and len(_brute(texts)) == 40 * 39 // 2
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 70), st.integers(1, 6), st.integers(0, 10**6), st.booleans(), st.floats(0.1, 0.6))
+def test_trees_lose_no_pair(n, trees, seed, cross, ratio):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 2**63, (n, 8)).astype(np.uint64)
+    k = n // 2
+    x[k : 2 * k] = x[:k] ^ (np.uint64(1) << rng.integers(0, 63, (k, 8)).astype(np.uint64))
+    x[: n // 5] = x[0]
+    sizes = rng.integers(5, 300, n)
+    tree, held = rng.integers(0, trees, n), rng.random(n) < 0.6
+    forest = neardup.Forest(x, sizes, ratio)
+    a, b = forest.pairs(np.arange(n), tree, held, np.full(n, cross))
     far = neardup._popcount(x[:, None] ^ x[None])
-    assert set(zip(q.tolist(), r.tolist())) == set(zip(*map(list, np.nonzero(far <= 0.4 * (sizes[:, None] + sizes[None])))))
+    ok = (far <= ratio * (sizes[:, None] + sizes[None])) & (tree[:, None] == tree[None]) & (held[:, None] != held[None] if cross else held[:, None] | held[None])
+    want = {(i, j) for i, j in zip(*map(list, np.nonzero(ok))) if i < j}
+    got = [tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_trees_prune_by_their_bounds():
+    rng = np.random.default_rng(3)
+    x = np.zeros((400, 8), np.uint64)
+    for i in range(400):  # rows at all distances from the first
+        bits = np.zeros(512, np.uint8)
+        bits[: i + 1] = 1
+        x[i] = np.packbits(bits).view(np.uint64)
+    forest = neardup.Forest(x, np.full(400, 10), 0.2)
+    a, b = forest.pairs(rng.permutation(400), np.zeros(400, np.int64), np.ones(400, bool), np.zeros(400, bool))
+    assert len(a) == sum(min(4, 399 - i) for i in range(400)) and forest.met < 400 * 399 / 2 / 8 and forest.pruned > 0
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 1), st.integers(0, 5)), max_size=60), st.integers(1, 7))
 def test_shared_and_groups_survive_any_batches(rows, cut):
     rows = sorted((g << 1 | role, key) for g, role, key in rows)
-    batches = [pa.RecordBatch.from_pydict({"shard": pa.array([a for a, _ in rows[i : i + cut]], pa.int64()), "key": pa.array([b for _, b in rows[i : i + cut]], pa.int64())}) for i in range(0, len(rows), cut)]
+    batches = [pa.RecordBatch.from_pydict({"shard": pa.array([a for a, _ in rows[i : i + cut]], pa.int64()), "salt": pa.array([-1] * len(rows[i : i + cut]), pa.int32()), "key": pa.array([b for _, b in rows[i : i + cut]], pa.int64())}) for i in range(0, len(rows), cut)]
     out = [tuple(d.values()) for b in neardup.Work(neardup.Settings()).shared(iter(batches)) for d in b.to_pylist()]
     want = []
     for g in range(5):

@@ -18,6 +18,10 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return vectors.neighbour_lists(vectors.current(table(spark, d, "nodes")))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.similar_classes(vectors.current(table(spark, d, "nodes")))
+
+
 def _near(spark: SparkSession, d: str) -> neardup.NearDuplicates:
     return neardup.NearDuplicates(neardup.records(table(spark, d, "nodes")))
 
@@ -60,13 +64,20 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        p1_found, p1_neighbours, p4_found, p4_groups, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_segments, p9_documents)
+        p1_found, p1_neighbours, p1_classes, p4_found, p4_groups, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_segments, p9_documents)
 }
 
 _CURRENT = """cur AS (
   SELECT * FROM nodes WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1
 )"""
 
+_VECTORS = f"""{_CURRENT},
+v AS (
+  SELECT id, e, sqrt(list_dot_product(e, e)) AS n FROM (SELECT id, embedding::DOUBLE[] AS e FROM cur WHERE is_active AND len(embedding) = 64)
+  WHERE len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND list_dot_product(e, e) > 0
+),
+near AS (SELECT a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON a.id < b.id AND list_dot_product(a.e, b.e) >= 0.9 * a.n * b.n - 1e-12)"""
+
 _PAIRS = f"""{_CURRENT},
 w AS (
   SELECT id, regexp_extract_all(lower(concat_ws(' ', coalesce(title, ''), coalesce(summary, ''), coalesce(full_content, ''))), '[a-z0-9]+|[\\x{{4E00}}-\\x{{9FFF}}]') AS w FROM cur
@@ -79,12 +90,13 @@ c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM sh a JOIN sh b ON a.
 pairs AS (SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 2 * c >= x.n + y.n - c)"""
 
 ORACLE = {
-    "p1_found": f"""WITH {_CURRENT},
-v AS (
-  SELECT id, e, sqrt(list_dot_product(e, e)) AS n FROM (SELECT id, embedding::DOUBLE[] AS e FROM cur WHERE is_active AND len(embedding) = 64)
-  WHERE len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND list_dot_product(e, e) > 0
-)
-SELECT a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON a.id < b.id AND list_dot_product(a.e, b.e) >= 0.9 * a.n * b.n - 1e-12""",
+    "p1_found": f"WITH {_VECTORS} SELECT id_a, id_b FROM near",
+    "p1_classes": f"""WITH {_VECTORS},
+cl AS (SELECT id, e, min(id) OVER (PARTITION BY e) AS class_id FROM v),
+n AS (SELECT class_id, count(DISTINCT other) AS n FROM (
+  SELECT x.class_id, y.class_id AS other FROM near JOIN cl x ON x.id = id_a JOIN cl y ON y.id = id_b UNION ALL SELECT y.class_id, x.class_id FROM near JOIN cl x ON x.id = id_a JOIN cl y ON y.id = id_b
+) WHERE class_id <> other GROUP BY class_id)
+SELECT id, class_id, coalesce(n, 0) AS n_links FROM cl LEFT JOIN n USING (class_id)""",
     "p4_found": f"""WITH {_PAIRS} SELECT * FROM pairs""",
     "p4_groups": f"""WITH RECURSIVE {_PAIRS},
 both_ways AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -64,7 +65,7 @@ def test_equal_centroids_are_one_list():
     rng = np.random.default_rng(5)
     x = np.concatenate([np.tile(rng.standard_normal(64), (400, 1)) * rng.uniform(0.5, 2, (400, 1)), rng.standard_normal((800, 64))])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    c = vectors.Lists(x, 100, 24).centroids
+    c = vectors.Lists(x, 100).centroids
     assert len(c) > 60 and (np.triu(c @ c.T, 1) < 1 - 1e-6).all()
 
 
@@ -87,14 +88,30 @@ def test_current_rows(spark):
     assert [tuple(r) for r in vectors.current(df).collect()] == [("b", [2.0])]
 
 
-def test_graph_finds_the_nearest_lists():
+def test_graph_finds_the_nearest_lists(monkeypatch):
+    monkeypatch.setattr(vectors.Lists, "FLAT", 64)
     rng = np.random.default_rng(1)
-    x = rng.standard_normal((4000, 64))
+    x = rng.standard_normal((30, 64))[rng.integers(30, size=12_000)] + rng.standard_normal((12_000, 64)) * 0.7
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    lists = vectors.Lists(x, 200, 24)
-    ids, cos = lists.nearest(x[:300].astype(np.float32), 5)
-    best = np.argmax(x[:300] @ lists.centroids.T, axis=1)
-    assert (ids[:, 0] == best).mean() > 0.95 and (np.diff(cos, axis=1) <= 0).all()
+    lists = vectors.Lists(x, 1500)
+    ids, cos = lists.nearest(x[:400].astype(np.float32), 14)
+    true = np.argsort(-(x[:400] @ lists.centroids.T), axis=1)[:, :14]
+    assert np.mean([len(set(a) & set(b)) / 14 for a, b in zip(ids.tolist(), true.tolist())]) > 0.95
+    assert (np.diff(cos, axis=1) <= 0).all() and all(len(set(r)) == 14 for r in ids.tolist())
+    assert np.allclose(cos, np.take_along_axis(x[:400] @ lists.centroids.T, ids, axis=1), atol=1e-5)
+
+
+def test_pairs_are_not_capped(spark):
+    rng = np.random.default_rng(4)
+    c = rng.standard_normal(64)
+    x = np.concatenate([c + rng.standard_normal((60, 64)) * 0.1, rng.standard_normal((100, 64)), np.tile(c, (3, 1))]).astype(np.float32)
+    u = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = np.triu(u @ u.T >= 0.9, 1)
+    pairs = {tuple(r) for r in vectors.similar_pairs(_vectors(spark, x)).collect()}
+    assert pairs == {(f"n{a:05d}", f"n{b:05d}") for a, b in zip(*np.nonzero(near))} and near.sum(axis=1).max() > 40
+    classes = {r["id"]: (r["class_id"], r["n_links"]) for r in vectors.similar_classes(_vectors(spark, x)).collect()}
+    assert len(classes) == 163 and classes["n00161"] == ("n00160", int(near[:160, 160].sum())) and classes["n00100"] == ("n00100", 0)
+    assert vectors.similar_classes(_vectors(spark, x).limit(0)).count() == 0
 
 
 # p4
@@ -390,7 +407,7 @@ def test_one_short_foreign_sentence_for_every_pair_of_languages(spark):
     lab = language.Labeller(language.Model(rows[::2]))
     held = {}
     for lang, t in rows[1::2]:
-        held.setdefault(lang, []).extend(s for w, s in lab.sentences(t) if len(w) >= 8)
+        held.setdefault(lang, []).extend(s.strip() for w, s in lab.split(t) if len(w) >= 8)
     short = {k: [s[:8] + "。" if k in ("zh", "ja") else " ".join(s.split()[:4]).rstrip(".,;:!?") + "." for s in v[:6]] for k, v in held.items()}
     got = [[x[0] for x in lab.segments(f"{held[a][i]}\n{short[b][i]}\n{held[a][-1 - i]}")] == [a, b, a] for a in held for b in held if a != b for i in range(6)]
     assert len(got) == 8 * 7 * 6 and sum(got) / len(got) >= 0.9
@@ -400,7 +417,57 @@ def test_one_short_foreign_sentence_for_every_pair_of_languages(spark):
 
 def test_a_way_may_change_within_an_even_sentence(monkeypatch):
     lab = language.Labeller(language.Model([("aa", "one two"), ("bb", "three four")]))
-    score = {"a": (0, -5), "b": (-5, 0), "m": (0, -2.5)}  # the best way carries aa through three of five words of the second sentence
-    monkeypatch.setattr(lab, "sentences", lambda text: [(list(w), w) for w in ("aaaaaaaa", "mmmbb", "bbbbbbbb")])
-    monkeypatch.setattr(lab, "rows", lambda words: np.array([score[w] for w in words], np.float32))
-    assert [x[0] for x in lab.label("x")] == [0, 0, 1]
+    for w, score in {"a0": (0, -5), "b0": (-5, 0), "m0": (0, -2.5)}.items():  # the best way carries aa through three of five words of the second sentence
+        lab.learn(w, np.array(score))
+    monkeypatch.setattr(lab, "split", lambda text: [([f"{c}0" for c in w], w) for w in (text or "").split()])
+    assert lab.label(["aaaaaaaa mmmbb bbbbbbbb"]).lang.tolist() == [0, 0, 1]
+    assert lab.label(["aaaaaaaa bbbbbbbb", "bbbb", None, "aaaa aaaa bbbb"]).lang.tolist() == [0, 1, 1, 0, 0, 1]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6))
+def test_ways_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    lab = language.Labeller(language.Model([(x, f"w{x}") for x in ("aa", "bb", "cc")], language.Settings(switch=2.0, turn=0.7, temper=1.3)))
+    n = rng.integers(1, 3, 4)
+    score = -rng.exponential(1.0, (n.sum(), 3))
+    doc = np.sort(rng.integers(0, 2, 4))
+    lang, sure = lab._ways(score, n, doc)
+    for d in set(doc.tolist()):
+        rows = np.flatnonzero(np.repeat(doc, n) == d)
+        owner = np.repeat(np.arange(4), n)[rows]
+        total, post, best = 0.0, np.zeros((len(rows), 3)), (-np.inf, None)
+        for way in itertools.product(range(3), repeat=len(rows)):
+            value = sum(score[r, k] for r, k in zip(rows, way)) - sum((2.0 if owner[i] == owner[i - 1] else 0.7) for i in range(1, len(way)) if way[i] != way[i - 1])
+            best = max(best, (value, way))
+            p = np.exp(value / 1.3)
+            total += p
+            post[np.arange(len(rows)), way] += p
+        post /= total
+        for sent in set(owner.tolist()):
+            mine = np.flatnonzero(owner == sent)
+            votes = np.bincount([best[1][i] for i in mine], minlength=3)
+            if n[sent] == 1 and (doc == d).sum() > 0:
+                assert votes[lang[sent]] == votes.max()
+                assert sure[sent] == pytest.approx(post[mine, lang[sent]].mean(), abs=0.25)
+        if all(n[doc == d] == 1):  # no sentence of several words is one step: sums over all ways agree exactly
+            assert sure[doc == d] == pytest.approx(post[np.arange(len(rows)), lang[doc == d]])
+
+
+def test_confidence_is_calibrated(spark):
+    """Held-out pieces of two to five words or signs: the mean confidence of the surer and the less sure is near their accuracy."""
+    rows = [(r["lang"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/lang_samples.parquet").orderBy("sample_id").collect()]
+    model = language.Model(rows[::2], language.Settings(least_words=1, least_signs=1))
+    lab = language.Labeller(model)
+    rng, got = random.Random(1), []
+    for lang, text in rows[1::2]:
+        for _ in range(6):
+            w = [x for words, _ in lab.split(text) for x in words]
+            k = rng.randrange(max(1, len(w) - 5))
+            piece = ("" if lang in ("zh", "ja") else " ").join(w[k : k + rng.choice([1, 2, 3, 5])])
+            found = lab.label([piece])
+            if len(found.lang) == 1:
+                got.append((float(found.sure[0]), model.langs[found.lang[0]] == lang))
+    got.sort()
+    for part in (got[: len(got) // 3], got[len(got) // 3 :], got):
+        assert abs(np.mean([p for p, _ in part]) - np.mean([r for _, r in part])) < 0.08

@@ -47,12 +47,14 @@ HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿︎️]")
 
 @dataclass(frozen=True)
 class Settings:
-    """switch: penalty for a change of language between words of a sentence. turn: between sentences. foreign: score of a word in a language that isn't written in
+    """switch: penalty for a change of language between words of a sentence. turn: between sentences. temper: by what the scores are divided
+    before confidences are computed from them, since words aren't independent. foreign: score of a word in a language that isn't written in
     its script. least_words, least_signs: words, or CJK characters, that make a sentence. fitted_rows: most rows of reference
     samples that the model is fitted on; fitted_documents: most labelled documents from which it learns further words."""
 
     switch: float = 10.0
     turn: float = 4.0
+    temper: float = 1.0
     foreign: float = -5.0
     least_words: int = 3
     least_signs: int = 5
@@ -171,94 +173,172 @@ def prose(text: str) -> str:
     return TERM.sub(" ", t)
 
 
+@dataclass
+class Sentences:
+    """The sentences of a batch of texts, in order: doc (place of the text in the batch), lang (number of the language), sure (its
+    posterior), words (how many); parts are the sentences themselves."""
+
+    doc: np.ndarray
+    lang: np.ndarray
+    sure: np.ndarray
+    words: np.ndarray
+    parts: list[str]
+
+    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first sentence, number within its text from 1, segments of its text) of each longest run of sentences in one language."""
+        fresh = np.ones(len(self.doc), bool)
+        fresh[1:] = (self.doc[1:] != self.doc[:-1]) | (self.lang[1:] != self.lang[:-1])
+        start = np.flatnonzero(fresh)
+        _, first, count = np.unique(self.doc[start], return_index=True, return_counts=True)
+        return start, np.arange(len(start)) - np.repeat(first, count) + 1, np.repeat(count, count)
+
+
 class Labeller:
-    """One per task: the model with the scores of the words met so far."""
+    """One per task: the model with the scores of the words met so far. Texts are labelled in batches, all their words at once."""
 
     def __init__(self, model: Model):
         self.model, self.s = model, model.s
         self.at: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.langs)), np.float32)
+        #: 1: a sign of Han or kana, 2: a word of several letters, 0: any other.
+        self.kind = np.zeros(1024, np.int8)
+
+    def learn(self, word: str, score: np.ndarray) -> int:
+        i = self.at[word] = len(self.at)
+        if i >= len(self.table):
+            self.table, self.kind = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.kind, np.zeros_like(self.kind)])
+        self.table[i] = score
+        self.kind[i] = 2 if len(word) > 1 else int(script(word) in ("han", "kana"))
+        return i
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        at = self.at
+        return np.array([at[w] if w in at else self.learn(w, self.model.score(w)) for w in words], np.int64)
+
+    @staticmethod
+    def split(text: str | None) -> list[tuple[list[str], str]]:
+        """(words, part) of the parts of the prose, lower-cased; parts without words are left out."""
+        if not text or text.isspace():
+            return []
+        parts = [(WORD.findall(p), p) for p in BREAK.split(prose(text).lower()) if p]
+        return [x for x in parts if x[0]]
 
-    def rows(self, words: list[str]) -> np.ndarray:
+    def label(self, texts: list[str | None]) -> Sentences:
+        """The parts that have enough words for a sentence, each in the language of most of its words on the best way through its whole text."""
         if len(self.at) > 200_000:
             self.at = {}
-        ids = []
-        for w in words:
-            i = self.at.get(w)
-            if i is None:
-                i = self.at[w] = len(self.at)
-                if i >= len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[i] = self.model.score(w)
-            ids.append(i)
-        return self.table[ids]
-
-    def sentences(self, text: str) -> list[tuple[list[str], str]]:
-        """(words, sentence) of the parts of the prose that have enough words."""
-        out = []
-        for part in BREAK.split(prose(text)):
-            w = words_of(part) if part else []
-            signs = sum(1 for x in w if len(x) == 1 and script(x) in ("han", "kana"))
-            letters = [x for x in w if len(x) > 1]
-            if signs >= self.s.least_signs or len(letters) >= self.s.least_words:
-                out.append((w, part.strip()))
-        return out
-
-    def _even(self, score: np.ndarray, lead: int) -> bool:
-        """Whether no stretch of a sentence's words gains the switching penalty in another language than its leading one."""
-        gain = np.cumsum(score - score[:, lead : lead + 1], axis=0)
-        low = np.minimum(np.minimum.accumulate(gain, axis=0) - (score - score[:, lead : lead + 1]), 0)
-        low = np.minimum.accumulate(low, axis=0)
-        return bool((gain - low).max() <= self.s.switch)
-
-    def label(self, text: str | None) -> list[tuple[int, float, str, int]]:
-        """(language, confidence, sentence, words) of each sentence: that of most of its words on the best way through the whole text."""
-        parts = self.sentences(text) if text and not text.isspace() else []
-        if not parts:
-            return []
-        scores = [self.rows(w) for w, _ in parts]
-        sums = [m.sum(axis=0) for m in scores]
-        leads = [int(x.argmax()) for x in sums]
-        units, owner, weight = [], [], []
-        for i, m in enumerate(scores):
-            # One step for a sentence that is even and lies between sentences led by its language; at a change a way may cross it.
-            same = all(leads[j] == leads[i] for j in (i - 1, i + 1) if 0 <= j < len(leads))
-            u = [sums[i]] if same and self._even(m, leads[i]) else list(m)
-            units += u
-            owner += [i] * len(u)
-            weight += [len(m)] if len(u) == 1 else [1] * len(u)
-        best = units[0].copy()
-        back = []
-        for k, u in enumerate(units[1:]):
-            top = int(best.argmax())
-            jump = best[top] - (self.s.switch if owner[k] == owner[k + 1] else self.s.turn)
-            back.append(np.where(best >= jump, np.arange(len(best)), top))
-            best = np.maximum(best, jump) + u
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        votes = [Counter() for _ in parts]
-        for lang, i, n in zip(reversed(path), owner, weight):
-            votes[i][lang] += n
-        out = []
-        for (w, part), m, v in zip(parts, scores, votes):
-            lang = max(v, key=lambda k: (v[k], -k))
-            x = m.mean(axis=0).astype(np.float64) * min(len(w), 12)
-            p = np.exp(x - x.max())
-            out.append((lang, float(p[lang] / p.sum()), part, len(w)))
-        return out
+        words: list[str] = []
+        parts: list[str] = []
+        size, doc = [], []
+        for d, t in enumerate(texts):
+            for w, part in self.split(t):
+                words += w
+                size.append(len(w))
+                doc.append(d)
+                parts.append(part)
+        n, doc = np.array(size, np.int64), np.array(doc, np.int64)
+        ids = self.ids(words)
+        begin = np.cumsum(n) - n
+        if len(n):
+            counts = [np.add.reduceat(self.kind[ids] == k, begin) for k in (1, 2)]
+            keep = (counts[0] >= self.s.least_signs) | (counts[1] >= self.s.least_words)
+            ids, n, doc, parts = ids[np.repeat(keep, n)], n[keep], doc[keep], [p for p, k in zip(parts, keep) if k]
+        if not len(n):
+            return Sentences(doc, n, n.astype(float), n, [])
+        lang, sure = self._ways(self.table[ids].astype(np.float64), n, doc)
+        return Sentences(doc, lang, sure, n, parts)
+
+    def _ways(self, score: np.ndarray, n: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(language, posterior) of each sentence of n words, given the words' scores."""
+        k = score.shape[1]
+        begin = np.cumsum(n) - n
+        sentence = np.repeat(np.arange(len(n)), n)
+        sums = np.add.reduceat(score, begin)
+        lead = sums.argmax(axis=1)
+        # A sentence is one step if no stretch of its words gains the penalty, and its neighbours are led by its language; at a change a way may cross it.
+        alike = (doc[1:] == doc[:-1]) & (lead[1:] != lead[:-1])
+        single = ~np.append(alike, False) & ~np.append(False, alike) & self._even(score, sums, lead, n, sentence, begin)
+        steps = np.where(single, 1, n)
+        owner = np.repeat(np.arange(len(n)), steps)
+        first = np.cumsum(steps) - steps
+        unit = np.empty((len(owner), k))
+        unit[first[single]] = sums[single]
+        loose = ~single[sentence]
+        unit[(first[sentence] + np.arange(len(sentence)) - begin[sentence])[loose]] = score[loose]
+        weight = np.where(single, n, 1)[owner]
+        penalty = np.where(np.append(-1, owner[:-1]) == owner, self.s.switch, self.s.turn)
+        of = doc[owner]
+        start = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        length = np.diff(np.append(start, len(of)))
+        order = np.argsort(-length, kind="stable")
+        start, length = start[order], length[order]
+        live = [int(np.searchsorted(-length, -t, side="left")) for t in range(int(length[0]))]  # texts that have a step t
+        path = self._best(unit, penalty, start, length, live)
+        sure = self._posterior(unit, penalty, start, length, live)
+        votes = np.bincount(owner * k + path, weights=weight, minlength=len(n) * k).reshape(-1, k)
+        lang = votes.argmax(axis=1)
+        return lang, np.add.reduceat(sure[np.arange(len(owner)), lang[owner]] * weight, first) / n
+
+    def _even(self, score, sums, lead, n, sentence, begin) -> np.ndarray:
+        """Whether no stretch of a sentence's words gains more than the switching penalty in another language than its leading one."""
+        gain = score - score[np.arange(len(score)), lead[sentence]][:, None]
+        total = np.cumsum(gain, axis=0)
+        total -= (total[begin] - gain[begin])[sentence]
+        before = total - gain
+        fall = 16.0 * (2 + float(np.abs(total).max()))  # takes each sentence below all before it, so that one running minimum serves all
+        low = np.minimum.accumulate(before - (sentence * fall)[:, None], axis=0) + (sentence * fall)[:, None]
+        return np.maximum.reduceat((total - low).max(axis=1), begin) <= self.s.switch + 1e-4
+
+    @staticmethod
+    def _best(unit, penalty, start, length, live) -> np.ndarray:
+        """The best way through the steps of each text (Viterbi), step by step in all texts at once."""
+        best = unit[start].copy()
+        back = np.empty(unit.shape, np.int8)
+        same = np.arange(unit.shape[1], dtype=np.int8)
+        for t, m in enumerate(live[1:], 1):
+            at, b = start[:m] + t, best[:m]
+            top = b.argmax(axis=1)
+            jump = b[np.arange(m), top] - penalty[at]
+            back[at] = np.where(b >= jump[:, None], same, top[:, None].astype(np.int8))
+            best[:m] = np.maximum(b, jump[:, None]) + unit[at]
+        path = np.empty(len(unit), np.int64)
+        now = best.argmax(axis=1)
+        path[start + length - 1] = now
+        for t in range(len(live) - 1, 0, -1):
+            m = live[t]
+            at = start[:m] + t
+            path[at - 1] = back[at, path[at]]
+        return path
+
+    def _posterior(self, unit, penalty, start, length, live) -> np.ndarray:
+        """Posterior of each language at each step, by forward and backward sums over all ways."""
+        like = np.exp((unit - unit.max(axis=1, keepdims=True)) / self.s.temper)
+        q = np.exp(-penalty / self.s.temper)[:, None]
+        ahead = np.empty(unit.shape)
+        ahead[start] = like[start] / like[start].sum(axis=1, keepdims=True)
+        for t, m in enumerate(live[1:], 1):
+            at = start[:m] + t
+            x = (ahead[at - 1] * (1 - q[at]) + q[at]) * like[at]
+            ahead[at] = x / x.sum(axis=1, keepdims=True)
+        behind = np.ones(unit.shape)
+        for t in range(len(live) - 1, 0, -1):
+            m = live[t]
+            at = start[:m] + t
+            x = behind[at] * like[at]
+            x = x * (1 - q[at]) + q[at] * x.sum(axis=1, keepdims=True)
+            behind[at - 1] = x / x.sum(axis=1, keepdims=True)
+        p = ahead * behind
+        return p / p.sum(axis=1, keepdims=True)
 
     def segments(self, text: str | None) -> list[tuple[str, float, int, str]]:
         """(language, confidence, words, text) of each longest run of sentences in one language."""
-        out: list[list] = []
-        for lang, sure, part, n in self.label(text):
-            if out and out[-1][0] == lang:
-                out[-1][1] += sure * n
-                out[-1][2] += n
-                out[-1][3] += " " + part
-            else:
-                out.append([lang, sure * n, n, part])
-        return [(self.model.langs[k], sure / n, n, t) for k, sure, n, t in out]
+        found = self.label([text])
+        start, _, _ = found.segments()
+        out = []
+        for i, j in zip(start, np.append(start[1:], len(found.doc))):
+            n = int(found.words[i:j].sum())
+            out.append((self.model.langs[found.lang[i]], float((found.sure[i:j] * found.words[i:j]).sum() / n), n, " ".join(p.strip() for p in found.parts[i:j])))
+        return out
 
 
 def given_label() -> Column:
@@ -290,21 +370,24 @@ def fit(samples: DataFrame, documents: DataFrame | None = None, s: Settings = Se
 def segments(documents: DataFrame, samples: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, seg_no, lang, confidence, n_words, n_segments, label) of all segments of all documents.
 
-    Null, empty and blank texts, and texts without any sentence, give no rows. confidence is the mean share of the
-    language in the sentences' score, by words. label: see given_label. Rows stay where they are read.
+    Null, empty and blank texts, and texts without any sentence, give no rows. confidence is the mean posterior of the
+    language at its sentences over all ways through the text, by words. label: see given_label. Rows stay where they are read.
     """
     model = documents.sparkSession.sparkContext.broadcast(fit(samples, documents, s))  # bounded by the rows it is fitted on
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lab = Labeller(model.value)
+        langs = pa.array(model.value.langs, pa.string())
         for whole in batches:
             for b in slices(whole, "text"):
-                per = [lab.segments(t) for t in b.column("text").to_pylist()]
-                got = [(i, k + 1, *x[:3], len(segs)) for i, segs in enumerate(per) for k, x in enumerate(segs)]
-                at = pa.array([g[0] for g in got], pa.int64())
+                found = lab.label(b.column("text").to_pylist())
+                start, number, of = found.segments()
+                words = np.add.reduceat(found.words, start) if len(start) else found.words
+                sure = np.add.reduceat(found.sure * found.words, start) / words if len(start) else found.sure
+                at = pa.array(found.doc[start])
                 yield pa.RecordBatch.from_arrays([
-                    b.column("doc_id").take(at), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.string()),
-                    pa.array([g[3] for g in got], pa.float64()), pa.array([g[4] for g in got], pa.int32()), pa.array([g[5] for g in got], pa.int32()), b.column("label").take(at)],
+                    b.column("doc_id").take(at), pa.array(number.astype(np.int32)), langs.take(pa.array(found.lang[start])),
+                    pa.array(sure), pa.array(words.astype(np.int32)), pa.array(of.astype(np.int32)), b.column("label").take(at)],
                     ["doc_id", "seg_no", "lang", "confidence", "n_words", "n_segments", "label"])
 
     rows = documents.select("doc_id", "text", given_label().alias("label"))

@@ -11,6 +11,8 @@ from grainmill.session import broadcast_if_small, cut
 
 #: Node attributes split by how often they change; each group is a satellite of its own.
 NODE_SATELLITES = {"described": ["type", "layer", "title", "source"], "rated": ["summary", "confidence"]}
+#: Prefix of the columns that hold a satellite's attributes next to its hash.
+ATTRIBUTES = "attributes of "
 #: A key with more rows than this is sorted in pieces.
 HOT_ROWS = 200_000
 
@@ -36,16 +38,17 @@ def edge_states(edges: DataFrame) -> DataFrame:
     )
 
 
-def node_states(patches: DataFrame, satellites: dict[str, list[str]] = NODE_SATELLITES) -> DataFrame:
-    """(id, version, at, <satellite>...): the patch that holds for each version, with a hash per satellite.
+def node_states(patches: DataFrame, satellites: dict[str, list[str]] = NODE_SATELLITES, attributes: bool = True) -> DataFrame:
+    """(id, version, at, <satellite>...[, <attribute>...]): the patch that holds for each version, with a hash per satellite.
 
     Of several patches of a version the one with the latest patch_ts holds (equal times: the greatest hashes).
     Patches without id, version or patch_ts don't count.
     """
     hashes = [row_digest(*[F.col(c) for c in cols]).alias(name) for name, cols in satellites.items()]
+    named = [F.struct(*cols).alias(f"{ATTRIBUTES}{name}") for name, cols in satellites.items()] if attributes else []
     return (
         patches.filter("id is not null and id <> '' and version is not null and patch_ts is not null")
-        .select("id", "version", F.struct(F.col("patch_ts").alias("at"), *hashes).alias("s"))
+        .select("id", "version", F.struct(F.col("patch_ts").alias("at"), *hashes, *named).alias("s"))
         .groupBy("id", "version").agg(F.max("s").alias("s")).select("id", "version", "s.*")
     )
 
@@ -68,39 +71,73 @@ def _split(df: DataFrame, hot: DataFrame | None) -> list[tuple[DataFrame, bool]]
     return [(df.join(hot, keys, "left_anti"), False), (df.join(hot, keys, "left_semi"), True)]
 
 
-def edge_satellite(edges: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """Insert-only satellite of the links: a row is appended only where the state's hash differs from the row before.
+def edge_satellite(edges: DataFrame, hot: DataFrame | None = None, state: bool = True) -> DataFrame:
+    """Insert-only satellite of the links, (source, target, rel, at, digest[, state]): a row is appended only where the state's hash
+    differs from the row before. state is the JSON with sorted keys, null if there was none.
 
     A link that ends before its next row begins gets a closing row (digest null), so a gap is a change like any
     other. Hot keys are sorted month by month.
     """
     keys = ["source", "target", "rel"]
     parts = []
-    for df, is_hot in _split(edge_states(edges).drop("state"), hot):
+    states = edge_states(edges) if state else edge_states(edges).drop("state")
+    extra = ["state"] if state else []
+    for df, is_hot in _split(states if hot is None else cut(states), hot):
         bucket = F.trunc("at", "month") if is_hot else None
         ends = F.col("until") > F.col("at")
         rows = beside(df, keys, ["at"], {"next_at": ("at", 1), "was": ("digest", -1), "was_at": ("at", -1), "was_until": ("until", -1)}, bucket)
         gap = (F.col("was_until") > F.col("was_at")) & (F.col("was_until") < F.col("at"))
         fresh = F.col("was").isNull() | F.coalesce(gap, F.lit(False)) | (F.col("was") != F.col("digest"))
-        opened = F.when(fresh, F.struct(F.col("at"), F.col("digest")))
-        closed = F.when(ends & (F.col("next_at").isNull() | (F.col("until") < F.col("next_at"))), F.struct(F.col("until").alias("at"), F.lit(None).cast("string").alias("digest")))
+        opened = F.when(fresh, F.struct(F.col("at"), F.col("digest"), *extra))
+        closed = F.when(ends & (F.col("next_at").isNull() | (F.col("until") < F.col("next_at"))), F.struct(F.col("until").alias("at"), *[F.lit(None).cast("string").alias(c) for c in ("digest", *extra)]))
         parts.append(rows.select(*keys, F.explode(F.filter(F.array(opened, closed), lambda x: x.isNotNull())).alias("e")).select(*keys, "e.*"))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def node_satellites(patches: DataFrame, satellites: dict[str, list[str]] = NODE_SATELLITES, hot: DataFrame | None = None) -> DataFrame:
-    """Insert-only satellites of the nodes: (id, version, at, changed, digests) where the hash of some satellite changed.
-
-    changed lists the satellites that got a row. Hot keys are sorted in pieces of 10,000 versions.
-    """
+def node_changes(patches: DataFrame, satellites: dict[str, list[str]] = NODE_SATELLITES, hot: DataFrame | None = None, attributes: bool = True) -> DataFrame:
+    """(id, version, at, changed, <satellite>...[, attributes]) where the hash of some satellite changed; changed lists these satellites.
+    Hot keys are sorted in pieces of 10,000 versions."""
     names = list(satellites)
     parts = []
-    for df, is_hot in _split(node_states(patches, satellites), hot):
+    states = node_states(patches, satellites, attributes)
+    for df, is_hot in _split(states if hot is None else cut(states), hot):
         bucket = F.floor(F.col("version") / 10_000) if is_hot else None
         rows = beside(df, ["id"], ["version"], {f"was_{n}": (n, -1) for n in names}, bucket)
         changed = F.array_compact(F.array(*[F.when(~F.col(n).eqNullSafe(F.col(f"was_{n}")), F.lit(n)) for n in names]))
-        parts.append(rows.withColumn("changed", changed).filter(F.size("changed") > 0).select("id", "version", "at", "changed", *names))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        parts.append(rows.withColumn("changed", changed).filter(F.size("changed") > 0).select("id", "version", "at", "changed", *[c for c in df.columns if c not in ("id", "version", "at")]))
+    return _union(parts)
+
+
+def _satellite(rows: DataFrame, name: str, satellites: dict[str, list[str]]) -> DataFrame:
+    return rows.select("id", "version", "at", F.col(name).alias("digest"), *[F.col(f"`{ATTRIBUTES}{name}`.{c}").alias(c) for c in satellites[name]])
+
+
+def node_satellites(patches: DataFrame, satellites: dict[str, list[str]] = NODE_SATELLITES, hot_rows: int = HOT_ROWS) -> dict[str, DataFrame]:
+    """The insert-only satellites of the nodes, a table (id, version, at, digest, <attributes>) for each: a row only where the hash of
+    its attributes differs from that of the version before. All are filters of one stored table."""
+    rows = cut(node_changes(patches, satellites, hot_keys(patches.select("id"), hot_rows)))
+    return {n: _satellite(rows.filter(F.array_contains("changed", n)), n, satellites) for n in satellites}
+
+
+def append(satellite: DataFrame, patches: DataFrame, name: str, satellites: dict[str, list[str]] = NODE_SATELLITES) -> tuple[DataFrame, DataFrame]:
+    """(rows to append to a satellite, late patches) for patches that have come since it was written.
+
+    Only the last row of each id is read from the satellite; nothing in it changes. Patches whose version isn't above
+    that row's can't be told from what the satellite left out as unchanged: they come back as late, and their ids are to be built anew.
+    With all patches in the order of their versions, the satellite and the appended rows equal one built of all patches.
+    """
+    last = satellite.groupBy("id").agg(F.max(F.struct("version", "digest")).alias("last"))
+    states = _satellite(node_states(patches, {name: satellites[name]}), name, satellites).join(last, "id", "left")
+    order = F.col("version") > F.coalesce("last.version", F.lit(-(2**31)))
+    late = patches.join(last.select("id", F.col("last.version").alias("_last")), "id").filter(F.col("version") <= F.col("_last")).select(*patches.columns)
+    rows = beside(states.filter(order), ["id"], ["version"], {"was": ("digest", -1)})
+    before = F.coalesce("was", "last.digest")
+    return rows.filter(before.isNull() | (before != F.col("digest"))).select(*satellite.columns), late
+
+
+def in_periods(satellite: DataFrame) -> DataFrame:
+    """A node satellite with the period in which each row held: from at until the at of the next, null while open."""
+    return beside(satellite, ["id"], ["version"], {"until": ("at", 1)})
 
 
 def _numbered(df: DataFrame, keys: list[str], order: str, open_row: Column, entity: str, entity_key: Column, hot: DataFrame | None) -> DataFrame:
@@ -143,13 +180,13 @@ def edge_history(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Versions of every link that has at least two, with the period in which each held; '' while open."""
     keys = ["source", "target", "rel"]
     hot = hot_keys(_edge_keys(edges), hot_rows)
-    return _numbered(edge_satellite(edges, hot), keys, "at", F.col("digest").isNotNull(), "edge", F.concat_ws("|", *keys), hot)
+    return _numbered(edge_satellite(edges, hot, state=False), keys, "at", F.col("digest").isNotNull(), "edge", F.concat_ws("|", *keys), hot)
 
 
 def node_history(patches: DataFrame, satellites: dict[str, list[str]] = NODE_SATELLITES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Versions of every node that has at least two; the order is that of version, the times are patch_ts."""
     hot = hot_keys(patches.select("id"), hot_rows)
-    return _numbered(node_satellites(patches, satellites, hot).drop("changed"), ["id"], "version", F.lit(True), "node", F.col("id"), hot)
+    return _numbered(node_changes(patches, satellites, hot, attributes=False).drop("changed"), ["id"], "version", F.lit(True), "node", F.col("id"), hot)
 
 
 def history(edges: DataFrame, patches: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

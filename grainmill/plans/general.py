@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.operators import hierarchy, history, references, snapshots
-from grainmill.session import table
+from grainmill.session import cut, table
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
@@ -40,8 +40,30 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_satellites(spark: SparkSession, d: str) -> DataFrame:
-    rows = history.node_satellites(table(spark, d, "node_patches"))
-    return rows.select("id", "version", F.explode("changed").alias("satellite"), history.stamp(F.col("at")).alias("load_ts"))
+    """Rows of both satellites with their attributes and periods; the other satellite's attributes are null."""
+    parts = []
+    for name, rows in history.node_satellites(table(spark, d, "node_patches")).items():
+        stamps = {"load_ts": history.stamp(F.col("at")), "until_ts": F.coalesce(history.stamp(F.col("until")), F.lit(""))}
+        parts.append(history.in_periods(rows).withColumns({"satellite": F.lit(name), **stamps}).drop("at", "until", "digest"))
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).withColumn("confidence", F.col("confidence").cast("double"))
+
+
+def p5_appended(spark: SparkSession, d: str) -> DataFrame:
+    """The rated satellite built of the patches up to the middle of the log, and then appended to; late patches are counted by id."""
+    p = table(spark, d, "node_patches")
+    middle = p.agg(F.expr("percentile_disc(0.5) within group (order by version)")).first()[0] or 0
+    first = cut(history.node_satellites(p.filter(F.col("version") <= middle))["rated"])
+    rows, late = history.append(first, p.filter(F.col("version") > middle), "rated")
+    out = first.unionByName(rows).groupBy("id").agg(F.count("*").alias("n_rows"), F.max("version").alias("version"), F.max(F.struct("version", "summary")).alias("s"))
+    n = late.groupBy("id").agg(F.count("*").alias("n_late"))
+    return out.join(n, "id", "left").select("id", "n_rows", "version", F.col("s.summary").alias("summary"), F.coalesce("n_late", F.lit(0)).alias("n_late"))
+
+
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the links' satellite with a value of their state; closing rows have none."""
+    rows = history.edge_satellite(table(spark, d, "edges"))
+    return rows.select(
+        F.concat_ws("|", "source", "target", "rel").alias("entity_key"), history.stamp(F.col("at")).alias("load_ts"), F.col("digest").isNull().alias("closes"), F.get_json_object("state", "$.by").alias("author"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -53,5 +75,5 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p3_report, p5_found, p5_satellites, p6_found, p6_counts)
+    f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p3_report, p5_found, p5_satellites, p5_appended, p5_links, p6_found, p6_counts)
 }

@@ -65,7 +65,7 @@ _P5_NODES = f"""np AS (
   QUALIFY row_number() OVER (PARTITION BY id, version ORDER BY patch_ts DESC) = 1
 ),
 nflag AS (
-  SELECT id, version, patch_ts,
+  SELECT id, version, patch_ts, type, layer, title, source, summary, confidence,
     lag(version) OVER w IS NULL OR {' OR '.join(f'{c} IS DISTINCT FROM lag({c}) OVER w' for c in ('type', 'layer', 'title', 'source'))} AS described,
     lag(version) OVER w IS NULL OR {' OR '.join(f'{c} IS DISTINCT FROM lag({c}) OVER w' for c in ('summary', 'confidence'))} AS rated
   FROM np WINDOW w AS (PARTITION BY id ORDER BY version)
@@ -75,11 +75,11 @@ _P5 = f"""WITH raw AS (
     json(properties) AS p FROM edges
 ),
 flat AS (
-  SELECT s, t, rel, tm, until, CASE WHEN p IS NULL THEN NULL ELSE
+  SELECT s, t, rel, tm, until, p, CASE WHEN p IS NULL THEN NULL ELSE
     to_json(list_sort([k || '=' || coalesce((p -> k)::VARCHAR, 'null') FOR k IN json_keys(p)]))::VARCHAR END AS state
   FROM raw WHERE s <> '' AND t <> '' AND tm IS NOT NULL
 ),
-one AS (SELECT s, t, rel, tm, max(until) AS until, max(state) AS state FROM flat GROUP BY s, t, rel, tm),
+one AS (SELECT s, t, rel, tm, max(until) AS until, max(state) AS state, max_by(p, state) AS kept FROM flat GROUP BY s, t, rel, tm),
 ended AS (
   SELECT *, CASE WHEN until > tm AND (nxt IS NULL OR until < nxt) THEN until ELSE nxt END AS ends
   FROM (SELECT *, lead(tm) OVER (PARTITION BY s, t, rel ORDER BY tm) AS nxt FROM one)
@@ -117,9 +117,16 @@ SELECT a AS node_id, b AS descendant_id, min(depth)::INTEGER AS depth FROM reach
     "p3_found": _P3 + " SELECT * FROM found WHERE kind IS NOT NULL",
     "p3_report": _P3 + " SELECT ref_table, ref_field, period, kind, count(*) AS n_ids FROM found WHERE kind IS NOT NULL GROUP BY ALL",
     "p5_found": _P5,
-    "p5_satellites": f"""WITH {_P5_NODES}
-SELECT id, version, 'described' AS satellite, {_STAMP.format('patch_ts')} AS load_ts FROM nflag WHERE described
-UNION ALL SELECT id, version, 'rated', {_STAMP.format('patch_ts')} FROM nflag WHERE rated""",
+    "p5_satellites": f"""WITH {_P5_NODES},
+d AS (SELECT *, lead(patch_ts) OVER (PARTITION BY id ORDER BY version) AS ends FROM nflag WHERE described),
+r AS (SELECT *, lead(patch_ts) OVER (PARTITION BY id ORDER BY version) AS ends FROM nflag WHERE rated)
+SELECT id, version, 'described' AS satellite, {_STAMP.format('patch_ts')} AS load_ts, coalesce({_STAMP.format('ends')}, '') AS until_ts, type, layer, title, source, NULL AS summary, NULL::DOUBLE AS confidence FROM d
+UNION ALL SELECT id, version, 'rated', {_STAMP.format('patch_ts')}, coalesce({_STAMP.format('ends')}, ''), NULL, NULL, NULL, NULL, summary, confidence::DOUBLE FROM r""",
+    "p5_appended": f"""WITH {_P5_NODES} SELECT id, count(*) AS n_rows, max(version) AS version, (list(summary ORDER BY version DESC))[1] AS summary, 0::BIGINT AS n_late FROM nflag WHERE rated GROUP BY id""",
+    "p5_links": _P5[: _P5.index("ev AS (")].rstrip().rstrip(",") + f""",
+opened AS (SELECT s || '|' || t || '|' || rel AS k, tm, false AS closes, json_extract_string(kept, '$.by') AS author FROM runs WHERE fresh = 1),
+closed AS (SELECT s || '|' || t || '|' || rel, until, true, NULL FROM runs WHERE until > tm AND (nxt IS NULL OR until < nxt))
+SELECT k AS entity_key, {_STAMP.format('tm')} AS load_ts, closes, author FROM (SELECT * FROM opened UNION ALL SELECT * FROM closed)""",
     "p6_found": _P6 + " SELECT * FROM found WHERE change IS NOT NULL",
     "p6_counts": _P6 + " SELECT snapshot_id, change, count(*) AS n_ids FROM found WHERE change IS NOT NULL GROUP BY ALL",
 }

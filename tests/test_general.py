@@ -185,6 +185,32 @@ def test_history(spark, got, hot):
         ("node", "n", 1, t(0), t(3)), ("node", "n", 2, t(3), t(4)), ("node", "n", 3, t(4), "")]
 
 
+def test_satellites_hold_their_attributes(spark, got):
+    sat = history.node_satellites(_patches(spark))
+    assert got(sat["described"], "id", "version", "title", "type") == [("m", 1, "t", "T"), ("n", 1, "t", "T"), ("n", 3, "v", "T")]
+    assert got(history.in_periods(sat["rated"]), "id", "version", "summary", "until") == [("m", 1, None, None), ("n", 1, None, T0 + dt.timedelta(hours=4)), ("n", 4, "", None)]
+    rows = got(history.edge_satellite(_edges(spark)), "rel", "at", "state")
+    assert ("R", T0, '{"x":1,"y":2}') in rows and ("R", T0 + dt.timedelta(hours=13), None) in rows and ("", T0 + dt.timedelta(hours=1), "raw:not json") in rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_appending_equals_building_anew(spark, got, seed):
+    rng = random.Random(seed)
+    rows = [(f"n{i}", v, T0 + DAY * v, "T", "L", rng.choice("ab"), rng.choice(["x", None]), rng.choice([0.5, 1.0]), "src") for i in range(12) for v in range(1, rng.randrange(2, 12))]
+    p = spark.createDataFrame(rows, _patches(spark).schema)
+    whole = history.node_satellites(p)
+    for name in history.NODE_SATELLITES:
+        have = history.node_satellites(p.filter("version <= 3"))[name]
+        for low, high in ((3, 6), (6, 99)):
+            new, late = history.append(have, p.filter(f"version > {low} and version <= {high}"), name)
+            assert late.count() == 0
+            have = have.unionByName(new)
+        assert got(have) == got(whole[name])
+        new, late = history.append(have, p.filter("version <= 2"), name)
+        assert new.count() == 0 and late.count() == p.filter("version <= 2").count()
+        assert [x.count() for x in history.append(have, p.limit(0), name)] == [0, 0] and history.append(have.limit(0), p, name)[0].count() == whole[name].count()
+
+
 def test_history_of_empty_tables(spark):
     assert history.history(_edges(spark).limit(0), _patches(spark).limit(0)).count() == 0
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from grainmill.functions.ids import row_digest
 from grainmill.session import broadcast_if_small, cut
 
+#: Ids of a chunk on average. A chunk is discarded if none of its ids changed: with four that is 47 % of the rows of the sf0.1 tables (16: 10 %).
+MEAN_CHUNK = 4
 #: The attributes by which two states of a node differ.
 STATE = ["type", "layer", "title", "summary", "confidence", "source", "is_active"]
 
@@ -48,7 +50,7 @@ def states(snapshots: DataFrame, columns: list[str] = STATE) -> DataFrame:
     )
 
 
-def chunked(rows: DataFrame, mean_chunk: int = 16) -> DataFrame:
+def chunked(rows: DataFrame, mean_chunk: int = MEAN_CHUNK) -> DataFrame:
     """Sort all snapshots by id together and cut the ids into chunks where an id's hash says so.
 
     Boundaries depend on ids alone, so an added or removed id disturbs only its own chunk. The labelled rows are
@@ -61,7 +63,7 @@ def chunked(rows: DataFrame, mean_chunk: int = 16) -> DataFrame:
     return cut(ranged.mapInArrow(_label, "part int, chunk long, snapshot_id string, id string, digest string"))
 
 
-def changes(snapshots: DataFrame, columns: list[str] = STATE, mean_chunk: int = 16) -> DataFrame:
+def changes(snapshots: DataFrame, columns: list[str] = STATE, mean_chunk: int = MEAN_CHUNK) -> DataFrame:
     """(snapshot_id, id, change): added, removed or changed ids from each snapshot to the next.
 
     Digests of the chunks of neighbouring snapshots are compared first; only rows of chunks that differ are joined.

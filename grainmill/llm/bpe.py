@@ -78,7 +78,7 @@ class Encoder:
             "rank": pa.array(range(len(pairs)), pa.int32()), "merged": pa.array([vocab[a + b] for a, b in pairs], pa.int32()),
         })
         self.bytes_of = {i: bytes(signs[c] for c in t) for t, i in vocab.items() if all(c in signs for c in t)}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})  # no spill into a worker's folder
         self.db.register("given", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.words = regex.compile(PATTERN)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,13 +18,14 @@ from grainmill.session import cut
 @dataclass(frozen=True)
 class Settings:
     """capacity: tokens of a container. hashed: width of the hashed document vectors; dims, bits: of the curve.
-    block: neighbouring items that are packed together; open_bins: containers that later blocks may still fill."""
+    block: neighbouring items that are packed together, so about as far along the curve as a container's documents lie apart;
+    open_bins: containers that later blocks may still fill."""
 
     capacity: int = 2048
     hashed: int = 256
     dims: int = 4
     bits: int = 10
-    block: int = 4096
+    block: int = 64
     open_bins: int = 64
 
 
@@ -81,30 +81,41 @@ class Curve:
         return hilbert(np.minimum((share * (1 << s.bits)).astype(np.int64), (1 << s.bits) - 1), s.bits)
 
 
-def pack(sizes: np.ndarray, s: Settings) -> np.ndarray:
-    """Bin of each item, in order of the curve; sizes are at most the capacity.
+class Packer:
+    """Bins of items that come in order of the curve; holds the bins still open and nothing else.
 
     Each block of neighbours is packed by best fit, longest first, into the bins still open; then all but the emptiest open_bins
     are closed. So an item shares its container with documents near it on the curve, and only a partition's last bins stay unfilled.
     """
-    out = np.zeros(len(sizes), dtype=np.int64)
-    open_bins: list[tuple[int, int]] = []  # (room, bin), sorted
-    n = 0
-    for start in range(0, len(sizes), s.block):
-        part = sizes[start : start + s.block]
-        for i in np.argsort(-part, kind="stable").tolist():
-            size = int(part[i])
-            k = bisect_left(open_bins, (size, -1))
-            if k < len(open_bins):
-                room, name = open_bins.pop(k)
-            else:
-                room, name = s.capacity, n
-                n += 1
-            out[start + i] = name
-            if room > size:
-                insort(open_bins, (room - size, name))
-        open_bins = sorted(heapq.nlargest(s.open_bins, open_bins))
-    return out
+
+    def __init__(self, s: Settings):
+        self.s = s
+        self.open: list[tuple[int, int]] = []  # (room, bin), sorted
+        self.n = 0
+
+    def fresh(self, n: int) -> np.ndarray:
+        """Numbers of n new bins that are full at once."""
+        self.n += n
+        return np.arange(self.n - n, self.n)
+
+    def add(self, sizes: np.ndarray) -> np.ndarray:
+        """Bin of each item; sizes are at most the capacity."""
+        s = self.s
+        out = np.zeros(len(sizes), dtype=np.int64)
+        for start in range(0, len(sizes), s.block):
+            part = sizes[start : start + s.block]
+            for i in np.argsort(-part, kind="stable").tolist():
+                size = int(part[i])
+                k = bisect_left(self.open, (size, -1))
+                if k < len(self.open):
+                    room, name = self.open.pop(k)
+                else:
+                    room, name = s.capacity, int(self.fresh(1)[0])
+                out[start + i] = name
+                if room > size:
+                    insort(self.open, (room - size, name))
+            self.open = self.open[-s.open_bins :]
+        return out
 
 
 def sized(documents: DataFrame, s: Settings = Settings(), vocabulary: str = VOCABULARY) -> DataFrame:
@@ -121,45 +132,55 @@ def sized(documents: DataFrame, s: Settings = Settings(), vocabulary: str = VOCA
 
 
 def containers(documents: DataFrame, s: Settings = Settings(), vocabulary: str = VOCABULARY) -> DataFrame:
-    """(container_id, doc_id, piece, start, n_tokens): where each document's tokens go.
+    """(container_id, doc_id, piece, start, n_tokens, rank): where each document's tokens go; rank is its place among its partition's documents along the curve.
 
     A document longer than a container fills whole containers with its first tokens, piece by piece; its rest is packed like any
     other item. No other document is split. Documents without tokens lie in a container too, with length 0. Repeated rows are
     packed as often as they occur. The sized items are written once, then sorted by range along the curve, with doc_id behind
-    it, so that equal documents spread over partitions; each partition packs its own stretch.
+    it, so that equal documents spread over partitions; each partition packs its own stretch, batch by batch.
     """
     items = cut(sized(documents, s, vocabulary))
     kind = dict(items.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        n = t.column("n_tokens").to_numpy().astype(np.int64)
-        part = t.column("part")[0].as_py()
-        full, rest = n // s.capacity, n % s.capacity
-        single = full == 0
-        last = single | (rest > 0)
-        bins = pack(rest[last], s)
-        rows = np.flatnonzero(last)
-        begun = int(bins.max()) + 1 if len(bins) else 0
-        whole = np.repeat(np.arange(len(n)), full)
-        piece = np.arange(len(whole)) - np.repeat(np.cumsum(full) - full, full)
-        row = np.concatenate([rows, whole])
-        ids = np.concatenate([bins, begun + np.arange(len(whole))]) + (part << 40)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(ids), t.column("doc_id").combine_chunks().take(pa.array(row)), pa.array(np.concatenate([full[rows], piece]).astype(np.int32)),
-            pa.array((np.concatenate([full[rows], piece]) * s.capacity).astype(np.int64)),
-            pa.array(np.concatenate([rest[rows], np.full(len(whole), s.capacity)]).astype(np.int32))], ["container_id", "doc_id", "piece", "start", "n_tokens"])
+        packer, met = Packer(s), 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n = b.column("n_tokens").to_numpy().astype(np.int64)
+            full, rest = n // s.capacity, n % s.capacity
+            rows = np.flatnonzero((full == 0) | (rest > 0))
+            whole = np.repeat(np.arange(len(n)), full)
+            pieces = np.arange(len(whole)) - np.repeat(np.cumsum(full) - full, full)
+            row = np.concatenate([rows, whole])
+            piece = np.concatenate([full[rows], pieces])
+            ids = np.concatenate([packer.add(rest[rows]), packer.fresh(len(whole))]) + (b.column("part")[0].as_py() << 40)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids), b.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * s.capacity),
+                pa.array(np.concatenate([rest[rows], np.full(len(whole), s.capacity)]).astype(np.int32)), pa.array(met + row)], ["container_id", "doc_id", "piece", "start", "n_tokens", "rank"])
+            met += len(n)
 
     ranged = items.repartitionByRange("place", "doc_id").sortWithinPartitions("place", "doc_id").withColumn("part", F.spark_partition_id().cast("long"))
-    return ranged.mapInArrow(run, f"container_id long, doc_id {kind}, piece int, start long, n_tokens int")
+    return ranged.mapInArrow(run, f"container_id long, doc_id {kind}, piece int, start long, n_tokens int, rank long")
 
 
 def fill(packed: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """One row: containers, tokens, unused tokens and the share of the room that is used."""
-    per = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
-    return per.agg(F.count("*").alias("n_containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("n_tokens"), F.max("used").alias("fullest")).withColumns({
+    """One row: containers, tokens, unused tokens and the share of the room that is used; spread: how many places along the
+    curve the first and the last document of a container lie apart on average."""
+    per = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"), (F.max("rank") - F.min("rank")).alias("spread"))
+    sums = [F.count("*").alias("n_containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("n_tokens"), F.max("used").alias("fullest"), F.round(F.avg("spread"), 1).alias("spread")]
+    return per.agg(*sums).withColumns({
         "unused": F.col("n_containers") * s.capacity - F.col("n_tokens"),
         "used_share": F.round(F.try_divide(F.col("n_tokens"), F.col("n_containers") * s.capacity), 6)})
+
+
+def checks(packed: DataFrame, sizes: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """One row of what must hold: documents packed, and how many containers are overfull, documents have another number of tokens than
+    sizes (doc_id, n_tokens) says, were split although they fit, or lie in pieces that don't follow each other."""
+    per = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k"), F.max("piece").alias("last"), F.max(F.abs(F.col("start") - F.col("piece") * s.capacity)).alias("off"))
+    both = per.join(sizes.select("doc_id", F.col("n_tokens").alias("want")), "doc_id", "full")
+    docs = both.agg(
+        F.count("k").alias("n_documents"), F.count_if(~F.col("n").eqNullSafe(F.col("want"))).alias("n_changed"),
+        F.count_if(F.col("k") > F.greatest(F.lit(1), F.ceil(F.col("n") / s.capacity))).alias("n_split"), F.count_if((F.col("last") + 1 != F.col("k")) | (F.col("off") > 0)).alias("n_gaps"))
+    over = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > s.capacity).alias("n_overfull"))
+    return docs.crossJoin(over)  # one row each

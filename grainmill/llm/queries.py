@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from grainmill.llm import bpe, language, neardup, packing, vectors
-from grainmill.session import table
+from grainmill.session import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,6 +51,12 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p8_containers(spark, d))
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The containers against the lengths of the token lists."""
+    lengths = p7_ids(spark, d).select("doc_id", F.size("ids").alias("n_tokens"))
+    return packing.checks(cut(p8_containers(spark, d)), lengths)
+
+
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.segments(table(spark, d, "documents"), table(spark, d, "lang_samples"))
 
@@ -64,7 +71,7 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        p1_found, p1_neighbours, p1_classes, p4_found, p4_groups, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_segments, p9_documents)
+        p1_found, p1_neighbours, p1_classes, p4_found, p4_groups, p7_ids, p7_decoded, p8_containers, p8_fill, p8_checks, p9_found, p9_segments, p9_documents)
 }
 
 _CURRENT = """cur AS (
@@ -103,5 +110,6 @@ both_ways AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a
 reach AS (SELECT id AS a, id AS b FROM n UNION SELECT r.a, p.b FROM reach r JOIN both_ways p ON r.b = p.a),
 other AS (SELECT a, count(DISTINCT t.w) AS n FROM both_ways p JOIN w o ON o.id = p.a JOIN w t ON t.id = p.b WHERE o.w <> t.w GROUP BY a)
 SELECT g.a AS id, min(g.b) AS group_id, coalesce(any_value(o.n), 0) AS n_links FROM reach g LEFT JOIN other o ON o.a = g.a GROUP BY g.a""",
+    "p8_checks": "SELECT count(*) AS n_documents, 0::BIGINT AS n_changed, 0::BIGINT AS n_split, 0::BIGINT AS n_gaps, 0::BIGINT AS n_overfull FROM documents",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

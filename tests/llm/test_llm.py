@@ -315,7 +315,8 @@ def test_hilbert_steps_are_one_cell():
 def test_packing_never_overfills(sizes):
     x = np.array(sizes, dtype=np.int64)
     s = packing.Settings(block=64, open_bins=4)
-    bins = packing.pack(x, s)
+    packer = packing.Packer(s)
+    bins = np.concatenate([packer.add(x[:100]), packer.add(x[100:])])
     sums = np.bincount(bins, weights=x) if len(x) else np.zeros(0)
     assert (sums <= s.capacity).all() and len(sums) <= 2 * math.ceil(x.sum() / s.capacity) + 2 + len(x) // 16
 
@@ -336,10 +337,25 @@ def test_containers(spark, reference):
         assert len(pieces) == max(1, math.ceil(n / 2048))
     assert by[900] == by[901] == [(0, 0, 0)]
     f = packing.fill(out).first()
+    sizes = spark.createDataFrame([*size.items(), (900, 0), (901, 0), (902, len(reference(["   "])[0]))], "doc_id long, n_tokens int")
+    assert tuple(packing.checks(out, sizes).first()) == (203, 0, 0, 0, 0)
+    wrong = out.withColumn("n_tokens", F.when(F.col("doc_id") == 3, F.col("n_tokens") + 5000).otherwise(F.col("n_tokens"))).filter("doc_id <> 4")
+    assert packing.checks(wrong, sizes).first()["n_changed"] == 2 and packing.checks(wrong, sizes).first()["n_overfull"] > 0
     assert f["fullest"] <= 2048 and f["n_tokens"] == sum(size.values()) + len(reference(["   "])[0]) and f["used_share"] > 0.95
     assert packing.containers(df.limit(0)).count() == 0
 
 
+def test_containers_hold_neighbours():
+    rng = np.random.default_rng(1)
+    x = np.minimum(2048, rng.exponential(180, 20_000).astype(np.int64))
+    packer = packing.Packer(packing.Settings())
+    bins = np.concatenate([packer.add(x[i : i + 10_000]) for i in (0, 10_000)])
+    low, high = np.full(packer.n, len(x)), np.zeros(packer.n, np.int64)
+    np.minimum.at(low, bins, np.arange(len(x)))
+    np.maximum.at(high, bins, np.arange(len(x)))
+    assert packer.n <= 1.01 * x.sum() / 2048 + 1 and np.mean(high - low) < 1500
+
+
 # p9
 
 SAMPLES = {

@@ -20,8 +20,10 @@ from grainmill.llm.bpe import slices, spread
 #: Han, kana and their marks: each character is a word of its own.
 CJK = "぀-ヿ㐀-䶿一-鿿々〆ｦ-ﾟ"
 WORD = re.compile(rf"[{CJK}]|[^\W\d_{CJK}]+(?:['’][^\W\d_{CJK}]+)*")
+#: The same for texts without Han and kana, in which plain classes will do.
+ANY_CJK, WORD_PLAIN = re.compile(f"[{CJK}]"), re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: Ends of sentences: full-width signs anywhere, others before white space, quotes, brackets or the end; and every line's end.
-BREAK = re.compile(r"(?<=[。！？；])|(?<=[.!?;…])(?=[\s\"'”’»)\]}]|$)|\n+")
+BREAK = re.compile(r"[。！？；]|[.!?;…](?=[\s\"'”’»)\]}]|$)|\n+")
 #: A sign of a word that blanks part from others: \w matches Han and kana too, where it would take the whole clause. EDGE is \b for it.
 SIGN = rf"[^\W{CJK}]"
 EDGE = rf"(?:(?<!{SIGN})(?={SIGN})|(?<={SIGN})(?!{SIGN}))"
@@ -29,10 +31,11 @@ EDGE = rf"(?:(?<!{SIGN})(?={SIGN})|(?<={SIGN})(?!{SIGN}))"
 FRONT = re.compile(r"(?:^|\n)\s*---[ \t]*\n(?:[^\S\n]*[\w-]+[^\S\n]*:[^\n]*\n)+\s*---[ \t]*(?=\n|$)")
 FENCE = re.compile(r"```.*?(?:```|$)|~~~.*?(?:~~~|$)", re.S)
 TAG = re.compile(r"\[ACTION:\s*(?:FETCH|TENTACLE)\([^\n]*?\)\]|\[ACTION:\s*WRITE_NODE\([^;]*;;[^;]*;;[^;]*;;|\[ACTION:\s*\w+\(\s*\[?|\]?\s*\)\]", re.I)
-MARK = re.compile(
+_MARK = (
     r"【[^】\n]*】:?|<\|[^|>\n]*\|>|</?[A-Za-z][^>\n]*>|\[/?INST\]|https?://\S+|`[^`\n]*`|"
     r"^\s*[-*+]\s*\[[ xX]\](?:\[id:[^\]\n]*\])?|\[id:[^\]\n]*\]|^\s*#+\s|\[\[[^\]\n]*\]\]|^\s*\[[0-9a-f]{4,}\]\s*#\d+:?|"
-    rf"{EDGE}{SIGN}*[_\d/\\=@]{SIGN}*{EDGE}", re.M)
+    r"%s%s*[_\d/\\=@]%s*%s")
+MARK, MARK_PLAIN = re.compile(_MARK % (EDGE, SIGN, SIGN, EDGE), re.M), re.compile(_MARK % (r"\b", r"\w", r"\w", r"\b"), re.M)
 JSON_KEY = re.compile(r"[\"']?[\w-]+[\"']\s*:\s*")
 #: A single quoted term, often foreign or invented, says nothing about the language around it. Terms of Han and kana go only
 #: where they are too short for a sentence and follow a word of another script, since elsewhere they are part of the prose.
@@ -168,8 +171,9 @@ def prose(text: str) -> str:
             t = "\n".join(lines)
     t = FRONT.sub("\n", t)
     t = FENCE.sub("\n", t)
-    t = TAG.sub("\n", t)
-    t = MARK.sub(" ", t)
+    if "[action:" in t.lower():
+        t = TAG.sub("\n", t)
+    t = (MARK if ANY_CJK.search(t) else MARK_PLAIN).sub(" ", t)
     return TERM.sub(" ", t)
 
 
@@ -220,7 +224,10 @@ class Labeller:
         """(words, part) of the parts of the prose, lower-cased; parts without words are left out."""
         if not text or text.isspace():
             return []
-        parts = [(WORD.findall(p), p) for p in BREAK.split(prose(text).lower()) if p]
+        t = prose(text).lower()
+        word = WORD if ANY_CJK.search(t) else WORD_PLAIN
+        ends = [0, *(m.end() for m in BREAK.finditer(t)), len(t)]
+        parts = [(word.findall(t, i, j), t[i:j]) for i, j in zip(ends, ends[1:]) if i < j]
         return [x for x in parts if x[0]]
 
     def label(self, texts: list[str | None]) -> Sentences:
@@ -257,7 +264,7 @@ class Labeller:
         lead = sums.argmax(axis=1)
         # A sentence is one step if no stretch of its words gains the penalty, and its neighbours are led by its language; at a change a way may cross it.
         alike = (doc[1:] == doc[:-1]) & (lead[1:] != lead[:-1])
-        single = ~np.append(alike, False) & ~np.append(False, alike) & self._even(score, sums, lead, n, sentence, begin)
+        single = ~np.append(alike, False) & ~np.append(False, alike) & self._even(score, lead, n, sentence, begin)
         steps = np.where(single, 1, n)
         owner = np.repeat(np.arange(len(n)), steps)
         first = np.cumsum(steps) - steps
@@ -279,15 +286,23 @@ class Labeller:
         lang = votes.argmax(axis=1)
         return lang, np.add.reduceat(sure[np.arange(len(owner)), lang[owner]] * weight, first) / n
 
-    def _even(self, score, sums, lead, n, sentence, begin) -> np.ndarray:
+    def _even(self, score, lead, n, sentence, begin) -> np.ndarray:
         """Whether no stretch of a sentence's words gains more than the switching penalty in another language than its leading one."""
         gain = score - score[np.arange(len(score)), lead[sentence]][:, None]
+        limit = self.s.switch + 1e-4
+        even = np.add.reduceat(np.maximum(gain, 0), begin).max(axis=1) <= limit  # no stretch gains more than all gains together
+        if even.all():
+            return even
+        some = np.repeat(~even, n)
+        gain, n = gain[some], n[~even]
+        begin, sentence = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
         total = np.cumsum(gain, axis=0)
         total -= (total[begin] - gain[begin])[sentence]
         before = total - gain
         fall = 16.0 * (2 + float(np.abs(total).max()))  # takes each sentence below all before it, so that one running minimum serves all
         low = np.minimum.accumulate(before - (sentence * fall)[:, None], axis=0) + (sentence * fall)[:, None]
-        return np.maximum.reduceat((total - low).max(axis=1), begin) <= self.s.switch + 1e-4
+        even[~even] = np.maximum.reduceat((total - low).max(axis=1), begin) <= limit
+        return even
 
     @staticmethod
     def _best(unit, penalty, start, length, live) -> np.ndarray:

@@ -15,6 +15,8 @@ NODE_SATELLITES = {"described": ["type", "layer", "title", "source"], "rated": [
 ATTRIBUTES = "attributes of "
 #: A key with more rows than this is sorted in pieces.
 HOT_ROWS = 200_000
+#: Pieces of a hot key; each holds about the same number of its rows.
+PIECES = 256
 
 
 def stamp(c: Column) -> Column:
@@ -63,12 +65,26 @@ def _edge_keys(edges: DataFrame) -> DataFrame:
     return edges.select(clean_id(F.col("source_id")).alias("source"), clean_id(F.col("target_id")).alias("target"), F.coalesce("rel_type", F.lit("")).alias("rel"))
 
 
-def _split(df: DataFrame, hot: DataFrame | None) -> list[tuple[DataFrame, bool]]:
-    """df without, and only with, the hot keys; the latter only if there are any."""
+def _micros(at: str) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(at))
+
+
+def _bounded(states: DataFrame, hot: DataFrame) -> DataFrame:
+    """The hot keys with the times that cut the rows of each into PIECES of about the same number, wherever in time these lie."""
+    shares = [i / PIECES for i in range(1, PIECES)]
+    return cut(states.join(hot, hot.columns, "left_semi").groupBy(*hot.columns).agg(F.percentile_approx(_micros("at"), shares, 1000).alias("_bounds")))
+
+
+def _split(df: DataFrame, hot: DataFrame | None, order: str) -> list[tuple[DataFrame, Column | None]]:
+    """df without, and only with, the hot keys, and for the latter the piece of a row, which never falls in the order; the latter only if there are any."""
     if hot is None:
-        return [(df, False)]
-    keys = hot.columns
-    return [(df.join(hot, keys, "left_anti"), False), (df.join(hot, keys, "left_semi"), True)]
+        return [(df, None)]
+    keys = [c for c in hot.columns if c != "_bounds"]
+    cold = df.join(hot.select(*keys), keys, "left_anti")
+    if "_bounds" not in hot.columns:  # numbers without gaps to speak of
+        return [(cold, None), (df.join(hot, keys, "left_semi"), F.floor(F.col(order) / 10_000))]
+    piece = F.size(F.filter("_bounds", lambda x: x < _micros(order)))
+    return [(cold, None), (df.join(broadcast_if_small(hot), keys).withColumn("_piece", piece).drop("_bounds"), F.col("_piece"))]
 
 
 def edge_satellite(edges: DataFrame, hot: DataFrame | None = None, state: bool = True) -> DataFrame:
@@ -76,14 +92,20 @@ def edge_satellite(edges: DataFrame, hot: DataFrame | None = None, state: bool =
     differs from the row before. state is the JSON with sorted keys, null if there was none.
 
     A link that ends before its next row begins gets a closing row (digest null), so a gap is a change like any
-    other. Hot keys are sorted month by month.
+    other. Hot keys are sorted in pieces.
     """
+    states = edge_states(edges) if state else edge_states(edges).drop("state")
+    if hot is not None:
+        states = cut(states)
+        hot = _bounded(states, hot)
+    return _edge_satellite(states, hot)
+
+
+def _edge_satellite(states: DataFrame, hot: DataFrame | None) -> DataFrame:
     keys = ["source", "target", "rel"]
+    extra = ["state"] if "state" in states.columns else []
     parts = []
-    states = edge_states(edges) if state else edge_states(edges).drop("state")
-    extra = ["state"] if state else []
-    for df, is_hot in _split(states if hot is None else cut(states), hot):
-        bucket = F.trunc("at", "month") if is_hot else None
+    for df, bucket in _split(states, hot, "at"):
         ends = F.col("until") > F.col("at")
         rows = beside(df, keys, ["at"], {"next_at": ("at", 1), "was": ("digest", -1), "was_at": ("at", -1), "was_until": ("until", -1)}, bucket)
         gap = (F.col("was_until") > F.col("was_at")) & (F.col("was_until") < F.col("at"))
@@ -100,8 +122,7 @@ def node_changes(patches: DataFrame, satellites: dict[str, list[str]] = NODE_SAT
     names = list(satellites)
     parts = []
     states = node_states(patches, satellites, attributes)
-    for df, is_hot in _split(states if hot is None else cut(states), hot):
-        bucket = F.floor(F.col("version") / 10_000) if is_hot else None
+    for df, bucket in _split(states if hot is None else cut(states), hot, "version"):
         rows = beside(df, ["id"], ["version"], {f"was_{n}": (n, -1) for n in names}, bucket)
         changed = F.array_compact(F.array(*[F.when(~F.col(n).eqNullSafe(F.col(f"was_{n}")), F.lit(n)) for n in names]))
         parts.append(rows.withColumn("changed", changed).filter(F.size("changed") > 0).select("id", "version", "at", "changed", *[c for c in df.columns if c not in ("id", "version", "at")]))
@@ -143,12 +164,9 @@ def in_periods(satellite: DataFrame) -> DataFrame:
 def _numbered(df: DataFrame, keys: list[str], order: str, open_row: Column, entity: str, entity_key: Column, hot: DataFrame | None) -> DataFrame:
     """The lead-based view: each row holds until the next of its key; keys with a single version are left out."""
     parts = []
-    for rows, is_hot in _split(df, hot):
-        bucket = None
-        if is_hot:
-            bucket = F.trunc(order, "month") if dict(rows.dtypes)[order].startswith("timestamp") else F.floor(F.col(order) / 10_000)
+    for rows, bucket in _split(df, hot, order):
         ended = beside(rows, keys, [order], {"ends": ("at", 1)}, bucket).filter(open_row)
-        if is_hot:  # row numbers from the counts of the pieces before
+        if bucket is not None:  # row numbers from the counts of the pieces before
             ended = ended.withColumn("_bucket", bucket)
             sums = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
             sizes = ended.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(sums), F.lit(0)))
@@ -180,7 +198,11 @@ def edge_history(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Versions of every link that has at least two, with the period in which each held; '' while open."""
     keys = ["source", "target", "rel"]
     hot = hot_keys(_edge_keys(edges), hot_rows)
-    return _numbered(edge_satellite(edges, hot, state=False), keys, "at", F.col("digest").isNotNull(), "edge", F.concat_ws("|", *keys), hot)
+    states = edge_states(edges).drop("state")
+    if hot is not None:
+        states = cut(states)
+        hot = _bounded(states, hot)
+    return _numbered(_edge_satellite(states, hot), keys, "at", F.col("digest").isNotNull(), "edge", F.concat_ws("|", *keys), hot)
 
 
 def node_history(patches: DataFrame, satellites: dict[str, list[str]] = NODE_SATELLITES, hot_rows: int = HOT_ROWS) -> DataFrame:

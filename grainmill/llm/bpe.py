@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The vocabulary file; the same path on every machine.
+#: The vocabulary file on the driver; tasks that don't find it there get it with the job, see ship.
 VOCABULARY = os.environ.get("GRAINMILL_BPE", "/opt/tokenizers/byte_bpe_50k.json")
 #: The tokenizer's fixed pattern that cuts a text into words before any merge.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -194,7 +194,17 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str) -> Encoder:
-    return Encoder(vocabulary)
+    from pyspark import SparkFiles
+
+    return Encoder(vocabulary if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary)))
+
+
+def ship(df: DataFrame, vocabulary: str) -> DataFrame:
+    """df, whose tasks will find the vocabulary on any machine: Spark hands the file to the executors."""
+    sc = df.sparkSession.sparkContext
+    if not any(f.rsplit("/", 1)[-1] == os.path.basename(vocabulary) for f in sc.listFiles):
+        sc.addFile(vocabulary)
+    return df
 
 
 def slices(b: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -231,7 +241,7 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_i
                 flat = np.concatenate(got) if got else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], [key, "ids"])
 
-    rows = spread(documents.select(key, text), key)
+    rows = spread(ship(documents, vocabulary).select(key, text), key)
     return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, ids array<int>")
 
 
@@ -242,5 +252,5 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id"
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(e.decode(b.column("ids").to_pylist()), pa.string())], [key, "text"])
 
-    rows = encoded.select(key, "ids")
+    rows = ship(encoded, vocabulary).select(key, "ids")
     return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, text string")

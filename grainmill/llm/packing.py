@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.bpe import VOCABULARY, encoder, slices, spread
+from grainmill.llm.bpe import VOCABULARY, encoder, ship, slices, spread
 from grainmill.session import cut
 
 
@@ -127,7 +127,7 @@ def sized(documents: DataFrame, s: Settings = Settings(), vocabulary: str = VOCA
                 ids = e.encode(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int32()), pa.array(curve.key(ids))], ["doc_id", "n_tokens", "place"])
 
-    rows = spread(documents.select("doc_id", "text"), "doc_id")
+    rows = spread(ship(documents, vocabulary).select("doc_id", "text"), "doc_id")
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens int, place long")
 
 

@@ -16,6 +16,8 @@ from grainmill.session import broadcast_if_small, cut
 
 #: A word is a run of these letters and digits or one character from U+4E00 to U+9FFF.
 WORD = re.compile("[a-z0-9]+|[一-鿿]")
+#: What isn't a letter or digit of such a word becomes a blank in texts of ASCII alone, whose words are then parted by blanks.
+BLANKS = {i: " " for i in range(128) if not WORD.match(chr(i))}
 BITS = 512
 #: Sets with more members than WIDE_FROM get a fingerprint of WIDE bits as well; folding it gives the short one.
 WIDE, WIDE_FROM = 2048, 200
@@ -37,23 +39,63 @@ class Settings:
     tile: int = 2048
 
 
+class _Numbers(dict):
+    """The number of each word, given when it is first asked for; fresh holds the hashes of the latest."""
+
+    def __init__(self):
+        self.fresh: list[int] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(xxhash.xxh3_64_intdigest(word))
+        return n
+
+
+class Known:
+    """Counts of frequent words or shingles: sorted hashes and the logs of their counts. Most of those that aren't known are told by a bitmap."""
+
+    def __init__(self, names: np.ndarray, logs: np.ndarray):
+        self.names, self.logs = names, logs
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[names & np.uint64((1 << 22) - 1)] = True
+
+    def logs_of(self, x: np.ndarray) -> np.ndarray:
+        """The log count of each member of x, 0 for those that aren't known."""
+        out = np.zeros(len(x), np.float32)
+        some = np.flatnonzero(self.bits[x & np.uint64((1 << 22) - 1)])
+        if len(some):
+            y = x[some]
+            i = np.minimum(np.searchsorted(self.names, y), len(self.names) - 1)
+            out[some] = np.where(self.names[i] == y, self.logs[i], np.float32(0))
+        return out
+
+
 class Shingler:
-    """Words and shingles as 64-bit hashes; one per worker, with a bounded memory of words."""
+    """Words and shingles as 64-bit hashes; one per worker, with a bounded memory of words and, if counts of words are given, of their weights."""
+
+    def __init__(self, span: int, seed: int = 0, counts: Known | None = None):
+        self.span, self.seed, self.counts = span, seed, counts
+        self._forget()
 
-    def __init__(self, span: int, seed: int = 0):
-        self.span, self.seed, self.known = span, seed, {}
+    def _forget(self) -> None:
+        self.numbers, self.hash, self.weight = _Numbers(), np.zeros(0, np.uint64), np.zeros(0, np.float32)
 
-    def words(self, text: str) -> np.ndarray:
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
+    def texts(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The numbers of the words of each text: places in hash and weight."""
+        if len(self.numbers) > 500_000:
+            self._forget()
+        number = self.numbers.__getitem__
         out = []
-        for w in WORD.findall(text):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            out.append(h)
-        return np.array(out, dtype=np.uint64)
+        for t in texts:
+            ws = [] if not t else t.translate(BLANKS).split() if t.isascii() else WORD.findall(t)
+            out.append(np.fromiter(map(number, ws), np.int64, len(ws)))
+        if self.numbers.fresh:
+            new = np.array(self.numbers.fresh, np.uint64)
+            self.numbers.fresh.clear()
+            self.hash = np.concatenate([self.hash, new])
+            if self.counts is not None:
+                self.weight = np.concatenate([self.weight, self.counts.logs_of(new)])
+        return out
 
     def key(self, words: np.ndarray) -> int:
         """64 bits that stand for a text's words."""
@@ -220,15 +262,6 @@ def _groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def _look_up(known: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """The log count of each member of x, 0 for those that aren't known."""
-    names, logs = known
-    if not len(names):
-        return np.zeros(len(x), np.float32)
-    i = np.minimum(np.searchsorted(names, x), len(names) - 1)
-    return np.where(names[i] == x, logs[i], np.float32(0))
-
-
 class Work:
     """What tasks do with batches of records; counts is the broadcast of known words and shingles with their log counts."""
 
@@ -244,8 +277,8 @@ class Work:
         held = 0
         for b in batches:
             kinds, keys, checks, sizes, prints = [], [], [], [], []
-            for t in b.column("text").to_pylist():
-                w = sh.words(t or "")
+            for numbers in sh.texts(b.column("text").to_pylist()):
+                w = sh.hash[numbers]
                 counts = len(w) >= self.s.least_words
                 kinds.append(2 if counts else 1)
                 keys.append(sh.key(w))
@@ -275,20 +308,21 @@ class Work:
             pa.array(np.repeat(np.array([0, 3], np.int32), [len(w), len(h)])), pa.nulls(size, pa.string()), pa.nulls(size, pa.int32()),
             pa.array(np.concatenate([w, h]).view(np.int64)), pa.nulls(size, pa.int64()), pa.array(np.concatenate([n, m])), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], SURVEYED)
 
-    def _sets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray], list[np.ndarray], list[np.ndarray]]]:
-        """Of each batch the keys, words, shingles and shingles' places of the texts that count."""
-        sh = Shingler(self.s.span, self.seed)
+    def _sets(self, batches: Iterator[pa.RecordBatch], counts: Known | None = None) -> Iterator[tuple[list[int], list[np.ndarray], list[np.ndarray], list[np.ndarray]]]:
+        """Of each batch the keys, words' weights (if counts are given), shingles and shingles' places of the texts that count."""
+        sh = Shingler(self.s.span, self.seed, counts)
         for b in batches:
-            keys, words, sets, places = [], [], [], []
-            for t in b.column("text").to_pylist():
-                w = sh.words(t or "")
-                if len(w) >= self.s.least_words:
+            keys, weights, sets, places = [], [], [], []
+            for numbers in sh.texts(b.column("text").to_pylist()):
+                if len(numbers) >= self.s.least_words:
+                    w = sh.hash[numbers]
                     h, at = sh.shingles(w)
                     keys.append(sh.key(w))
-                    words.append(w)
                     sets.append(h)
                     places.append(at)
-            yield keys, words, sets, places
+                    if counts is not None:
+                        weights.append(sh.weight[numbers])
+            yield keys, weights, sets, places
 
     def prefixes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(shard, salt, key): each text under the rarest of its shingles; the last bit of shard is 0 for rows that may be the smaller text
@@ -300,15 +334,16 @@ class Work:
         however the order came about. Of the smaller text, n - ceil(2t / (1 + t) n) + 1 of n are enough.
         """
         t = self.s.threshold
-        words_known, sets_known = self.counts.value
-        for keys, words, sets, places in self._sets(batches):
+        words_known, sets_known = (Known(*x) for x in self.counts.value)
+        for keys, weights, sets, places in self._sets(batches, words_known):
             shards, often = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
-            for w, h, at in zip(words, sets, places):
-                weight = _look_up(words_known, w)
+            every = sets_known.logs_of(np.concatenate([np.zeros(0, np.uint64), *sets]))
+            end = 0
+            for weight, h, at in zip(weights, sets, places):
+                known, end = every[end : end + len(h)], end + len(h)
                 sums = sum(weight[at + k] for k in range(self.s.span))
                 take = len(h) - int(np.ceil(t * len(h) - 1e-9)) + 1
                 small = len(h) - int(np.ceil(2 * t / (1 + t) * len(h) - 1e-9)) + 1
-                known = _look_up(sets_known, h)
                 order = np.lexsort((h, np.round(sums, 2), known))[:take]
                 shards.append(h[order] & ~np.uint64(1) | (np.arange(take) >= small).astype(np.uint64))
                 often.append(known[order])

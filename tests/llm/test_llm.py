@@ -188,6 +188,17 @@ def test_only_current_rows_pair(spark):
     assert neardup.NearDuplicates(neardup.records(df.limit(0))).pairs().count() == 0
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=20), st.text(st.characters(max_codepoint=127), max_size=30), st.text("ab 1并", max_size=9), st.none()), max_size=8))
+def test_words_are_those_of_the_pattern(texts):
+    sh = neardup.Shingler(3)
+    low = [t.lower() if t is not None else None for t in texts]
+    got = sh.texts(low)
+    name = {n: w for w, n in sh.numbers.items()}
+    assert [[name[i] for i in x] for x in got] == [neardup.WORD.findall(t or "") for t in low]
+    assert [sh.hash[x].tolist() for x in got] == [[neardup.xxhash.xxh3_64_intdigest(w) for w in neardup.WORD.findall(t or "")] for t in low]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 300), max_size=400), st.lists(st.integers(0, 300), max_size=400))
 def test_fingerprints_never_exceed_the_difference(a, b):
@@ -294,6 +305,16 @@ def test_any_text_encodes_alike(reference, text):
     assert bpe.encoder(bpe.VOCABULARY).encode([text])[0].tolist() == reference([text])[0]
 
 
+def test_the_vocabulary_goes_with_the_job(spark, tmp_path, reference):
+    import shutil
+
+    path = shutil.copy(bpe.VOCABULARY, tmp_path / "shipped_bpe.json")
+    df = spark.createDataFrame([(1, "old summary"), (2, "")], "doc_id long, text string")
+    rows = bpe.encode(df, str(path))
+    path.unlink()  # as on a machine that never had it
+    assert {r["doc_id"]: r["ids"] for r in rows.collect()} == {1: reference(["old summary"])[0], 2: []}
+
+
 def test_long_recursions_are_cut(reference, monkeypatch):
     monkeypatch.setattr(bpe, "ROUNDS_A_CALL", 3)
     text = "incomprehensibilities" * 5

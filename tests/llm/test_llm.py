@@ -309,10 +309,14 @@ def test_the_vocabulary_goes_with_the_job(spark, tmp_path, reference):
     import shutil
 
     path = shutil.copy(bpe.VOCABULARY, tmp_path / "shipped_bpe.json")
-    df = spark.createDataFrame([(1, "old summary"), (2, "")], "doc_id long, text string")
-    rows = bpe.encode(df, str(path))
-    path.unlink()  # as on a machine that never had it
-    assert {r["doc_id"]: r["ids"] for r in rows.collect()} == {1: reference(["old summary"])[0], 2: []}
+    df = bpe.ship(spark.createDataFrame([(1, "old summary"), (2, "")], "doc_id long, text string"), str(path))
+
+    def run(batches):
+        for b in batches:
+            ids = bpe.encoder("/nowhere/shipped_bpe.json").encode(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    assert {r["doc_id"]: r["ids"] for r in df.mapInArrow(run, "doc_id long, ids array<int>").collect()} == {1: reference(["old summary"])[0], 2: []}
 
 
 def test_long_recursions_are_cut(reference, monkeypatch):

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from string import ascii_letters, digits
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def clean_id(c: Column) -> Column:
-    """Keep letters, digits and underscore of an id; an id of which nothing is left counts as not supplied (null)."""
-    return F.nullif(F.regexp_replace(c, "[^A-Za-z0-9_]", ""), F.lit(""))
+def sanitize_id(c: Column) -> Column:
+    """Keep letters, digits and underscore of an id; one of which nothing is left stays as an empty string.
 
+    Most ids are clean, which taking away all that may stay tells much faster than a pattern does.
+    """
+    return F.when(F.translate(c, ascii_letters + digits + "_", "") == "", c).otherwise(F.regexp_replace(c, "[^A-Za-z0-9_]", ""))
 
-def sanitize_id(c: Column) -> Column:
-    """As clean_id, but an id of which nothing is left stays an empty string."""
-    return F.regexp_replace(c, "[^A-Za-z0-9_]", "")
+
+def clean_id(c: Column) -> Column:
+    """As sanitize_id, but an id of which nothing is left counts as not supplied (null)."""
+    return F.nullif(sanitize_id(c), F.lit(""))
 
 
 def parent_ids(c: Column) -> Column:

@@ -30,10 +30,10 @@ class Settings:
     per_list: int = 32
     least_sample: int = 16_384
     most_sample: int = 262_144
-    store_ratio: float = 1.15
-    stores: int = 4
+    store_ratio: float = 1.3
+    stores: int = 8
     probe_ratio: float = 1.3
-    probes: int = 14
+    probes: int = 21
     tile: int = 4096
 
 

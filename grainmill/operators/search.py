@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from grainmill.functions.text import fold_accents, stems
 from grainmill.operators.merge import ranked
-from grainmill.session import broadcast_if_small, cut
+from grainmill.session import cut
 
 # Fixed parameters of the ranking formula.
 K1, B = 1.2, 0.75
 #: Parts over which the nodes of a term are spread where the queries are too many to be broadcast.
 SALT = 16
+#: Terms of all queries that are broadcast at most.
+FEW_TERMS = 100_000
 
 
 @dataclass(frozen=True)
@@ -68,23 +70,27 @@ def bm25(nodes: DataFrame, queries: DataFrame, limit: int = 5, how: Analyser = P
     """(qid, id, score, rank): the best active nodes for each query (qid, text), any term sufficing; rank counts from 0.
 
     Statistics cover all nodes; inactive ones are dropped after scoring. Scores are rounded to 6 digits before ranking; equal ones rank
-    by id. A term that a query repeats counts each time. Nodes are analysed once and stored; only postings of the queries' terms are
-    counted. A term that many nodes hold is spread over SALT parts where it meets the queries that ask for it.
+    by id. A term that a query repeats counts each time. Only postings of the queries' terms are counted, once. The queries' terms are
+    broadcast up to FEW_TERMS; beyond, a term that many nodes hold is spread over SALT parts where it meets the queries that ask for it.
     """
     asked = queries.select("qid", F.explode(how.terms(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    wanted = broadcast_if_small(asked.select("term").distinct())
-    t = cut(analysed(nodes, how))
+    few = asked.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    small = F.broadcast if few else lambda df: df
+    t = analysed(nodes, how)
+    if how.stem:  # Python's work is done once
+        t = cut(t)
     hits = cut(
-        t.select("id", "is_active", "len", F.explode("t").alias("term")).join(wanted, "term", "left_semi")
+        t.select("id", "is_active", "len", F.explode("t").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
         .groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"), F.max("is_active").alias("is_active")))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log10((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = cut(asked.join(df, "term").crossJoin(F.broadcast(_size(t))).select("qid", "term", (idf * F.col("times")).alias("weight"), "avgdl"))  # one row
-    few = broadcast_if_small(weights)
+    weights = asked.join(df, "term").crossJoin(F.broadcast(_size(t))).select("qid", "term", (idf * F.col("times")).alias("weight"), "avgdl")  # one row
     active = hits.filter("is_active")
-    if few is weights:
-        active = active.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)))
-        few = weights.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    if few:
+        met = active.join(F.broadcast(weights), "term")
+    else:
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long")))
+        met = active.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT))).join(weights.withColumn("salt", salts), ["term", "salt"])
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    per = active.join(few, [c for c in ("term", "salt") if c in few.columns and c in active.columns]).groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    per = met.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(per, ["qid"], [F.desc("score"), F.col("id")], limit)

@@ -66,8 +66,9 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int = 10, block: int =
     kind, name = dict(asked.dtypes)["qid"], dict(vectors.dtypes)["id"]
     schema = f"qid {kind}, id {name}, similarity double"
     asked = cut(asked)
-    sizes = asked.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).limit(1).collect()
-    n, dim = asked.count(), sizes[0]["size"] if sizes else 0
+    sizes = asked.groupBy(F.size("embedding").alias("size")).count().collect()  # a row for each length
+    n = sum(r["count"] for r in sizes)
+    dim = max(sizes, key=lambda r: (r["count"], r["size"]))["size"] if sizes else 0
     if not n:
         return ranked(vectors.sparkSession.createDataFrame([], schema), ["qid"], [F.desc("similarity"), F.col("id")], limit)
     if n <= block:

@@ -48,6 +48,10 @@ TERM = re.compile(
 HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿︎️]")
 
 
+#: Words whose gains are held at once, or those of one longer sentence; it bounds memory and changes no result.
+WORDS_AT_ONCE = 500_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """switch: penalty for a change of language between words of a sentence. turn: between sentences. temper: by what the scores are divided
@@ -252,7 +256,7 @@ class Labeller:
             ids, n, doc, parts = ids[np.repeat(keep, n)], n[keep], doc[keep], [p for p, k in zip(parts, keep) if k]
         if not len(n):
             return Sentences(doc, n, n.astype(float), n, [])
-        lang, sure = self._ways(self.table[ids].astype(np.float64), n, doc)
+        lang, sure = self._ways(self.table[ids], n, doc)
         return Sentences(doc, lang, sure, n, parts)
 
     def _ways(self, score: np.ndarray, n: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,11 +264,11 @@ class Labeller:
         k = score.shape[1]
         begin = np.cumsum(n) - n
         sentence = np.repeat(np.arange(len(n)), n)
-        sums = np.add.reduceat(score, begin)
+        sums = np.add.reduceat(score, begin, dtype=np.float64)
         lead = sums.argmax(axis=1)
         # A sentence is one step if no stretch of its words gains the penalty, and its neighbours are led by its language; at a change a way may cross it.
         alike = (doc[1:] == doc[:-1]) & (lead[1:] != lead[:-1])
-        single = ~np.append(alike, False) & ~np.append(False, alike) & self._even(score, lead, n, sentence, begin)
+        single = ~np.append(alike, False) & ~np.append(False, alike) & self._even(score, lead, n)
         steps = np.where(single, 1, n)
         owner = np.repeat(np.arange(len(n)), steps)
         first = np.cumsum(steps) - steps
@@ -286,15 +290,22 @@ class Labeller:
         lang = votes.argmax(axis=1)
         return lang, np.add.reduceat(sure[np.arange(len(owner)), lang[owner]] * weight, first) / n
 
-    def _even(self, score, lead, n, sentence, begin) -> np.ndarray:
-        """Whether no stretch of a sentence's words gains more than the switching penalty in another language than its leading one."""
+    def _even(self, score, lead, n) -> np.ndarray:
+        """Whether no stretch of a sentence's words gains more than the switching penalty in another language than its leading one; some sentences at a time."""
+        ends = np.cumsum(n)
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], WORDS_AT_ONCE)), len(n)))
+        return np.concatenate([
+            self._even_part(score[(ends[i - 1] if i else 0) : ends[j - 1]], lead[i:j], n[i:j]) for i, j in zip(cuts, cuts[1:])])
+
+    def _even_part(self, score, lead, n) -> np.ndarray:
+        begin, sentence = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
         gain = score - score[np.arange(len(score)), lead[sentence]][:, None]
         limit = self.s.switch + 1e-4
-        even = np.add.reduceat(np.maximum(gain, 0), begin).max(axis=1) <= limit  # no stretch gains more than all gains together
+        even = np.add.reduceat(np.maximum(gain, 0), begin, dtype=np.float64).max(axis=1) <= limit  # no stretch gains more than all gains together
         if even.all():
             return even
         some = np.repeat(~even, n)
-        gain, n = gain[some], n[~even]
+        gain, n = gain[some].astype(np.float64), n[~even]
         begin, sentence = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
         total = np.cumsum(gain, axis=0)
         total -= (total[begin] - gain[begin])[sentence]

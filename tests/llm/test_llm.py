@@ -465,6 +465,17 @@ def test_a_way_may_change_within_an_even_sentence(monkeypatch):
     assert lab.label(["aaaaaaaa bbbbbbbb", "bbbb", None, "aaaa aaaa bbbb"]).lang.tolist() == [0, 1, 1, 0, 0, 1]
 
 
+def test_pieces_of_words_change_nothing(spark, monkeypatch):
+    rows = [(r["lang"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/lang_samples.parquet").orderBy("sample_id").collect()]
+    lab = language.Labeller(language.Model(rows[::2]))
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(rows)[1] for _ in range(4)) for _ in range(30)] + [" ".join(rng.choice("the der le 的 не".split()) for _ in range(3000))]
+    want = lab.label(texts)
+    monkeypatch.setattr(language, "WORDS_AT_ONCE", 7)
+    got = lab.label(texts)
+    assert got.lang.tolist() == want.lang.tolist() and np.allclose(got.sure, want.sure)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10**6))
 def test_ways_against_brute_force(seed):

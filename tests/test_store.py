@@ -93,6 +93,48 @@ def test_many_queries_meet_salted_terms(spark, monkeypatch):
     assert search.bm25(n.limit(0), q).count() == 0 and search.bm25(n, q.limit(0)).count() == 0
 
 
+def _shuffled(spark):
+    """Rows that all stages so far have shuffled."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def _matching(spark):
+    """Nodes and queries of which nearly every pair shares a term, and some a rare one."""
+    n = nodes(spark, [{"id": f"n{i:03d}", "title": f"red w{chr(97 + i % 26)}{chr(97 + i % 23)} fox{'es' * (i % 3)}", "summary": "red cafés " * (i % 4), "is_active": i % 5 > 0} for i in range(400)])
+    q = spark.createDataFrame([(f"q{i:03d}", f"{'Red ' * (1 + i % 2)}w{chr(97 + i % 26)}{chr(97 + i % 21)} fox{'es' * (i % 4)}") for i in range(400)] + [("none", "zzzz")], "qid string, text string")
+    return n, q
+
+
+def _scored(n, q, k, how):
+    """Brute force: the best k of every query."""
+    own = [(r["id"], r["is_active"], r["t"]) for r in search.analysed(n, how).collect()]
+    avg, df, out = np.mean([len(t) for *_, t in own]), {}, []
+    for *_, t in own:
+        for w in set(t):
+            df[w] = df.get(w, 0) + 1
+    for qid, asked in q.select("qid", how.terms(F.col("text"))).collect():
+        found = []
+        for i, active, t in own:
+            if active and set(asked) & set(t):
+                part = [np.log10((len(own) - df[w] + 0.5) / (df[w] + 0.5) + 1) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / avg)) for w in asked if w in t]
+                found.append((-round(float(sum(part)), 6), i))
+        out += [(qid, i, -s, r) for r, (s, i) in enumerate(sorted(found)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("how", [search.PLAIN])
+def test_matches_of_common_terms_stay_in_their_task(spark, how):
+    n, q = _matching(spark)
+    before = _shuffled(spark)
+    got = sorted(map(tuple, search.bm25(n, q, 4, how).collect()))
+    assert _shuffled(spark) - before < 40_000  # 128,000 pairs match
+    want = _scored(n, q, 4, how)
+    assert [x[:2] + x[3:] for x in got] == [x[:2] + x[3:] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=2e-6)
+    assert sorted(map(tuple, search.bm25(n, q, 4, how, 300, 500).collect())) == got
+
+
 def test_search_response(spark):
     n = nodes(spark, [{"id": x, "title": "fox", "is_active": True, "embedding": [1.0, 0.0]} for x in "abc"])
     q = spark.createDataFrame([("q1", "fox", None), ("q2", "zzz", None)], "qid string, text string, embedding array<float>")

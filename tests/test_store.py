@@ -124,7 +124,7 @@ def _scored(n, q, k, how):
     return sorted(out)
 
 
-@pytest.mark.parametrize("how", [search.PLAIN, search.Analyser(fold=True, stop_words=("red",))])
+@pytest.mark.parametrize("how", [search.PLAIN, search.Analyser(fold=True, stop_words=("red",)), search.Analyser(fold=True, stop_words="english", stem=True)])
 def test_matches_of_common_terms_stay_in_their_task(spark, how):
     n, q = _matching(spark)
     before = _shuffled(spark)

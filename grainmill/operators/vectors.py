@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from grainmill.operators.merge import ranked
 from grainmill.session import cut
 
-#: Query vectors, and vectors of a grid, that a task holds at once.
-QUERY_BLOCK, PIECE = 4096, 65_536
+#: Query vectors that are sent to every task at least, vectors that a task meets at once, and numbers that either may hold beyond that.
+QUERY_BLOCK, PIECE, NUMBERS = 4096, 65_536, 1 << 22
+#: Queries and vectors of one product, and pairs whose similarity is computed in double precision at once.
+TILE, PAIRS = (1024, 4096), 1 << 16
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -32,7 +34,7 @@ def search_one(vectors: DataFrame, query: list[float], limit: int = 10) -> DataF
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of the rows that have dim finite values, not all zero, and which rows those are."""
-    size = np.array([0 if x is None else len(x) for x in column.to_pylist()]) if column.null_count or len({*np.diff(column.offsets.to_numpy())}) != 1 else np.full(len(column), column.offsets[1].as_py() - column.offsets[0].as_py())
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     rows = np.flatnonzero(size == dim)
     flat = column.take(pa.array(rows)).flatten()
     x = np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
@@ -42,24 +44,68 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _best(names: pa.Array, q: np.ndarray, ids: pa.Array, embeddings: pa.Array, dim: int, limit: int) -> pa.RecordBatch:
-    """The best of some vectors for each query; all that tie with the last are kept, since ids decide between them later."""
-    x, rows = _matrix(embeddings, dim)
-    i, j, cos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((1, 1))
-    if len(rows) and len(q):
-        cos = np.round(q @ x.T, 6)
-        k = min(limit, len(rows))
-        least = np.partition(cos, len(rows) - k, axis=1)[:, len(rows) - k]
-        i, j = np.nonzero(cos >= least[:, None])
-    return pa.RecordBatch.from_arrays([names.take(pa.array(i)), ids.take(pa.array(rows[j])), pa.array(cos[i, j])], ["qid", "id", "similarity"])
-
+    """The best of some vectors for each query; of equal ones those of the smallest ids.
 
-def search(vectors: DataFrame, queries: DataFrame, limit: int = 10, block: int = QUERY_BLOCK, piece: int = PIECE) -> DataFrame:
+    Products in single precision tell which pairs may be among the best so far, wherever their error lies; those are computed in double.
+    """
+    x, rows = _matrix(embeddings, dim)
+    by = pc.sort_indices(ids.take(pa.array(rows)), null_placement="at_start").to_numpy()
+    x, rows, k = x[by], rows[by], min(limit, len(rows))
+    margin = 1e-6 + 2.4e-7 * (dim + 8)
+    q32, x32 = q.astype(np.float32), x.astype(np.float32)
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for a in range(0, len(q) if k else 0, TILE[0]):
+        block = q32[a : a + TILE[0]]
+        m = len(block)
+        best, at = np.full((m, k), -np.inf), np.full((m, k), len(x))
+        for b in range(0, len(x), TILE[1]):
+            cos = block @ x32[b : b + TILE[1]].T
+            least = best[:, -1]
+            if b == 0 and k <= cos.shape[1]:
+                least = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k].astype(np.float64) - margin
+            least = np.where(best[:, -1] >= 1, np.inf, least - margin)  # later ones could only tie
+            i, j = np.nonzero(cos >= least.astype(np.float32)[:, None])
+            for c in range(0, len(i), PAIRS):
+                one, two = i[c : c + PAIRS], j[c : c + PAIRS] + b
+                exact = np.round(np.einsum("nd,nd->n", q[a + one], x[two]), 6)
+                new = exact > best[one, -1]
+                one, two, exact = one[new], two[new], exact[new]
+                touched = np.unique(one)
+                if len(touched):
+                    who = np.concatenate([np.repeat(touched, k), one])
+                    what, value = np.concatenate([at[touched].ravel(), two]), np.concatenate([best[touched].ravel(), exact])
+                    order = np.lexsort((what, -value, who))
+                    starts = np.searchsorted(who[order], touched)
+                    pick = order[starts[:, None] + np.arange(k)]
+                    best[touched], at[touched] = value[pick], what[pick]
+        i, j = np.nonzero(at < len(x))
+        parts.append((i + a, at[i, j], best[i, j]))
+    i, j, cos = (np.concatenate([p[n] for p in parts]) for n in range(3))
+    return pa.RecordBatch.from_arrays([names.take(pa.array(i)), ids.take(pa.array(rows[j])), pa.array(cos)], ["qid", "id", "similarity"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together up to so many rows."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        while b.num_rows:
+            held.append(b.slice(0, rows - sum(x.num_rows for x in held)))
+            b = b.slice(held[-1].num_rows)
+            if sum(x.num_rows for x in held) == rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def search(vectors: DataFrame, queries: DataFrame, limit: int = 10, block: int | None = None, piece: int = PIECE) -> DataFrame:
     """(qid, id, similarity, rank) of the vectors (id, embedding) most similar to each query (qid, embedding), exactly.
 
     Null and zero vectors, and those of another length than most queries', are never found and never ask. Similarities are
-    rounded to 6 digits before ranking; equal ones rank by id. Up to `block` queries are sent to every task, and the vectors stay
-    where they are read. More are met in a grid: each of the blocks of queries by each of the pieces of vectors is a task of its own, so no
-    task holds more than a block and a piece, and each vector travels once per block. Only the best of a meeting are shuffled.
+    rounded to 6 digits before ranking; equal ones rank by id. Up to `block` queries (QUERY_BLOCK, or NUMBERS numbers if that is more) are sent
+    to every task, and the vectors stay where they are read. More are met in a grid: each of the blocks of queries by each of the pieces of
+    vectors is a task of its own, so no task holds more than a block and a piece, and each vector travels once per block. Only the best of a
+    meeting are shuffled.
     """
     asked = queries.select("qid", "embedding").filter("embedding is not null")
     found = vectors.select("id", "embedding").filter("embedding is not null")
@@ -71,16 +117,18 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int = 10, block: int =
     dim = max(sizes, key=lambda r: (r["count"], r["size"]))["size"] if sizes else 0
     if not n:
         return ranked(vectors.sparkSession.createDataFrame([], schema), ["qid"], [F.desc("similarity"), F.col("id")], limit)
+    block = block or max(QUERY_BLOCK, NUMBERS // max(dim, 1))
+    few = min(piece, max(1, NUMBERS // max(dim, 1)))
     if n <= block:
-        few = asked.toArrow()  # at most one block
-        sent = vectors.sparkSession.sparkContext.broadcast((few.column("qid").combine_chunks(), few.column("embedding").combine_chunks()))
+        block_of = asked.toArrow()  # at most one block
+        sent = vectors.sparkSession.sparkContext.broadcast((block_of.column("qid").combine_chunks(), block_of.column("embedding").combine_chunks()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
             q, at = _matrix(q, dim)
             names = names.take(pa.array(at))
-            for b in batches:
-                yield _best(names, q, b.column("id"), b.column("embedding"), dim, limit)
+            for t in _pieces(batches, few):
+                yield _best(names, q, t.column("id").combine_chunks(), t.column("embedding").combine_chunks(), dim, limit)
 
         best = found.mapInArrow(run, schema)
     else:
@@ -100,8 +148,8 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int = 10, block: int =
             if q.num_rows and v.num_rows:
                 x, at = _matrix(q.column("embedding").combine_chunks(), dim)
                 names = q.column("qid").combine_chunks().take(pa.array(at))
-                for i in range(0, v.num_rows, block):
-                    part = v.slice(i, block)
+                for i in range(0, v.num_rows, few):
+                    part = v.slice(i, few)
                     out.append(_best(names, x, part.column("id").combine_chunks(), part.column("embedding").combine_chunks(), dim, limit))
             return pa.Table.from_batches(out) if out else pa.table({"qid": q.column("qid").slice(0, 0), "id": v.column("id").slice(0, 0), "similarity": pa.array([], pa.float64())})
 

@@ -135,6 +135,15 @@ def test_matches_of_common_terms_stay_in_their_task(spark, how):
     assert sorted(map(tuple, search.bm25(n, q, 4, how, 300, 500).collect())) == got
 
 
+def test_equal_vectors_are_decided_where_they_are_read(spark):
+    v = spark.createDataFrame([(f"v{i:03d}", [1.0, float(i % 2)]) for i in range(400)], "id string, embedding array<float>").coalesce(1)
+    q = spark.createDataFrame([(f"q{i:02d}", [1.0, float(i % 2)]) for i in range(30)], "qid string, embedding array<float>")
+    before = _shuffled(spark)
+    out = {tuple(r) for r in vectors.search(v, q, 3).collect()}
+    assert _shuffled(spark) - before < 1_000  # 6,000 pairs tie
+    assert out == {(f"q{i:02d}", f"v{2 * r + i % 2:03d}", 1.0, r) for i in range(30) for r in range(3)}
+
+
 def test_search_response(spark):
     n = nodes(spark, [{"id": x, "title": "fox", "is_active": True, "embedding": [1.0, 0.0]} for x in "abc"])
     q = spark.createDataFrame([("q1", "fox", None), ("q2", "zzz", None)], "qid string, text string, embedding array<float>")

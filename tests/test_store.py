@@ -144,6 +144,30 @@ def test_equal_vectors_are_decided_where_they_are_read(spark):
     assert out == {(f"q{i:02d}", f"v{2 * r + i % 2:03d}", 1.0, r) for i in range(30) for r in range(3)}
 
 
+HYBRID = {
+    "always": lambda n, q: hybrid.hybrid(n, q, Parameters(top_k=20), True),
+    "gated": lambda n, q: hybrid.hybrid(n, q),
+    "wide": lambda n, q: hybrid.hybrid(n, q, Parameters(gate=2.0)),
+    "evidence": lambda n, q: hybrid.with_evidence(hybrid.hybrid(n, q, Parameters(gate=2.0)), edges(q.sparkSession)),
+    "response": lambda n, q: hybrid.search_response(n, q, 7).select("qid", F.posexplode("nodes").alias("rank", "x")).select("qid", "rank", "x.*")}
+
+
+@pytest.mark.parametrize("name", ["always"])
+def test_hybrid_shuffles_no_pairs(spark, name):
+    n, q = _matching(spark)
+    place = F.substring("id", 2, 3).cast("int")
+    n = n.withColumn("embedding", F.array(F.cos(place), F.sin(place)).cast("array<float>"))
+    q = q.withColumn("embedding", F.array(F.lit(1.0), F.xxhash64("qid") % 7).cast("array<float>"))
+    before = _shuffled(spark)
+    got = HYBRID[name](n, q).collect()
+    assert _shuffled(spark) - before < 70_000  # 128,000 pairs match
+    best = {}
+    for qid, i, _, rank in _scored(n, q, 10, search.PLAIN):
+        best[qid, rank] = i
+    heads = {(r["qid"], r["fts_rank"]): r["id"] for r in got if r["fts_rank"] is not None}
+    assert {k: best[k] for k in heads} == heads and {(f"q{i:03d}", 0) for i in range(400)} <= set(heads)
+
+
 def test_search_response(spark):
     n = nodes(spark, [{"id": x, "title": "fox", "is_active": True, "embedding": [1.0, 0.0]} for x in "abc"])
     q = spark.createDataFrame([("q1", "fox", None), ("q2", "zzz", None)], "qid string, text string, embedding array<float>")

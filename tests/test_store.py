@@ -152,7 +152,7 @@ HYBRID = {
     "response": lambda n, q: hybrid.search_response(n, q, 7).select("qid", F.posexplode("nodes").alias("rank", "x")).select("qid", "rank", "x.*")}
 
 
-@pytest.mark.parametrize("name", ["always", "evidence", "gated", "wide"])
+@pytest.mark.parametrize("name", HYBRID)
 def test_hybrid_shuffles_no_pairs(spark, name):
     n, q = _matching(spark)
     place = F.substring("id", 2, 3).cast("int")
